@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -51,3 +53,17 @@ def durable(df: DataFrame) -> DataFrame:
 def reused(df: DataFrame) -> DataFrame:
     """Keep a frame that one plan reads twice; lost blocks are computed again from their lineage."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once per context, for the functions that run in Python there."""
+    sc = spark.sparkContext
+    if getattr(sc, "_lastro_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="lastro-")) / "lastro.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    sc.addPyFile(str(archive))
+    sc._lastro_shipped = True
