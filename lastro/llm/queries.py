@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lastro.llm import leak, lookalike, neighbours, pagespam, split
+from lastro.llm import leak, lookalike, mixture, neighbours, pagespam, split
 from lastro.session import table
 
 
@@ -33,6 +33,14 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return leak.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_item")).select("doc_id", "item_id")
 
 
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixture.mix(table(spark, d, "documents"), table(spark, d, "mix_target"))
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixture.shares(p7_mix(spark, d), table(spark, d, "mix_target"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return pagespam.spam_pages(table(spark, d, "documents")).select("doc_id").distinct()
 
@@ -41,7 +49,7 @@ def p8_labels(spark: SparkSession, d: str) -> DataFrame:
     return pagespam.label_pages(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p3_found, p3_names, p6_found, p8_found, p8_labels)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p3_found, p3_names, p6_found, p7_mix, p7_shares, p8_found, p8_labels)}
 ORACLE = {
     "p1_found": """
 select distinct trecho_id from trecho
