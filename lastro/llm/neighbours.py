@@ -284,10 +284,8 @@ def _search(table: pa.Table) -> pa.Table:
     keep = np.arange(len(q)) - np.repeat(start, np.diff(np.append(start, len(q)))) < K + 1
     q, rank, nid = q[keep], rank[keep], nid[keep]
     near = pa.StructArray.from_arrays([pa.array(rank.astype(np.int32)), pa.array(nid)], ["s", "id"])
-    own = first[ask + 1] - first[ask]
-    at = np.repeat(first[ask], own) + np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
-    cols = [pa.array(k1[head][ask]), pa.array(k2[head][ask]), _lists(pa.array(ids[at]), own), _lists(near, np.bincount(np.searchsorted(ask, q), minlength=len(ask)))]
-    return pa.Table.from_arrays(cols, ["k1", "k2", "ids", "perto"])
+    cols = [pa.array(k1[head][ask]), pa.array(k2[head][ask]), _lists(near, np.bincount(np.searchsorted(ask, q), minlength=len(ask)))]
+    return pa.Table.from_arrays(cols, ["k1", "k2", "perto"])
 
 
 def keyed_vectors(rows: DataFrame, key: str, vector: str) -> DataFrame:
@@ -309,6 +307,21 @@ def fit(vectors: DataFrame, rows: int) -> Index:
     return build_index(unit(x.astype(np.float64)).astype(np.float32), rows)
 
 
+def _nearest(rows: DataFrame, key: str, vector: str) -> DataFrame:
+    """:func:`nearest` with a row for every delivery of an id."""
+    spark = rows.sparkSession
+    count = rows.count()
+    vectors = keyed_vectors(rows, key, vector)
+    held = spark.sparkContext.broadcast(fit(vectors, count))
+    shape = "grupo int, k1 bigint, k2 bigint, ids array<bigint>, vetor array<float>, em array<int>, pede array<int>"
+    sent = vectors.mapInArrow(_assign(held), shape)
+    found = sent.groupBy("grupo").applyInArrow(_search, "k1 bigint, k2 bigint, perto array<struct<s:int,id:bigint>>")
+    merged = found.groupBy("k1", "k2").agg(F.flatten(F.collect_list("perto")).alias("perto"))
+    best = merged.select("k1", "k2", F.slice(F.array_sort(F.array_distinct("perto")), 1, K + 1).alias("perto"))
+    own = vectors.select("k1", "k2", "id").join(best, ["k1", "k2"])
+    return own.select("id", F.slice(F.filter("perto", lambda p: p["id"] != F.col("id")), 1, K).alias("perto"))
+
+
 def nearest(rows: DataFrame, key: str = "trecho_id", vector: str = "embedding_gemini") -> DataFrame:
     """id, perto: the K nearest of each usable vector as array<struct<s, id>>, nearest first.
 
@@ -317,27 +330,10 @@ def nearest(rows: DataFrame, key: str = "trecho_id", vector: str = "embedding_ge
     neighbour. A repeated id counts once and is not its own neighbour; equal vectors are searched
     once and share their result. Null ids are left out; other columns are not read.
     """
-    spark = rows.sparkSession
-    count = rows.count()
-    vectors = keyed_vectors(rows, key, vector)
-    held = spark.sparkContext.broadcast(fit(vectors, count))
-    shape = "grupo int, k1 bigint, k2 bigint, ids array<bigint>, vetor array<float>, em array<int>, pede array<int>"
-    sent = vectors.mapInArrow(_assign(held), shape)
-    found = sent.groupBy("grupo").applyInArrow(_search, "k1 bigint, k2 bigint, ids array<bigint>, perto array<struct<s:int,id:bigint>>")
-    merged = found.groupBy("k1", "k2").agg(F.flatten(F.collect_list("perto")).alias("perto"), F.flatten(F.collect_list("ids")).alias("ids"))
-    best = merged.select(
-        "k1", "k2", F.slice(F.array_sort(F.array_distinct("perto")), 1, K + 1).alias("perto"),
-        F.slice(F.array_sort(F.array_distinct("ids")), 1, K + 1).alias("ids"),
-    )
-    # Fewer than K + 1 members: all are known. Larger classes take their members from the table.
-    few = best.filter(F.size("ids") <= K).select(F.explode("ids").alias("id"), "perto")
-    many = best.filter(F.size("ids") > K).select("k1", "k2", "perto")
-    members = vectors.select("k1", "k2", "id").join(many, ["k1", "k2"]).select("id", "perto").dropDuplicates(["id"])
-    own = few.unionByName(members)
-    return own.select("id", F.slice(F.filter("perto", lambda p: p["id"] != F.col("id")), 1, K).alias("perto"))
+    return _nearest(rows, key, vector).dropDuplicates(["id"])
 
 
 def neighbour_pairs(rows: DataFrame, key: str = "trecho_id", vector: str = "embedding_gemini") -> DataFrame:
     """a < b: the pairs of which at least one is among the other's K nearest; see :func:`nearest`."""
-    pairs = nearest(rows, key, vector).select("id", F.explode("perto").alias("p"))
+    pairs = _nearest(rows, key, vector).select("id", F.explode("perto").alias("p"))
     return pairs.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")).distinct()
