@@ -36,12 +36,12 @@ FUNCTION = frozenset(
     "un una del al en y con sin no si pero por para lo su the of in to and an is by for with on at if when yet from that this was it or as".split()
 )
 
-_LINK = re.compile(r"<a\b[^>]*>.*?</a>|!?\[[^\]]*\]\([^)]*\)|https?://\S+|www\.\S+", re.I | re.S)
+_LINK = re.compile(r"<a\b[^>]{0,2000}>.{0,500}?</a>|!?\[[^\]]{0,500}\]\([^)]{0,2000}\)|https?://\S+|www\.\S+", re.I | re.S)
 _WORDS = re.compile(r"\w+")
 _SPACED = re.compile(r"(?<!\w)(\w(?: \w)+)(?!\w)")
 _TAG = re.compile(r"(?<!\w)#\w+")
 _SEPARATOR = re.compile(r"(?:^|(?<=\s))(?:[|•·*»>/~+=–—-]{1,3})(?=\s|$)|[|•·»]")
-_STRUCTURE = re.compile(r"^\s*\|.*\|\s*$|\.{3,}\s*\d+\s*$|^\s*\$\$|\$\$\s*$|^\s*(```|~~~)|^\s*[\w\[\]]+\s*:?=\s|^\s*(def|for|if|return|import|class)\b.*[:(]")
+_STRUCTURE = re.compile(r"^\s*\|.*\|\s*$|\.{3,200}\s*\d+\s*$|^\s*\$\$|\$\$\s*$|^\s*(```|~~~)|^\s*[\w\[\]]+\s*:?=\s|^\s*(def|for|if|return|import|class)\b.*[:(]")
 _REFERENCE = re.compile(r"\((1[89]|20)\d\d[a-z]?\)|\bdoi\b|\d+\s*[-–]\s*\d+\.")
 _LABEL = re.compile(r"\b(?=[0-9A-Z]*\d)[0-9A-Z]{2,}-\d+\b|\b(?:ref|mod|sku|item|kit|combo)\.? ?[0-9A-Z-]*\d", re.I)
 _END = re.compile(r"[.!?:;…»”\"')]\s*$")
@@ -51,27 +51,40 @@ _STOP = re.compile(r"[.!?](?=\s|$)")
 _UNUSUAL = re.compile(r"[|•·»>~#=\[<$*]|https?:|www\.|\.{3}|(?<!\w)\w \w \w(?!\w)|\d-\d|\b[0-9A-Z]{2,}-\d| [-–—/+] ")
 
 
-def units(text: str) -> Iterator[tuple[str, bool]]:
-    """(unit, in code) in order: lines, with very short ones joined and long ones cut."""
+TEXT, CODE, PROSE = range(3)
+
+
+def units(text: str) -> Iterator[tuple[str, int]]:
+    """(unit, TEXT, CODE or PROSE) in order: lines, with very short ones joined and long ones cut.
+
+    PROSE marks plain lines, which stay whole.
+    """
     fence, held = False, []
     for line in text.split("\n"):
         if not line.strip():
             continue
         if line.lstrip().startswith(("```", "~~~")):
             fence = not fence
-        count = len(_WORDS.findall(line))
+        words = _WORDS.findall(line.lower())
+        count = len(words)
+        if not fence and plain_line(line, words):
+            if held:
+                yield " \n ".join(held), TEXT
+                held = []
+            yield line, PROSE
+            continue
         plain = not fence and not _LINK.search(line) and not _STRUCTURE.search(line) and not _HEADING.match(line)
         if plain and count <= 3 and not _LABEL.search(line):
             held.append(line)
             if sum(len(x.split()) for x in held) >= LEAST_WORDS:
-                yield " \n ".join(held), False
+                yield " \n ".join(held), TEXT
                 held = []
             continue
         if held:
-            yield " \n ".join(held), False
+            yield " \n ".join(held), TEXT
             held = []
         if count <= MOST_WORDS or not plain and not _LINK.search(line):
-            yield line, fence
+            yield line, CODE if fence else TEXT
             continue
         part: list[str] = []
         for s in _SENTENCES.split(line):
@@ -79,22 +92,24 @@ def units(text: str) -> Iterator[tuple[str, bool]]:
             for i in range(0, len(words), MOST_WORDS):
                 part += words[i:i + MOST_WORDS]
                 if len(part) >= LEAST_WORDS:
-                    yield " ".join(part), fence
+                    yield " ".join(part), CODE if fence else TEXT
                     part = []
         if part:
-            yield " ".join(part), fence
+            yield " ".join(part), CODE if fence else TEXT
     if held:
-        yield " \n ".join(held), False
+        yield " \n ".join(held), TEXT
 
 
-def kind(unit: str, code: bool, common: Container[str] = ()) -> str:
+def kind(unit: str, state: int, common: Container[str] = ()) -> str:
     """The observed kind of one unit; see EMISSION. ``common``: words that fill the whole page."""
-    if code:
+    if state == PROSE:
+        return "sentence"
+    if state == CODE:
         return "structure"
     words = _WORDS.findall(unit.lower())
     n = len(words)
     variety = len(set(words)) / max(1, n)
-    glue = sum(w in FUNCTION for w in words) / max(1, n)
+    glue = sum(map(FUNCTION.__contains__, words)) / max(1, n)
     content = [w for w in words if w not in FUNCTION] if common else []
     echo = sum(w in common for w in content) / len(content) if len(content) >= 4 else 0.0
     if n >= 8 and variety > 0.6 and glue >= 0.12 and echo < 0.6 and not _UNUSUAL.search(unit) and unit.count(",") + unit.count(";") < 3:
@@ -141,12 +156,12 @@ def kind(unit: str, code: bool, common: Container[str] = ()) -> str:
     return "short" if n <= 8 or glue < 0.1 else "sentence"
 
 
-def common_words(parts: list[tuple[str, bool]]) -> set[str]:
+def common_words(parts: list[tuple[str, int]]) -> set[str]:
     """Content words that fill the page: those in at least 4 and in half of its different units.
 
     A unit repeated word for word, as in a refrain, counts once.
     """
-    distinct = {u.lower() for u, code in parts if not code}
+    distinct = {u.lower() for u, state in parts if state == TEXT}
     if len(distinct) < 4:
         return set()
     seen: Counter = Counter()
@@ -186,13 +201,36 @@ def best_states(kinds: list[str]) -> list[int]:
     return path[::-1]
 
 
+def plain_line(line: str, words: list[str]) -> bool:
+    """A line that is sentences beyond doubt: ordinary signs, enough function words, little repetition."""
+    n = len(words)
+    if n < 8 or _UNUSUAL.search(line) or not _END.search(line):
+        return False
+    if 6 * (line.count(",") + line.count(";")) >= n or sum(map(FUNCTION.__contains__, words)) < 0.15 * n:
+        return False
+    return len(set(words)) > n * (0.6 if n <= 60 else 0.5 if n <= 150 else 0.4)
+
+
 def word_counts(text: str | None) -> tuple[int, int, int, int]:
-    """Words of the text by the state of their line."""
+    """Words of the text by the state of their line.
+
+    A page of nothing but plain lines, titles, tables and formulas is prose on the best path, since
+    each of these is likeliest in prose; the model need not be run on it.
+    """
     if not text or not text.strip():
         return 0, 0, 0, 0
+    sure = 0
+    for line in text.split("\n"):
+        if line and not line.isspace():
+            words = _WORDS.findall(line.lower())
+            if not (plain_line(line, words) or _HEADING.match(line) or _STRUCTURE.search(line) and not _LINK.search(line)):
+                break
+            sure += len(words)
+    else:
+        return sure, 0, 0, 0
     parts = list(units(text))
-    total = [0, 0, 0, 0]
     common = common_words(parts)
+    total = [0, 0, 0, 0]
     for (u, _), s in zip(parts, best_states([kind(*p, common) for p in parts])):
         total[s] += len(_WORDS.findall(u))
     return tuple(total)
