@@ -28,6 +28,8 @@ LANE = 1024
 #: Words of an item block that one scan holds; larger item sets are scanned block by block.
 BLOCK_WORDS = 2_000_000
 SHIFT_BITS = 20
+#: Characters hashed at a time.
+STRETCH = 2_000_000
 
 _INLINE = re.compile(r"</?(?:a|abbr|b|code|em|font|i|mark|q|s|small|span|strong|sub|sup|tt|u)\b[^<>]*>", re.I)
 _TAG = re.compile(r"</?[a-zA-Z][^<>]*>|<!--.*?-->", re.S)
@@ -94,6 +96,20 @@ def hash_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return h, bounds
 
 
+def hash_long(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`hash_words` of one very long text, stretch by stretch, cut at spaces."""
+    parts, at = [], 0
+    while at < len(text):
+        end = at + STRETCH
+        if end < len(text):
+            space = text.rfind(" ", at + 1, end)
+            end = space if space > 0 else end
+        parts.append(hash_words([text[at:end]])[0])
+        at = end
+    h = np.concatenate(parts) if parts else np.empty(0, np.uint64)
+    return h, np.array([0, len(h)])
+
+
 def _blocks(h: np.ndarray) -> np.ndarray:
     """Hash of every block of two successive words (index i: words i and i + 1)."""
     with np.errstate(over="ignore"):
@@ -279,14 +295,14 @@ def find_leaks(documents: DataFrame, items: DataFrame, least: int = WORDS, edits
         def search(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
             p = build_patterns(held.value, size)
             for batch in batches:
-                ids, texts, rows, chars = batch.doc_id.tolist(), batch.text.tolist(), [], 0
+                ids, texts, rows = batch.doc_id.tolist(), batch.text.tolist(), []
                 k = 0
                 while k < len(texts):  # stretches of at most a few million characters
                     n, chars = k, 0
-                    while n < len(texts) and (n == k or chars + len(texts[n]) < 2_000_000):
+                    while n < len(texts) and (n == k or chars + len(texts[n]) < STRETCH):
                         chars += len(texts[n])
                         n += 1
-                    h, bounds = hash_words(texts[k:n])
+                    h, bounds = hash_words(texts[k:n]) if chars < 2 * STRETCH else hash_long(texts[k])
                     rows += [(ids[k + d], i, s, e) for (d, i), (s, e) in passages(h, bounds, p, least, edits).items()]
                     k = n
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "palavras", "trocas"])

@@ -150,25 +150,21 @@ def split_oversized(trecho: DataFrame, limit: int = LIMIT, overlap: int = OVERLA
     pass unchanged as pedaco 0; a null parte counts as 1; a null cabecalho repeats the opening
     title of the text, if it has one; other columns are not carried (a vector no longer fits).
     """
-    rows = _plain(trecho).dropDuplicates(["trecho_id"])
+    rows = _plain(trecho).filter("trecho_id is not null").dropDuplicates(["trecho_id"])
     pieces = cut_pieces(rows, limit, overlap)
     extra = pieces.groupBy("trecho_id").agg((F.count("*") - 1).alias("mais"))
     key = ["corpus", "documento", "topico"]
+    # Keys as one null-safe text; only topics with a cut part are numbered anew.
+    named = rows.select("trecho_id", F.to_json(F.struct(*key), {"ignoreNullFields": "false"}).alias("k"), F.coalesce("parte", F.lit(1)).alias("n"), oversized(limit).alias("grande"))
+    heads = named.filter("grande").select("k").distinct()
+    seen = named.join(heads, "k", "left_semi").join(extra, "trecho_id", "left").select("trecho_id", "k", "n", F.coalesce("mais", F.lit(0)).alias("mais"), F.floor(F.col("n") / BLOCK).alias("bloco"))
     # Shift of a part = pieces added before it: inside its block of parts, plus all earlier blocks.
-    slim = rows.filter(oversized(limit)).select("trecho_id", *key, F.coalesce("parte", F.lit(1)).alias("parte")).join(extra, "trecho_id")
-    touched = rows.select("trecho_id", *key, F.coalesce("parte", F.lit(1)).alias("parte"))
-    same = [touched[k].eqNullSafe(slim[k]) for k in key]
-    heads = slim.select(*key).distinct()
-    members = touched.join(heads, [touched[k].eqNullSafe(heads[k]) for k in key], "left_semi").withColumn("mais", F.lit(0).cast("bigint"))
-    del same
-    seen = members.unionByName(slim).groupBy("trecho_id", *key, "parte").agg(F.max("mais").alias("mais")).withColumn("bloco", F.floor(F.col("parte") / BLOCK))
-    sums = seen.groupBy(*key, "bloco").agg(F.sum("mais").alias("soma"))
-    before = Window.partitionBy(*key).orderBy("bloco").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*[F.col(k).alias(f"{k}_") for k in key], F.col("bloco").alias("bloco_"), F.coalesce(F.sum("soma").over(before), F.lit(0)).alias("antes"))
-    inside = Window.partitionBy(*key, "bloco").orderBy("parte", "trecho_id").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = seen.withColumn("aqui", F.coalesce(F.sum("mais").over(inside), F.lit(0)))
-    on = [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in key] + [F.col("bloco") == F.col("bloco_")]
-    shifts = shifts.join(sums, on).select("trecho_id", (F.col("aqui") + F.col("antes")).cast("int").alias("salto"))
+    sums = seen.groupBy("k", "bloco").agg(F.sum("mais").alias("soma"))
+    before = Window.partitionBy("k").orderBy("bloco").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("k", "bloco", F.coalesce(F.sum("soma").over(before), F.lit(0)).alias("antes"))
+    inside = Window.partitionBy("k", "bloco").orderBy("n", "trecho_id").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = seen.withColumn("aqui", F.coalesce(F.sum("mais").over(inside), F.lit(0))).join(sums, ["k", "bloco"])
+    shifts = shifts.select("trecho_id", (F.col("aqui") + F.col("antes")).cast("int").alias("salto"))
     cut = rows.drop("texto", "junta", "cabecalho").join(pieces, "trecho_id")
     kept = rows.filter(~oversized(limit)).withColumn("pedaco", F.lit(0))
     out = cut.unionByName(kept).join(shifts, "trecho_id", "left")
