@@ -203,10 +203,9 @@ def reach(a: list, b: list, edits: int) -> list[int]:
     for e in range(edits + 1):
         nxt: dict[int, int] = {}
         for d, j in front.items():
-            j0 = j
             while j < len(b) and j + d < len(a) and a[j + d] == b[j]:
                 j += 1
-            if j > j0:
+            if j and j + d > 0 and a[j + d - 1] == b[j - 1]:
                 best[e] = max(best[e], j)
             for dd, jj in ((d, j + 1), (d - 1, j + 1), (d + 1, j)):  # changed, dropped, added
                 if jj <= len(b) and 0 <= jj + dd <= len(a) and nxt.get(dd, -1) < jj:

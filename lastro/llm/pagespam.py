@@ -133,13 +133,13 @@ def kind(unit: str, state: int, common: Container[str] = ()) -> str:
     if n == 0:
         return "short"
     variety = len(set(words)) / n
+    if n >= 5 and variety > 0.5 and _REFERENCE.search(unit) and _STOP.search(unit):
+        return "reference"
     if n >= 5 and (variety <= (0.5 if n >= 9 else 0.45) or echo >= 0.7):
         return "repeat"
     labels = len(_LABEL.findall(unit))
     if labels and (labels >= 2 and n / labels <= 7 or n <= 8 and not _END.search(unit)):
         return "label"
-    if n >= 5 and _REFERENCE.search(unit) and _STOP.search(unit):
-        return "reference"
     separators = len(_SEPARATOR.findall(unit))
     if separators >= 2 and n / separators <= 7:
         return "joined"

@@ -10,7 +10,7 @@ from lastro.session import table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return split.cut_pieces(table(spark, d, "trecho")).filter("pedaco > 0").select("trecho_id").distinct()
+    return split.cut_pieces(table(spark, d, "trecho")).select("trecho_id").distinct()
 
 
 def p1_pieces(spark: SparkSession, d: str) -> DataFrame:

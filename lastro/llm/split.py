@@ -86,12 +86,13 @@ def split_text(text: str, part: int, header: str | None, limit: int = LIMIT, ove
     header and a line break from part 2 on. A header that would leave less than a quarter of the
     limit is not repeated.
     """
+    given = header if part >= 2 else None
+    if len(text) + (len(given) + 1 if given is not None else 0) <= limit:
+        return [("", text, given)]
     head = header if part >= 2 else opening_title(text)
     if head is not None and limit - len(head) - 1 - overlap < max(1, limit // 4):
         head = None
     size = len(head) + 1 if head is not None else 0
-    if len(text) + (size if part >= 2 else 0) <= limit:
-        return [("", text, header if part >= 2 else None)]
     starts, ends, levels = boundaries(text)
     out: list[tuple[str, str, str | None]] = []
     at, gap, before = 0, "", ""
