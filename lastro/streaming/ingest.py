@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from lastro.functions.text import embedded_text
@@ -21,7 +22,7 @@ def embed(chunks: DataFrame, model: Callable[[list[str]], list[list[float] | Non
 
     Only transient errors are tried again, with growing pauses; others end the task.
     """
-    schema = chunks.schema.add("embedding", "array<float>")
+    schema = T.StructType([*chunks.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
