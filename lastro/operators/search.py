@@ -25,7 +25,8 @@ def clamp_k(k) -> tuple[int, str | None]:
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+    """Words are runs of letters and digits, in lower case."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
 def bm25(documents: DataFrame, key: str, query: str, text: str = "text", k1: float = K1, b: float = B) -> DataFrame:
@@ -37,12 +38,16 @@ def bm25(documents: DataFrame, key: str, query: str, text: str = "text", k1: flo
     terms = sorted(set(_query_words(query)))
     if not terms:
         return documents.select(key, F.lit(0.0).alias("score")).limit(0)
-    tokens = documents.select(key, words(F.coalesce(text, F.lit(""))).alias("w"))
-    tf = [F.size(F.filter("w", _equals(t))).alias(f"f{i}") for i, t in enumerate(terms)]
-    counted = tokens.select(key, F.size("w").alias("dl"), *tf)
+    tokens = documents.select(key, F.coalesce(text, F.lit("")).alias("_t")).select(key, "_t", words(F.col("_t")).alias("_w"))
+    # array_remove compares in generated code; a lambda per word would not.
+    tf = [(F.size("_w") - F.size(F.array_remove("_w", t))).alias(f"f{i}") for i, t in enumerate(terms)]
+    counted = tokens.select(key, "_t", F.size("_w").alias("dl"), *tf)
     stats = counted.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"f{i}") > 0).alias(f"d{i}") for i in range(len(terms))])
     total = stats.first()  # one row of counts
-    j = counted.filter(" or ".join(f"f{i} > 0" for i in range(len(terms))))
+    # The filter tests the text itself: a condition on the counts would be pushed below them and
+    # repeat the tokenisation for every term.
+    any_ = "|".join(rf"\Q{t}\E" for t in terms)
+    j = counted.filter(F.lower("_t").rlike(rf"(?<![\p{{L}}\p{{N}}])(?:{any_})(?![\p{{L}}\p{{N}}])"))
     score = F.lit(0.0)
     for i in range(len(terms)):
         f, d = F.col(f"f{i}"), total[f"d{i}"]
@@ -51,10 +56,6 @@ def bm25(documents: DataFrame, key: str, query: str, text: str = "text", k1: flo
     return j.select(key, score.alias("score"))
 
 
-def _equals(term: str) -> Callable[[Column], Column]:
-    return lambda x: x == term
-
-
 def _query_words(query: str) -> list[str]:
     return re.findall(r"[^\W_]+", query.lower())
 

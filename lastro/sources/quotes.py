@@ -45,9 +45,9 @@ def zip_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _money(c: Column, name: str) -> Column:
-    whole = F.trim(c).try_cast("decimal(18,0)")
+    whole = F.trim(c).try_cast("bigint")
     bad = F.raise_error(F.concat(F.lit(f"{name} invalido na linha: "), F.substring("linha", 1, 30)))
-    return F.when(whole.isNull(), bad.cast("double")).otherwise((whole / 100).cast("double"))
+    return F.when(whole.isNull(), bad.cast("double")).otherwise(whole / 100)
 
 
 def parse(raw: DataFrame, tickers: list[str] | None = None) -> DataFrame:
