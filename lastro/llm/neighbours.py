@@ -20,10 +20,10 @@ from pyspark.sql import functions as F
 SIZE = 64
 K = 5
 #: Rows that the lists are fitted on, rows wished for in a list, most lists, rows wished for in a group.
-SAMPLE, LIST, MAX_LISTS, GROUP = 131_072, 256, 65_536, 32_768
+SAMPLE, LIST, MAX_LISTS, GROUP = 65_536, 256, 65_536, 32_768
 DEGREE, BEAM = 16, 16
 #: Posted to at most POSTS lists within (1 + POST_RATIO) of the least distance; asks at most ASKS within (1 + ASK_RATIO).
-POSTS, POST_RATIO, ASKS, ASK_RATIO = 2, 0.10, 12, 0.60
+POSTS, POST_RATIO, ASKS, ASK_RATIO = 3, 0.15, 14, 0.80
 #: Classes kept for each vector before the exact ranking.
 KEEP = 12
 CHUNK = 65_536
