@@ -108,7 +108,7 @@ def length_alerts(spark, d):
 
 
 def chunk_violations(spark, d):
-    return SG.chunk_violations(_trecho(spark, d).dropDuplicates(["trecho_id"]), "incerto").select("trecho_id", _joined("motivos").alias("motivos"))
+    return SG.chunk_violations(_trecho(spark, d).dropDuplicates(["trecho_id"]), "acervo").select("trecho_id", _joined("motivos").alias("motivos"))
 
 
 def embedded_lengths(spark, d):
@@ -373,7 +373,7 @@ select doc_id, case when m > 1 then t || ' (' || i || ')' else t end as topico f
     "segmentation_summary": "select documento, count(*) as trechos, sum(length(texto))::bigint as caracteres, max(length(texto)) as maior from (select distinct on (trecho_id) * from trecho) group by 1",
     "length_alerts": "select distinct trecho_id, case when length(texto) > 8000 then 'teto' when length(texto) > 1600 then 'longo' end as alerta from trecho where texto is not null",
     "chunk_violations": f"""with u as (select distinct on (trecho_id) * from trecho), k as (select *, count(*) over (partition by corpus, documento, topico, parte) as n from u),
-m as (select trecho_id, {_JOIN([*[f"case when {c} is null then 'sem {c}' end" for c in ('documento', 'topico', 'parte', 'corpus', 'onda', 'texto')], "case when corpus <> 'incerto' then 'outro corpus' end", "case when n > 1 then 'chave repetida' end"])} as motivos from k)
+m as (select trecho_id, {_JOIN([*[f"case when {c} is null then 'sem {c}' end" for c in ('documento', 'topico', 'parte', 'corpus', 'onda', 'texto')], "case when corpus <> 'acervo' then 'outro corpus' end", "case when n > 1 then 'chave repetida' end"])} as motivos from k)
 select * from m where motivos <> ''""",
     "embedded_lengths": "select distinct trecho_id, length(texto) + case when parte >= 2 and cabecalho is not null then length(cabecalho) + 1 else 0 end as tamanho from trecho",
     "display_equations": """select doc_id, i as ordem, e[i] as latex from (select doc_id, e, unnest(range(1, len(e) + 1)) as i from (
