@@ -58,11 +58,20 @@ def parents_of(equations: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def topic_equations(topics: DataFrame, equations: DataFrame) -> DataFrame:
-    """Each (corpus, documento, topico) with the sorted names of its approved equations, or none."""
-    e = approved(equations).select("corpus", F.col("fonte.documento").alias("documento"), F.col("fonte.topico").alias("topico"), "nome")
-    e = e.groupBy("corpus", "documento", "topico").agg(F.sort_array(F.collect_set("nome")).alias("equacoes"))
+    """(corpus, documento, topico, equacao): every topic with its approved equations, one row each.
+
+    A topic without any has one row with a null equation.
+    """
+    e = approved(equations).select("corpus", F.col("fonte.documento").alias("documento"), F.col("fonte.topico").alias("topico"), F.col("nome").alias("equacao"))
     t = topics.select("corpus", "documento", "topico").distinct()
-    return t.join(e, ["corpus", "documento", "topico"], "left").withColumn("equacoes", F.coalesce("equacoes", F.array().cast("array<string>")))
+    return t.join(e.distinct(), ["corpus", "documento", "topico"], "left")
+
+
+def attach_equations(results: DataFrame, equations: DataFrame, most: int = 20) -> DataFrame:
+    """The first ``most`` ranked topics with the sorted names of their approved equations as a list."""
+    few = results.orderBy("rank").limit(most)
+    named = topic_equations(few, equations).groupBy("corpus", "documento", "topico").agg(F.sort_array(F.collect_set("equacao")).alias("equacoes"))
+    return few.join(named, ["corpus", "documento", "topico"])
 
 
 def orphan_variables(nodes: DataFrame, used: DataFrame) -> DataFrame:

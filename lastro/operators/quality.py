@@ -85,8 +85,8 @@ def map_sum(df: DataFrame, column: str) -> DataFrame:
 
 
 def distinct_sorted(df: DataFrame, column: str) -> DataFrame:
-    """(valores): the different members of an array column, sorted by bytes."""
-    return df.select(F.explode(column).alias("v")).distinct().agg(F.sort_array(F.collect_list("v")).alias("valores"))
+    """(valor): the different members of an array column, one row each, in byte order."""
+    return df.select(F.explode(column).alias("valor")).distinct().orderBy("valor")
 
 
 def equation_totals(wave: DataFrame) -> DataFrame:

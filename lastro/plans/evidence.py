@@ -57,7 +57,7 @@ def token_map_sum(spark, d):
 
 
 def distinct_models(spark, d):
-    return Q.distinct_sorted(_candidate(spark, d), "simbolos").select(_joined("valores").alias("valores"))
+    return Q.distinct_sorted(_candidate(spark, d), "simbolos")
 
 
 def cost_partial(spark, d):
@@ -274,8 +274,7 @@ def approved_parents(spark, d):
 
 
 def topic_equations(spark, d):
-    t = GR.topic_equations(_trecho(spark, d).filter("documento is not null and topico is not null"), _current(spark, d))
-    return t.select("corpus", "documento", "topico", _joined("equacoes").alias("equacoes"))
+    return GR.topic_equations(_trecho(spark, d).filter("documento is not null and topico is not null"), _current(spark, d))
 
 
 def node_label_counts(spark, d):
@@ -360,7 +359,7 @@ ORACLE = {
     "wave_totals": "select count(distinct l_orderkey) as documentos, count(*) as itens, count(*) filter (where l_linestatus = 'F') as aprovados, count(*) filter (where l_returnflag = 'N') as fallbacks from lineitem",
     "route_cube": "select l_returnflag as rota, count(*) as itens, count(*) filter (where l_linestatus = 'F') as aprovados from lineitem group by rollup (l_returnflag)",
     "token_map_sum": "select sum(l_suppkey)::bigint as output, sum(l_partkey)::bigint as prompt, sum(l_partkey + l_suppkey)::bigint as total from lineitem",
-    "distinct_models": "select array_to_string(list_sort(list(distinct s)), '; ') as valores from (select unnest(simbolos) as s from candidate)",
+    "distinct_models": "select distinct unnest(simbolos) as valor from candidate",
     "cost_partial": "select l_orderkey, round(sum(case when l_returnflag <> 'N' then l_extendedprice end), 2) as custo, bool_or(l_returnflag = 'N') and bool_or(l_returnflag <> 'N') as parcial from lineitem group by 1",
     "silent_loss_flags": "select l_orderkey, count(*) as itens, count(*) filter (where l_linestatus <> 'F' and l_returnflag <> 'N') as perdas, count(*) filter (where l_linestatus <> 'F' and l_returnflag <> 'N') = 0 as apto from lineitem group by 1",
     "full_outer_pair_check": """select case when a.k is null then 'sem md' when b.k is null then 'sem relatório' end as motivo, count(*) as n, min(coalesce(a.k, b.k)) as primeiro
@@ -421,8 +420,8 @@ n as (select distinct corpus, v.nome as nome from (select corpus, unnest(variave
 select * from n where not exists (select 1 from u where u.corpus = n.corpus and u.nome = n.nome)""",
     "approved_parents": f"""with {_CUR}, ok as (select corpus, nome, latex from cur where status = 'aprovado'), e as (select corpus, mae, filha from proof where prova = 'P2' group by 1, 2, 3 having bool_and(veredito = 'verde'))
 select e.corpus, e.filha, e.mae, m.latex from e join ok f on f.corpus = e.corpus and f.nome = e.filha join ok m on m.corpus = e.corpus and m.nome = e.mae""",
-    "topic_equations": f"""with {_CUR}, e as (select corpus, fonte.documento as documento, fonte.topico as topico, array_to_string(list_sort(list(distinct nome)), '; ') as equacoes from cur where status = 'aprovado' group by 1, 2, 3)
-select t.corpus, t.documento, t.topico, coalesce(equacoes, '') as equacoes from (select distinct corpus, documento, topico from trecho where documento is not null and topico is not null) t left join e using (corpus, documento, topico)""",
+    "topic_equations": f"""with {_CUR}, e as (select distinct corpus, fonte.documento as documento, fonte.topico as topico, nome as equacao from cur where status = 'aprovado')
+select t.corpus, t.documento, t.topico, equacao from (select distinct corpus, documento, topico from trecho where documento is not null and topico is not null) t left join e using (corpus, documento, topico)""",
     "node_label_counts": f"""with {_CUR} select 'equacao' as rotulo, count(*) filter (where status = 'aprovado') as n from cur
 union all select 'aresta', count(*) filter (where v) from (select bool_and(veredito = 'verde') as v from proof where prova = 'P2' group by corpus, mae, filha)""",
     "layer_status": f"""with {_CUR}, u as (select distinct on (trecho_id) * from trecho) select 'rotulo' as medida, 'equacao' as chave, count(*) filter (where status = 'aprovado') as n from cur

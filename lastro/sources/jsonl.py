@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import shutil
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,10 +41,21 @@ def digest(df: DataFrame) -> str:
     return df.agg(content_digest(df).alias("d")).first().d
 
 
+def _files(spark: SparkSession, path: str):
+    """(file system, path) as Hadoop sees them, so that cluster storage works like a local folder."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _files(spark, path)
+    return fs.exists(p)
+
+
 def append(df: DataFrame, path: str, key: list[str]) -> str:
     """Append rows and return their digest; keys that the file already holds are refused, named up to 20."""
     spark = df.sparkSession
-    if os.path.exists(path):
+    if exists(spark, path):
         known = spark.read.json(path).select(*key).distinct()
         again = df.select(*key).distinct().join(known, key, "left_semi")
         named = again.orderBy(*key).limit(21).collect()
@@ -61,7 +70,7 @@ def append(df: DataFrame, path: str, key: list[str]) -> str:
 def write_once(df: DataFrame, path: str) -> bool:
     """Write a folder once: the same content again changes nothing (False), different content is refused."""
     spark = df.sparkSession
-    if os.path.exists(path):
+    if exists(spark, path):
         if digest(spark.read.schema(df.schema).json(path)) != digest(df):
             raise ValueError(f"{path}: conteudo diferente")
         return False
@@ -71,15 +80,19 @@ def write_once(df: DataFrame, path: str) -> bool:
 
 def replace(df: DataFrame, path: str) -> None:
     """Swap a folder for a new one: written beside it first, removed again when writing fails."""
-    new, old = f"{path}.{uuid.uuid4().hex}.new", f"{path}.{uuid.uuid4().hex}.old"
+    spark = df.sparkSession
+    mark = uuid.uuid4().hex
+    fs, target = _files(spark, path)
+    new, old = (_files(spark, f"{path}.{mark}.{x}")[1] for x in ("new", "old"))
     try:
-        df.write.json(new)
-        if os.path.exists(path):
-            os.replace(path, old)
-        os.replace(new, path)
+        df.write.json(new.toString())
+        if fs.exists(target):
+            fs.rename(target, old)
+        if not fs.rename(new, target):
+            raise OSError(f"{path}: nao foi possivel trocar")
     finally:
         for p in (new, old):
-            shutil.rmtree(p, ignore_errors=True)
+            fs.delete(p, True)
 
 
 def pending(rows: DataFrame, done: DataFrame, key: list[str]) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from lastro.functions.text import embedded_text
+from lastro.session import durable
 
 KEY = ["corpus", "documento", "topico", "parte"]
 BATCH, ATTEMPTS, TOKENS = 16, 4, 8192
@@ -61,9 +62,11 @@ def ingest_batch(chunks: DataFrame, path: str, corpus: str, model: Callable | No
     rows = chunks.dropDuplicates(KEY) if stored is None else pending(chunks, stored)
     if model is not None:
         rows = embed(rows, model)
-    before = 0 if stored is None else stored.count()
-    rows.write.mode("append").partitionBy("corpus").parquet(path)
-    return spark.read.parquet(path).count() - before
+    rows = durable(rows)  # counted and written, embedded once
+    count = rows.count()
+    if count:
+        rows.write.mode("append").partitionBy("corpus").parquet(path)
+    return count
 
 
 def stream(spark: SparkSession, source: str, schema: str, sink: str, checkpoint: str, corpus: str, model: Callable | None = None) -> StreamingQuery:

@@ -327,6 +327,12 @@ def test_fusion_and_degradation(spark):
     assert [r.k for r in first.orderBy("rank").collect()] == ["a", "b"]
 
 
+def test_results_carry_their_equations(spark):
+    eqs = spark.createDataFrame([eq("b", "x = 1"), eq("a", "x = 1")], EQ).withColumn("status", F.lit("aprovado"))
+    results = spark.createDataFrame([("c", "d", "t", 1), ("c", "d", "z", 2)], "corpus string, documento string, topico string, rank int")
+    assert [(r.topico, r.equacoes) for r in GR.attach_equations(results, eqs).orderBy("rank").collect()] == [("t", ["a", "b"]), ("z", [])]
+
+
 def test_ingestion_resumes(spark, tmp_path):
     cols = "corpus string, documento string, topico string, parte int, texto string, cabecalho string"
     rows = spark.createDataFrame([("c", "d", f"t{i}", 1, f"x{i}", None) for i in range(40)], cols)
