@@ -179,6 +179,32 @@ def plan(equations: DataFrame, derivations: DataFrame, validity: DataFrame, proo
     }
 
 
+def apply_plan(graph: dict[str, DataFrame], wanted: dict[str, DataFrame], wave: str) -> dict[str, DataFrame]:
+    """The graph tables after a wave's plan: the same steps, in order, as one function of tables.
+
+    ``graph`` has equacao (corpus, nome, status, onda), deriva_de (corpus, mae, filha, status, onda),
+    usa (corpus, equacao, nome, simbolo, papel, onda) and variavel (corpus, nome, simbolo, status). Keys
+    owned by another wave refuse the plan before anything is computed; equations that the plan no longer
+    has are demoted, never deleted; the wave's edges are replaced; variables without use are dropped
+    and the status of the others follows their equations. Applying a plan twice changes nothing.
+    """
+    own = F.col("onda") == wave
+    new = wanted["equacao"].select("corpus", "nome", "status").withColumn("onda", F.lit(wave))
+    clash = collisions(graph["equacao"], new, ["corpus", "nome"], "onda").limit(20).collect()
+    if clash:
+        raise ValueError("chaves de outra onda: " + ", ".join(r.nome for r in clash))
+    gone = stale_nodes(graph["equacao"], new, ["corpus", "nome"], own).select("corpus", "nome", F.lit(True).alias("_fora"))
+    kept = graph["equacao"].join(gone, ["corpus", "nome"], "left").withColumn("status", F.when(F.col("_fora"), "staging").otherwise(F.col("status"))).drop("_fora")
+    equations = upsert(kept, new, ["corpus", "nome"])
+    edges = graph["deriva_de"].filter(~own).unionByName(wanted["deriva_de"].select("corpus", "mae", "filha", "status").withColumn("onda", F.lit(wave)))
+    used = graph["usa"].filter(~own).unionByName(wanted["usa"].withColumn("onda", F.lit(wave)))
+    nodes = upsert(graph["variavel"], wanted["variavel"], ["corpus", "nome"])
+    live = used.select("corpus", "nome", "equacao").distinct().join(equations.select("corpus", F.col("nome").alias("equacao"), F.col("status").alias("_s")), ["corpus", "equacao"], "left")
+    state = live.groupBy("corpus", "nome").agg(F.coalesce(F.bool_or(F.col("_s") == "aprovado"), F.lit(False)).alias("_ok"))
+    variables_ = nodes.join(state, ["corpus", "nome"]).withColumn("status", F.when(F.col("_ok"), "aprovado").otherwise("staging")).select(*graph["variavel"].columns)
+    return {"equacao": equations, "deriva_de": edges.distinct(), "usa": used.distinct(), "variavel": variables_}
+
+
 def plan_counts(parts: dict[str, DataFrame]) -> DataFrame:
     """(tipo, aprovados, staging) of the relations that carry a status."""
     rows = [df.agg(F.count_if(F.col("status") == "aprovado").alias("aprovados"), F.count_if(F.col("status") == "staging").alias("staging")).withColumn("tipo", F.lit(k)) for k, df in parts.items() if "status" in df.columns]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lastro.operators import hierarchy as H
 from lastro.operators import orphans as O
@@ -32,7 +33,8 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_paths(spark: SparkSession, d: str) -> DataFrame:
-    return H.hierarchy(table(spark, d, "derivation"), with_path=True).select("corpus", "nome", "raiz", "profundidade", "ciclo", "caminho")
+    rows = H.hierarchy(table(spark, d, "derivation"), with_path=True)
+    return rows.select("corpus", "nome", "raiz", "profundidade", "ciclo", F.array_join("caminho", " > ").alias("caminho"))
 
 
 def p5_descendants(spark: SparkSession, d: str) -> DataFrame:
@@ -78,7 +80,7 @@ select t.tabela, t.campo, t.onda, t.referencias, count(o.motivo) as orfas,
 from total t left join orphans o on o.tabela = t.tabela and o.campo = t.campo and o.onda is not distinct from t.onda group by 1, 2, 3, 4""",
     "p5_found": "with recursive" + _WALK + "select corpus, nome, ciclo from rings",
     "p5_paths": "with recursive" + _WALK + """
-select corpus, nome, raiz, profundidade, null::varchar as ciclo, caminho from ends
+select corpus, nome, raiz, profundidade, null::varchar as ciclo, array_to_string(caminho, ' > ') as caminho from ends
 union all select corpus, nome, null, null, ciclo, null from rings""",
     "p5_descendants": "with recursive" + _WALK + """
 select corpus, caminho[i] as nome, nome as descendente, profundidade - (i - 1) as distancia

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -67,6 +68,25 @@ def append(df: DataFrame, path: str, key: list[str]) -> str:
     return out
 
 
+def record_execution(spark: SparkSession, path: str, params: dict, counts: dict[str, int], content: str) -> None:
+    """Add one execution to the provenance manifest: its parameters, counts and content digest; no time."""
+    row = json.dumps({"parametros": params, "contagens": counts, "sha256": content}, sort_keys=True, ensure_ascii=False)
+    spark.createDataFrame([(row,)], "value string").coalesce(1).write.mode("append").text(path)
+
+
+def executions(spark: SparkSession, path: str) -> DataFrame:
+    """(nivel, sha256, linha) of the recorded executions; none where the manifest is missing."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], "nivel int, sha256 string, linha string")
+    line = F.col("value")
+    return spark.read.text(path).select(F.get_json_object(line, "$.parametros.nivel").try_cast("int").alias("nivel"), F.get_json_object(line, "$.sha256").alias("sha256"), line.alias("linha"))
+
+
+def level_conflicts(manifest: DataFrame, level: int) -> DataFrame:
+    """Executions that cut at another level than the one asked for."""
+    return manifest.filter(~F.col("nivel").eqNullSafe(level))
+
+
 def write_once(df: DataFrame, path: str) -> bool:
     """Write a folder once: the same content again changes nothing (False), different content is refused."""
     spark = df.sparkSession

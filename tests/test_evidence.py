@@ -211,6 +211,35 @@ def test_upsert_is_idempotent(spark):
     assert {r.nome for r in G.stale_nodes(g, p, ["corpus", "nome"], F.col("v") > 0).collect()} == {"a"}
 
 
+def test_plan_applied_twice_changes_nothing(spark):
+    node, edge, use, var = "corpus string, nome string, status string, onda string", "corpus string, mae string, filha string, status string, onda string", "corpus string, equacao string, nome string, simbolo string, papel string, onda string", "corpus string, nome string, simbolo string, status string"
+    graph = {
+        "equacao": spark.createDataFrame([("c", "old", "aprovado", "o1"), ("c", "gone", "aprovado", "o2")], node), "deriva_de": spark.createDataFrame([("c", "gone", "old", "aprovado", "o2")], edge),
+        "usa": spark.createDataFrame([("c", "old", "v", "x", "entrada", "o1"), ("c", "gone", "w", "y", "entrada", "o2")], use), "variavel": spark.createDataFrame([("c", "v", "x", "staging"), ("c", "w", "y", "aprovado")], var),
+    }
+    wanted = {
+        "equacao": spark.createDataFrame([("c", "new", "aprovado")], "corpus string, nome string, status string"), "deriva_de": spark.createDataFrame([("c", "old", "new", "aprovado")], "corpus string, mae string, filha string, status string"),
+        "usa": spark.createDataFrame([("c", "new", "z", "k", "entrada")], "corpus string, equacao string, nome string, simbolo string, papel string"), "variavel": spark.createDataFrame([("c", "z", "k", "staging")], var),
+    }
+    once = G.apply_plan(graph, wanted, "o2")
+    rows = lambda t: {k: sorted(map(tuple, df.collect())) for k, df in t.items()}
+    got = rows(once)
+    assert got["equacao"] == [("c", "gone", "staging", "o2"), ("c", "new", "aprovado", "o2"), ("c", "old", "aprovado", "o1")]
+    assert got["deriva_de"] == [("c", "old", "new", "aprovado", "o2")] and got["variavel"] == [("c", "v", "x", "aprovado"), ("c", "z", "k", "aprovado")]
+    assert rows(G.apply_plan(once, wanted, "o2")) == got
+    with pytest.raises(ValueError, match="old"):
+        G.apply_plan(graph, wanted | {"equacao": spark.createDataFrame([("c", "old", "staging")], "corpus string, nome string, status string")}, "o2")
+
+
+def test_sql_functions(spark):
+    from lastro.functions.registry import register
+
+    assert "segment_markdown" in register(spark)
+    row = spark.sql("select match_form('Ávila'), condition_names('a > 0'), parse_latex('x = 1', array('')).srepr, verdict_fault('verde', 'Out[1]= x', 'P2') is null").first()
+    assert tuple(row) == ("avila", ["a"], "Equality(Symbol('x'), Integer(1))", False)
+    assert [r.titulo for r in spark.sql("select * from segment_markdown('# A' || chr(10) || 'x' || chr(10) || '## B' || chr(10) || 'y', 2)").collect()] == ["A", "B"]
+
+
 def test_variables_and_conditions(spark):
     e = spark.createDataFrame([eq("q", "x = 2 y", variaveis=[("x", "saida"), ("y", "entrada_y")])], EQ)
     used = G.uses(e)

@@ -101,6 +101,14 @@ def test_jsonl(spark, tmp_path):
     assert [r.documento for r in J.pending(a, a.filter("parte = 1"), ["documento"]).collect()] == ["d2"]
 
 
+def test_execution_manifest(spark, tmp_path):
+    path = str(tmp_path / "manifesto")
+    assert J.executions(spark, path).count() == 0
+    for level in (2, 3):
+        J.record_execution(spark, path, {"nivel": level}, {"trechos": 5}, "ab")
+    assert [r.nivel for r in J.level_conflicts(J.executions(spark, path), 2).collect()] == [3]
+
+
 def test_wave(spark, tmp_path):
     report = {"source": "s", "generated_at": "", "items": [{"item_id": "i1", "route": "mermaid", "approved": True, "fallback": False}], "summary": {"itens": 1, "equacoes": {"equacoes_detectadas": 0}, "parse": {"paginas_falhas": 0}}}
     (tmp_path / "a.pdf.md").write_text("# A")
