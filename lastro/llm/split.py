@@ -147,7 +147,7 @@ def split_oversized(trecho: DataFrame, limit: int = LIMIT, overlap: int = OVERLA
     Result: trecho_id, documento, topico, parte, ordem, corpus, onda, texto, junta, cabecalho,
     pedaco; pieces of one trecho share its id and are told apart by ``pedaco``. Within
     (corpus, documento, topico) the parts keep their order and the natural key stays unique. A
-    repeated delivery of a trecho_id counts once. Null texts, empty texts and texts within the limit
+    repeated delivery of a trecho_id counts once; a row without trecho_id is left out. Null texts, empty texts and texts within the limit
     pass unchanged as pedaco 0; a null parte counts as 1; a null cabecalho repeats the opening
     title of the text, if it has one; other columns are not carried (a vector no longer fits).
     """
