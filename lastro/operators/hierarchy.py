@@ -167,19 +167,24 @@ def hierarchy(derivation: DataFrame, with_path: bool = False, parts: int | None
     ``ciclo`` is the smallest name (byte order) of the cycle that the links run into, else null;
     then raiz, profundidade and caminho are null. A repeated link counts once; of several parents of
     one name in a corpus the earliest registered counts; a self-link is a cycle of one; a null
-    corpus is a corpus of its own. Roots are the names without a link; they have no row.
+    corpus is a corpus of its own. Roots are the names without a link; they have no row. Names that
+    run into a cycle have their path in :func:`equations`.
     """
+    return _resolve(distinct_links(derivation), derivation.count(), with_path, parts)
+
+
+def _resolve(links: DataFrame, count: int, with_path: bool, parts: int | None) -> DataFrame:
+    """:func:`hierarchy` of at most ``count`` distinct links (corpus, filha, mae)."""
     # The corpus goes before the name with its length, so that the pair is one unambiguous string.
     tag = F.coalesce(F.concat(F.length("corpus").cast("string"), F.lit(":"), F.col("corpus")), F.lit("-:"))
-    links = distinct_links(derivation).select(
+    links = links.select(
         F.concat(tag, F.col("filha")).alias("node"), F.concat(tag, F.col("mae")).alias("parent"), F.lit(1).cast("bigint").alias("hops"),
         F.concat(tag, F.col("filha")).alias("low"), *[F.array(F.concat(tag, F.col("filha"))).alias("frag")] * with_path,
     )
     # Chains mostly stay within a document, so a document's neighbouring numbers share a partition.
     number = F.coalesce(F.regexp_extract("node", r"#(\d{1,9})$", 1).try_cast("bigint"), F.lit(0))
     place = [F.regexp_replace("node", r"#\d+$", ""), F.floor(number / 512)]
-    count = derivation.count()
-    out = _solve(links, parts or shuffle_partitions(derivation.sparkSession, count), count, with_path, place)
+    out = _solve(links, parts or shuffle_partitions(links.sparkSession, count), count, with_path, place)
 
     def name(c):
         cut = F.instr(c, ":") + F.coalesce(F.substring_index(c, ":", 1).try_cast("int"), F.lit(0))
@@ -194,11 +199,48 @@ def hierarchy(derivation: DataFrame, with_path: bool = False, parts: int | None
     )
 
 
+def equations(derivation: DataFrame, parts: int | None = None) -> DataFrame:
+    """:func:`hierarchy` with a path for every name: corpus, nome, raiz, profundidade, ciclo, caminho.
+
+    For names that run into a cycle the path goes up to and once round it: caminho then begins with
+    the name at which the links enter the cycle and comes back to it. raiz and profundidade stay null.
+    """
+    links = distinct_links(derivation)
+    rows = hierarchy(derivation, with_path=True, parts=parts)
+    return rows.filter("ciclo is null").unionByName(_ring_paths(links, rows, parts))
+
+
+def _ring_paths(links: DataFrame, rows: DataFrame, parts: int | None) -> DataFrame:
+    """The rows of :func:`equations` for names that run into a cycle.
+
+    Without the link of its smallest name a cycle is a chain below that name, so the links are a
+    forest whose paths end there; the path of that name's mae is the whole cycle.
+    """
+    ringed = rows.filter("ciclo is not null").select(F.col("corpus").alias("corpus_"), "nome", "ciclo")
+    held = durable(links.join(ringed, F.col("corpus").eqNullSafe(F.col("corpus_")) & (F.col("filha") == F.col("nome"))).select("corpus", "filha", "mae", "ciclo"))
+    top = F.col("filha") == F.col("ciclo")
+    chains = _resolve(held.filter(~top), held.count(), True, parts).select("corpus", "nome", F.col("raiz").alias("ciclo"), "caminho")
+    chains = durable(chains.unionByName(held.filter(top).select("corpus", F.col("filha").alias("nome"), "ciclo", F.array("filha").alias("caminho"))))
+    ends = held.filter(top).select(F.col("corpus").alias("corpus_"), F.col("mae").alias("mae_"), F.col("ciclo").alias("ciclo_"))
+    same = F.col("corpus").eqNullSafe(F.col("corpus_"))
+    rings = chains.join(ends, same & (F.col("nome") == F.col("mae_"))).select("corpus_", "ciclo_", F.col("caminho").alias("ring"))
+    # A path shares the cycle's chain down to the name at which it enters the cycle.
+    entry = F.size(F.array_intersect("caminho", "ring"))
+    return chains.join(rings, same & (F.col("ciclo") == F.col("ciclo_"))).select(
+        "corpus", "nome", F.lit(None).cast("string").alias("raiz"), F.lit(None).cast("bigint").alias("profundidade"), "ciclo",
+        F.concat(F.slice("ring", entry, F.size("ring") - entry + 1), "caminho").alias("caminho"),
+    )
+
+
 def descendants(resolved: DataFrame) -> DataFrame:
-    """All (corpus, nome, descendente, distancia) pairs of a :func:`hierarchy` with paths.
+    """All (corpus, nome, descendente, distancia) pairs of a :func:`hierarchy` with paths or of :func:`equations`.
 
     One row per pair, made from each node's own path: a node with very many descendants is many
-    rows, never one array.
+    rows, never one array. Names that run into a cycle have pairs only from :func:`equations`: one
+    for each other name on their path, at its smaller distance; no name is its own descendant.
     """
-    steps = resolved.filter("caminho is not null").select("corpus", F.col("nome").alias("descendente"), "profundidade", F.posexplode("caminho").alias("pos", "anc"))
-    return steps.filter("pos < profundidade").select("corpus", F.col("anc").alias("nome"), "descendente", (F.col("profundidade") - F.col("pos")).alias("distancia"))
+    last = (F.size("caminho") - 1).cast("bigint")
+    # The first name of a path round a cycle is met again on the path, or is the node itself.
+    first = F.when(F.col("ciclo").isNull(), 0).otherwise(1)
+    steps = resolved.filter("caminho is not null").select("corpus", F.col("nome").alias("descendente"), last.alias("last"), first.alias("first"), F.posexplode("caminho").alias("pos", "anc"))
+    return steps.filter("pos >= first and pos < last").select("corpus", F.col("anc").alias("nome"), "descendente", (F.col("last") - F.col("pos")).alias("distancia"))

@@ -41,7 +41,11 @@ def p5_descendants(spark: SparkSession, d: str) -> DataFrame:
     return H.descendants(H.hierarchy(table(spark, d, "derivation"), with_path=True))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_report, p5_found, p5_paths, p5_descendants)}
+def p5_all_descendants(spark: SparkSession, d: str) -> DataFrame:
+    return H.descendants(H.equations(table(spark, d, "derivation")))
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_report, p5_found, p5_paths, p5_descendants, p5_all_descendants)}
 
 _REFS = " union all ".join(
     f"select '{t}' as tabela, registro_id, '{c}' as campo, corpus, onda, {c} as nome, registrado_em as em from {t} where regexp_matches({c}, '\\S')"
@@ -85,4 +89,8 @@ union all select corpus, nome, null, null, ciclo, null from rings""",
     "p5_descendants": "with recursive" + _WALK + """
 select corpus, caminho[i] as nome, nome as descendente, profundidade - (i - 1) as distancia
 from (select *, unnest(range(1, profundidade + 1)) as i from ends)""",
+    "p5_all_descendants": "with recursive" + _WALK + """, paths as (
+  select corpus, nome, caminho, 1 as since from ends union all select corpus, nome, caminho, 2 from walk where volta or caminho[1] = caminho[-1])
+select corpus, caminho[i] as nome, nome as descendente, len(caminho) - i as distancia
+from (select *, unnest(range(since, len(caminho))) as i from paths)""",
 }

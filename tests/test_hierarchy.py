@@ -90,3 +90,36 @@ def test_empty_and_extra_columns(spark):
     for name in ("node", "exit", "parent", "hops", "low", "ciclo", "frag", "raiz"):
         df = df.withColumn(name, F.lit("?"))
     assert solved(df) == {("x", "b"): ("a", 1, None, ["a", "b"])}
+
+
+def walked(links):
+    """(root-first path with the closing name of a cycle) of every name, by walking the links."""
+    up = {}
+    for c, f, m in links:
+        if f and f.strip() and m and m.strip():
+            up.setdefault((c, f), m)
+    out = {}
+    for c, f in set(up) | {(c, m) for (c, _), m in up.items()}:
+        path = [f]
+        while (c, path[-1]) in up and path[-1] not in path[:-1]:
+            path.append(up[c, path[-1]])
+        out[c, f] = path[::-1]
+    return out
+
+
+RINGS = [
+    ("x", "a", "b"), ("x", "b", "c"), ("x", "c", "a"), ("x", "d", "c"), ("x", "e", "d"), ("x", "f", "b"), ("x", "s", "s"), ("x", "t", "s"),
+    ("y", "a", "r"), ("y", "b", "a"), (None, "k", "j"), (None, "j", "k"), (None, "l", "k"),
+]
+
+
+@pytest.mark.parametrize("links", [RINGS, forest(3, n=60)], ids=["rings", "forest"])
+def test_descendants_at_and_below_cycles(spark, links):
+    want = set()
+    for (c, n), path in walked(links).items():
+        for anc in set(path) - {n}:
+            want.add((c, anc, n, path[::-1].index(anc)))
+    rows = H.descendants(H.equations(frame(spark, links), parts=3)).collect()
+    assert len(rows) == len(want) and {(r.corpus, r.nome, r.descendente, r.distancia) for r in rows} == want
+    if links is RINGS:
+        assert {("x", "c", "e", 2), ("x", "c", "a", 2), ("x", "s", "t", 1)} <= want
