@@ -167,8 +167,8 @@ def hierarchy(derivation: DataFrame, with_path: bool = False, parts: int | None
     ``ciclo`` is the smallest name (byte order) of the cycle that the links run into, else null;
     then raiz, profundidade and caminho are null. A repeated link counts once; of several parents of
     one name in a corpus the earliest registered counts; a self-link is a cycle of one; a null
-    corpus is a corpus of its own. Roots are the names without a link; they have no row. Names that
-    run into a cycle have their path in :func:`equations`.
+    corpus is a corpus of its own. Roots are the names without a link; they have no row. Their
+    rows, and the paths of names that run into a cycle, are in :func:`equations`.
     """
     return _resolve(distinct_links(derivation), derivation.count(), with_path, parts)
 
@@ -200,14 +200,24 @@ def _resolve(links: DataFrame, count: int, with_path: bool, parts: int | None) -
 
 
 def equations(derivation: DataFrame, parts: int | None = None) -> DataFrame:
-    """:func:`hierarchy` with a path for every name: corpus, nome, raiz, profundidade, ciclo, caminho.
+    """Every name of the links with its path: corpus, nome, raiz, profundidade, ciclo, caminho.
 
+    As :func:`hierarchy`, and a row for each root (raiz = nome, profundidade 0, a path of one name).
     For names that run into a cycle the path goes up to and once round it: caminho then begins with
     the name at which the links enter the cycle and comes back to it. raiz and profundidade stay null.
     """
     links = distinct_links(derivation)
     rows = hierarchy(derivation, with_path=True, parts=parts)
-    return rows.filter("ciclo is null").unionByName(_ring_paths(links, rows, parts))
+    return rows.filter("ciclo is null").unionByName(_ring_paths(links, rows, parts)).unionByName(_roots(derivation, links))
+
+
+def _roots(derivation: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows of :func:`equations` for names that occur only as mae."""
+    known = links.select(F.col("corpus").alias("corpus_"), "filha")
+    maes = derivation.filter(F.col("filha").rlike(r"\S") & F.col("mae").rlike(r"\S")).select("corpus", F.col("mae").alias("nome")).distinct()
+    return maes.join(known, F.col("corpus").eqNullSafe(F.col("corpus_")) & (F.col("nome") == F.col("filha")), "left_anti").select(
+        "corpus", "nome", F.col("nome").alias("raiz"), F.lit(0).cast("bigint").alias("profundidade"), F.lit(None).cast("string").alias("ciclo"), F.array("nome").alias("caminho"),
+    )
 
 
 def _ring_paths(links: DataFrame, rows: DataFrame, parts: int | None) -> DataFrame:

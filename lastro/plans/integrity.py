@@ -41,11 +41,16 @@ def p5_descendants(spark: SparkSession, d: str) -> DataFrame:
     return H.descendants(H.hierarchy(table(spark, d, "derivation"), with_path=True))
 
 
+def p5_equations(spark: SparkSession, d: str) -> DataFrame:
+    rows = H.equations(table(spark, d, "derivation"))
+    return rows.select("corpus", "nome", "raiz", "profundidade", "ciclo", F.array_join("caminho", " > ").alias("caminho"))
+
+
 def p5_all_descendants(spark: SparkSession, d: str) -> DataFrame:
     return H.descendants(H.equations(table(spark, d, "derivation")))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_report, p5_found, p5_paths, p5_descendants, p5_all_descendants)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_report, p5_found, p5_paths, p5_descendants, p5_equations, p5_all_descendants)}
 
 _REFS = " union all ".join(
     f"select '{t}' as tabela, registro_id, '{c}' as campo, corpus, onda, {c} as nome, registrado_em as em from {t} where regexp_matches({c}, '\\S')"
@@ -89,6 +94,12 @@ union all select corpus, nome, null, null, ciclo, null from rings""",
     "p5_descendants": "with recursive" + _WALK + """
 select corpus, caminho[i] as nome, nome as descendente, profundidade - (i - 1) as distancia
 from (select *, unnest(range(1, profundidade + 1)) as i from ends)""",
+    "p5_equations": "with recursive" + _WALK + r"""
+select corpus, nome, raiz, profundidade, null::varchar as ciclo, array_to_string(caminho, ' > ') as caminho from ends
+union all select r.corpus, r.nome, null, null, ciclo, array_to_string(caminho, ' > ')
+from rings r join walk w on w.corpus = r.corpus and w.nome = r.nome and (volta or caminho[1] = caminho[-1])
+union all select distinct corpus, mae, mae, 0, null, mae from derivation d where regexp_matches(filha, '\S') and regexp_matches(mae, '\S')
+  and not exists (select 1 from links l where l.corpus = d.corpus and l.filha = d.mae)""",
     "p5_all_descendants": "with recursive" + _WALK + """, paths as (
   select corpus, nome, caminho, 1 as since from ends union all select corpus, nome, caminho, 2 from walk where volta or caminho[1] = caminho[-1])
 select corpus, caminho[i] as nome, nome as descendente, len(caminho) - i as distancia

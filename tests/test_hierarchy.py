@@ -123,3 +123,15 @@ def test_descendants_at_and_below_cycles(spark, links):
     assert len(rows) == len(want) and {(r.corpus, r.nome, r.descendente, r.distancia) for r in rows} == want
     if links is RINGS:
         assert {("x", "c", "e", 2), ("x", "c", "a", 2), ("x", "s", "t", 1)} <= want
+
+
+@pytest.mark.parametrize("links", [RINGS, forest(4, n=60)], ids=["rings", "forest"])
+def test_equations_have_roots_and_cycle_paths(spark, links):
+    rows = H.equations(frame(spark, links), parts=3).collect()
+    want = walked(links)
+    assert len(rows) == len(want) and {(r.corpus, r.nome): r.caminho for r in rows} == want
+    known = brute(links)
+    for r in rows:
+        assert (r.raiz, r.profundidade, r.ciclo) == known.get((r.corpus, r.nome), (r.nome, 0, None))[:3]
+    if links is RINGS:
+        assert want["y", "r"] == ["r"] and want["x", "s"] == ["s", "s"] and want["x", "e"] == ["c", "b", "a", "c", "d", "e"]
