@@ -214,8 +214,8 @@ def plain_line(line: str, words: list[str]) -> bool:
 def word_counts(text: str | None) -> tuple[int, int, int, int]:
     """Words of the text by the state of their line.
 
-    A page of nothing but plain lines, titles, tables and formulas is prose on the best path, since
-    each of these is likeliest in prose; the model need not be run on it.
+    A page of nothing but plain lines, titles, tables and formulas, none with a link, is prose on the
+    best path, since each of these is likeliest in prose; the model need not be run on it.
     """
     if not text or not text.strip():
         return 0, 0, 0, 0
@@ -223,7 +223,7 @@ def word_counts(text: str | None) -> tuple[int, int, int, int]:
     for line in text.split("\n"):
         if line and not line.isspace():
             words = _WORDS.findall(line.lower())
-            if not (plain_line(line, words) or _HEADING.match(line) or _STRUCTURE.search(line) and not _LINK.search(line)):
+            if not (plain_line(line, words) or (_HEADING.match(line) or _STRUCTURE.search(line)) and not _LINK.search(line)):
                 break
             sure += len(words)
     else:

@@ -65,3 +65,31 @@ def test_viterbi_against_all_paths():
         if s > best + 1e-12:
             best, path = s, states
     assert tuple(P.best_states(kinds)) == path
+
+
+def model_counts(text):
+    """Words by state from the units and the model alone, without any shortcut for whole pages."""
+    parts = list(P.units(text))
+    common, total = P.common_words(parts), [0, 0, 0, 0]
+    for (u, _), s in zip(parts, P.best_states([P.kind(*p, common) for p in parts])):
+        total[s] += len(P._WORDS.findall(u))
+    return tuple(total)
+
+
+LINKED = [f"## [Oferta de cauda {i}](http://loja.example/{i})" for i in range(12)]
+HEADINGS = {
+    "links only": "\n".join(LINKED),
+    "with plain lines": "\n".join(LINKED[:6] + [PROSE.split(". ")[0] + "."] + LINKED[6:]),
+    "bare addresses": "\n".join(f"# https://loja.example/{i}" for i in range(12)),
+}
+
+
+@pytest.mark.parametrize("name", HEADINGS)
+def test_headings_of_links(name):
+    n = P.word_counts(HEADINGS[name])
+    assert n == model_counts(HEADINGS[name]) and sum(n[1:]) > 0.5 * sum(n)
+
+
+def test_plain_headings_stay_prose():
+    text = "\n".join(f"## A cauda {i}\n{PROSE}" for i in range(6))
+    assert P.word_counts(text) == model_counts(text) and sum(P.word_counts(text)[1:]) == 0
