@@ -47,33 +47,45 @@ _LABEL = re.compile(r"\b(?=[0-9A-Z]*\d)[0-9A-Z]{2,}-\d+\b|\b(?:ref|mod|sku|item|
 _END = re.compile(r"[.!?:;…»”\"')]\s*$")
 _SENTENCES = re.compile(r"(?<=[.!?])\s+")
 _HEADING = re.compile(r"^\s*#{1,6}\s")
+_ENTRY = re.compile(r"\s*(\w[^:.!?,;]{0,60}):\s+\w")
 _STOP = re.compile(r"[.!?](?=\s|$)")
 _UNUSUAL = re.compile(r"[|•·»>~#=\[<$*]|https?:|www\.|\.{3}|(?<!\w)\w \w \w(?!\w)|\d-\d|\b[0-9A-Z]{2,}-\d| [-–—/+] ")
 
 
-TEXT, CODE, PROSE = range(3)
+#: Kinds that are likeliest in prose: a page of nothing else is prose on the best path.
+SURE = frozenset(k for k, v in EMISSION.items() if v[0] >= max(v[1:]))
+TEXT, CODE, ENTRY = range(3)
+
+
+def entry_term(line: str) -> str | None:
+    """The term that a line of a glossary explains in a sentence, or null if it is no such line."""
+    m = _ENTRY.match(line)
+    if not m or not _END.search(line) or _UNUSUAL.search(line):
+        return None
+    words = _WORDS.findall(line.lower())
+    if len(words) < 8 or 6 * (line.count(",") + line.count(";")) >= len(words):
+        return None
+    return m.group(1).lower() if sum(map(FUNCTION.__contains__, words)) >= 0.15 * len(words) else None
 
 
 def units(text: str) -> Iterator[tuple[str, int]]:
-    """(unit, TEXT, CODE or PROSE) in order: lines, with very short ones joined and long ones cut.
+    """(unit, TEXT, CODE or ENTRY) in order: lines, with very short ones joined and long ones cut.
 
-    PROSE marks plain lines, which stay whole.
+    ENTRY marks lines that explain a term as in a glossary, one that no earlier line has explained.
     """
-    fence, held = False, []
+    fence, held, terms = False, [], set()
     for line in text.split("\n"):
         if not line.strip():
             continue
         if line.lstrip().startswith(("```", "~~~")):
             fence = not fence
-        words = _WORDS.findall(line.lower())
-        count = len(words)
-        if not fence and plain_line(line, words):
-            if held:
-                yield " \n ".join(held), TEXT
-                held = []
-            yield line, PROSE
-            continue
-        plain = not fence and not _LINK.search(line) and not _STRUCTURE.search(line) and not _HEADING.match(line)
+        state = CODE if fence else TEXT
+        if not fence and ":" in line and (term := entry_term(line)) and term not in terms:
+            terms.add(term)
+            state = ENTRY
+        count = len(_WORDS.findall(line))
+        middle = 3 < count <= MOST_WORDS  # such lines are neither joined nor cut, whatever they are
+        plain = not middle and not fence and not _LINK.search(line) and not _STRUCTURE.search(line) and not _HEADING.match(line)
         if plain and count <= 3 and not _LABEL.search(line):
             held.append(line)
             if sum(len(x.split()) for x in held) >= LEAST_WORDS:
@@ -84,7 +96,7 @@ def units(text: str) -> Iterator[tuple[str, int]]:
             yield " \n ".join(held), TEXT
             held = []
         if count <= MOST_WORDS or not plain and not _LINK.search(line):
-            yield line, CODE if fence else TEXT
+            yield line, state
             continue
         part: list[str] = []
         for s in _SENTENCES.split(line):
@@ -92,26 +104,28 @@ def units(text: str) -> Iterator[tuple[str, int]]:
             for i in range(0, len(words), MOST_WORDS):
                 part += words[i:i + MOST_WORDS]
                 if len(part) >= LEAST_WORDS:
-                    yield " ".join(part), CODE if fence else TEXT
+                    yield " ".join(part), state
                     part = []
         if part:
-            yield " ".join(part), CODE if fence else TEXT
+            yield " ".join(part), state
     if held:
         yield " \n ".join(held), TEXT
 
 
-def kind(unit: str, state: int, common: Container[str] = ()) -> str:
-    """The observed kind of one unit; see EMISSION. ``common``: words that fill the whole page."""
-    if state == PROSE:
-        return "sentence"
+def kind(unit: str, state: int, common: Container[str] = (), words: list[str] | None = None) -> str:
+    """The observed kind of one unit; see EMISSION. ``common``: words that fill the whole page.
+
+    ``words``: those of the unit in lower case, where they are known already.
+    """
     if state == CODE:
         return "structure"
-    words = _WORDS.findall(unit.lower())
+    words = _WORDS.findall(unit.lower()) if words is None else words
     n = len(words)
     variety = len(set(words)) / max(1, n)
     glue = sum(map(FUNCTION.__contains__, words)) / max(1, n)
     content = [w for w in words if w not in FUNCTION] if common else []
-    echo = sum(w in common for w in content) / len(content) if len(content) >= 4 else 0.0
+    # A glossary explains its terms in much the same words.
+    echo = sum(w in common for w in content) / len(content) if len(content) >= 4 and state != ENTRY else 0.0
     if n >= 8 and variety > 0.6 and glue >= 0.12 and echo < 0.6 and not _UNUSUAL.search(unit) and unit.count(",") + unit.count(";") < 3:
         return "sentence"
     if _STRUCTURE.search(unit):
@@ -156,17 +170,18 @@ def kind(unit: str, state: int, common: Container[str] = ()) -> str:
     return "short" if n <= 8 or glue < 0.1 else "sentence"
 
 
-def common_words(parts: list[tuple[str, int]]) -> set[str]:
+def common_words(parts: list[tuple[str, int]], words: list[list[str]] | None = None) -> set[str]:
     """Content words that fill the page: those in at least 4 and in half of its different units.
 
-    A unit repeated word for word, as in a refrain, counts once.
+    A unit repeated word for word, as in a refrain, counts once. ``words``: as in :func:`kind`, of each part.
     """
-    distinct = {u.lower() for u, state in parts if state == TEXT}
+    words = [_WORDS.findall(u.lower()) for u, _ in parts] if words is None else words
+    distinct = {u.lower(): w for (u, state), w in zip(parts, words) if state != CODE}
     if len(distinct) < 4:
         return set()
     seen: Counter = Counter()
-    for u in distinct:
-        seen.update(set(_WORDS.findall(u)))
+    for w in distinct.values():
+        seen.update(set(w))
     least = max(4, len(distinct) / 2)
     return {w for w, k in seen.items() if k >= least and w not in FUNCTION}
 
@@ -201,38 +216,19 @@ def best_states(kinds: list[str]) -> list[int]:
     return path[::-1]
 
 
-def plain_line(line: str, words: list[str]) -> bool:
-    """A line that is sentences beyond doubt: ordinary signs, enough function words, little repetition."""
-    n = len(words)
-    if n < 8 or _UNUSUAL.search(line) or not _END.search(line):
-        return False
-    if 6 * (line.count(",") + line.count(";")) >= n or sum(map(FUNCTION.__contains__, words)) < 0.15 * n:
-        return False
-    return len(set(words)) > n * (0.6 if n <= 60 else 0.5 if n <= 150 else 0.4)
-
-
 def word_counts(text: str | None) -> tuple[int, int, int, int]:
-    """Words of the text by the state of their line.
-
-    A page of nothing but plain lines, titles, tables and formulas, none with a link, is prose on the
-    best path, since each of these is likeliest in prose; the model need not be run on it.
-    """
+    """Words of the text by the state of their line."""
     if not text or not text.strip():
         return 0, 0, 0, 0
-    sure = 0
-    for line in text.split("\n"):
-        if line and not line.isspace():
-            words = _WORDS.findall(line.lower())
-            if not (plain_line(line, words) or (_HEADING.match(line) or _STRUCTURE.search(line)) and not _LINK.search(line)):
-                break
-            sure += len(words)
-    else:
-        return sure, 0, 0, 0
     parts = list(units(text))
-    common = common_words(parts)
+    words = [_WORDS.findall(u.lower()) for u, _ in parts]
+    common = common_words(parts, words)
+    kinds = [kind(*p, common, w) for p, w in zip(parts, words)]
+    if SURE.issuperset(kinds):
+        return sum(map(len, words)), 0, 0, 0
     total = [0, 0, 0, 0]
-    for (u, _), s in zip(parts, best_states([kind(*p, common) for p in parts])):
-        total[s] += len(_WORDS.findall(u))
+    for w, s in zip(words, best_states(kinds)):
+        total[s] += len(w)
     return tuple(total)
 
 

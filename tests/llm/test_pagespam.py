@@ -93,3 +93,25 @@ def test_headings_of_links(name):
 def test_plain_headings_stay_prose():
     text = "\n".join(f"## A cauda {i}\n{PROSE}" for i in range(6))
     assert P.word_counts(text) == model_counts(text) and sum(P.word_counts(text)[1:]) == 0
+
+
+def test_keywords_in_sentences_one_a_line():
+    from itertools import islice, permutations
+
+    words = permutations(("software", "cauda", "calculadora", "aposta", "planilha", "risco"))
+    text = "\n".join("{} de {}, {} de {} e {} de {}.".format(*w).capitalize() for w in islice(words, 0, 720, 60))
+    n = P.word_counts(text)
+    assert n == model_counts(text) and sum(n[1:]) > 0.5 * sum(n)
+    # The same label before every line makes no glossary of it.
+    n = P.word_counts("\n".join(f"Ofertas: {x}" for x in text.lower().split("\n")))
+    assert sum(n[1:]) > 0.5 * sum(n)
+
+
+def test_repeats_within_long_lines():
+    """Each sentence says its words twice, other words each, so the line has more variety than its sentences."""
+    sentences = []
+    for i in range(6):
+        w = [f"termo{chr(97 + i)}{chr(97 + k)}" for k in range(11)]
+        sentences.append(" ".join([*w, "de", "e", *w, "de", "e", "com", w[0]]) + ".")
+    n = P.word_counts(" ".join(sentences))
+    assert n == model_counts(" ".join(sentences)) and sum(n[1:]) > 0.5 * sum(n)
