@@ -94,7 +94,9 @@ def bootstrap_interval(df: DataFrame, key: str, order: list[str], statistic: str
     sizes = large.groupBy(key).agg(F.count("*").alias("n"))
     lists = measured.select(F.col(f"_k.{key}").alias(key), F.col(statistic).alias("v")).groupBy(key).agg(F.sort_array(F.collect_list("v")).alias("vs"))
     lows, highs = int(0.025 * resamples), int(0.975 * resamples) - 1
-    wide = lists.join(sizes, key).select(key, "n", F.try_element_at("vs", F.lit(lows + 1)).alias("baixo"), F.try_element_at("vs", F.lit(highs + 1)).alias("alto"))
+    # A degenerate resample is null and left out by collect_list; one without any row has no list entry either.
+    whole = F.size("vs") == resamples
+    wide = sizes.join(lists, key, "left").select(key, "n", *[F.when(whole, F.try_element_at("vs", F.lit(i + 1))).alias(c) for c, i in (("baixo", lows), ("alto", highs))])
     return exact.unionByName(wide)
 
 

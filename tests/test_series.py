@@ -169,3 +169,10 @@ def test_generators(spark):
     p = T.samples(spark, 4000, "pareto", 3, 2.5).select(F.lit("a").alias("serie"), "x")
     assert abs(one(T.hill(p, "serie", "right", 400), "alfa")["a"] - 2.5) < 0.4
     assert T.samples(spark, 10, "cauchy", 1).collect() == T.samples(spark, 10, "cauchy", 1).collect()
+
+
+def test_degenerate_resamples_make_no_interval(spark):
+    df = spark.createDataFrame([("a", i, float(i == 3)) for i in range(12)] + [("b", i, 1.0) for i in range(12)], "serie string, i int, x double")
+    for most in (100, 5):
+        got = {r.serie: (r.n, r.baixo, r.alto) for r in B.bootstrap_interval(df, "serie", ["i"], "kappa_1", resamples=60, most=most).collect()}
+        assert got == {"a": (12, None, None), "b": (12, None, None)}
