@@ -71,7 +71,8 @@ def cosine_topk(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: i
 
     Every task holds a block of queries of a checked size and keeps its k best of each; the merge
     ranks at most k rows per query and task. Ties after rounding to 6 decimals go to the smaller key.
-    Rows whose vector is null, of another length, not finite or zero have no similarity.
+    Rows whose vector is null, not finite or zero have no similarity. Each length among the queries is
+    searched in the rows of that length, with a scan of its own.
     """
     spark = rows.sparkSession
     total = queries.count()
@@ -79,36 +80,35 @@ def cosine_topk(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: i
     out = None
     for i in range(blocks):
         block = queries.filter(F.pmod(F.xxhash64(key), F.lit(blocks)) == i).select(F.col(key).cast("bigint").alias("q"), F.col(vector).cast("array<double>").alias("v")).filter("v is not null").collect()
-        if not block:
-            continue
-        size = len(block[0].v)
-        held = spark.sparkContext.broadcast(([r.q for r in block if len(r.v) == size], np.array([r.v for r in block if len(r.v) == size], dtype=float)))
-
-        def run(batches: Iterator[pa.RecordBatch], held=held, size=size) -> Iterator[pa.RecordBatch]:
-            ids, q = held.value
-            ids = np.array(ids)
-            q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-            best: tuple[np.ndarray, np.ndarray] | None = None
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
-                n = np.linalg.norm(x, axis=1)
-                good = np.isfinite(n) & (n > 0)
-                who, x = b.column(0).to_numpy()[good], x[good] / n[good, None]
-                s = np.round(q @ x.T, 6)
-                s[ids[:, None] == who[None, :]] = -np.inf
-                both = (s, np.broadcast_to(who, s.shape)) if best is None else (np.concatenate([best[0], s], 1), np.concatenate([best[1], np.broadcast_to(who, s.shape)], 1))
-                order = np.lexsort((both[1], -both[0]), axis=1)[:, :k]
-                best = tuple(np.take_along_axis(a, order, 1) for a in both)
-            if best is not None:
-                c = np.repeat(ids, best[0].shape[1])
-                keep = np.isfinite(best[0].ravel())
-                yield pa.RecordBatch.from_arrays([pa.array(c[keep]), pa.array(best[1].ravel()[keep]), pa.array(best[0].ravel()[keep])], ["consulta", key, "score"])
-
-        usable = rows.select(F.col(key).cast("bigint").alias(key), F.col(vector).cast("array<double>").alias("v")).filter(F.size("v") == size)
-        part = usable.mapInArrow(run, f"consulta bigint, `{key}` bigint, score double")
-        out = part if out is None else out.unionByName(part)
+        for size in sorted({len(r.v) for r in block} - {0}):
+            same = [r for r in block if len(r.v) == size]
+            held = spark.sparkContext.broadcast(([r.q for r in same], np.array([r.v for r in same], dtype=float)))
+
+            def run(batches: Iterator[pa.RecordBatch], held=held, size=size) -> Iterator[pa.RecordBatch]:
+                ids, q = held.value
+                ids = np.array(ids)
+                q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+                best: tuple[np.ndarray, np.ndarray] | None = None
+                for b in batches:
+                    if not b.num_rows:
+                        continue
+                    x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+                    n = np.linalg.norm(x, axis=1)
+                    good = np.isfinite(n) & (n > 0)
+                    who, x = b.column(0).to_numpy()[good], x[good] / n[good, None]
+                    s = np.round(q @ x.T, 6)
+                    s[ids[:, None] == who[None, :]] = -np.inf
+                    both = (s, np.broadcast_to(who, s.shape)) if best is None else (np.concatenate([best[0], s], 1), np.concatenate([best[1], np.broadcast_to(who, s.shape)], 1))
+                    order = np.lexsort((both[1], -both[0]), axis=1)[:, :k]
+                    best = tuple(np.take_along_axis(a, order, 1) for a in both)
+                if best is not None:
+                    c = np.repeat(ids, best[0].shape[1])
+                    keep = np.isfinite(best[0].ravel())
+                    yield pa.RecordBatch.from_arrays([pa.array(c[keep]), pa.array(best[1].ravel()[keep]), pa.array(best[0].ravel()[keep])], ["consulta", key, "score"])
+
+            usable = rows.select(F.col(key).cast("bigint").alias(key), F.col(vector).cast("array<double>").alias("v")).filter(F.size("v") == size)
+            part = usable.mapInArrow(run, f"consulta bigint, `{key}` bigint, score double")
+            out = part if out is None else out.unionByName(part)
     if out is None:
         return spark.createDataFrame([], f"consulta bigint, `{key}` bigint, score double, rank int")
     w = Window.partitionBy("consulta").orderBy(F.desc("score"), key)

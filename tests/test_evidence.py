@@ -398,3 +398,12 @@ def test_current_takes_the_latest(spark):
     cols = "candidate_id bigint, " + EQ + ", registrado_em timestamp_ntz, removido_em timestamp_ntz"
     rows = [(1, *eq("a", "x = 1"), t(2026, 1, 1), t(2026, 2, 1)), (2, *eq("a", "x = 2"), t(2026, 3, 1), None), (2, *eq("a", "x = 2"), t(2026, 3, 1), None)]
     assert [(r.nome, r.latex) for r in P.current(spark.createDataFrame(rows, cols)).collect()] == [("a", "x = 2")]
+
+
+@pytest.mark.parametrize("odd_first", [True, False])
+def test_cosine_searches_every_length(spark, odd_first):
+    rows = [(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [0.0, 1.0]), (4, [1.0, 2.0, 3.0]), (5, [1.0, 2.0, 2.0]), (6, []), (7, None)]
+    asked = [rows[3], rows[0], rows[5]] if odd_first else [rows[0], rows[3], rows[5]]
+    frame = lambda r: spark.createDataFrame(r, "vec_id bigint, v array<double>").coalesce(1)
+    got = {(r.consulta, r.vec_id, r["rank"]) for r in R.cosine_topk(frame(rows), frame(asked), "vec_id", "v", 2).collect()}
+    assert got == {(1, 2, 1), (1, 3, 2), (4, 5, 1)}
