@@ -133,6 +133,11 @@ def parse_equations(spark, d):
     return rows.select("candidate_id", F.col("p.srepr").alias("srepr"))
 
 
+def parse_candidates(spark, d):
+    rows = E.parsed(_candidate(spark, d).select("candidate_id", "latex", "funcoes_declaradas").distinct(), functions="funcoes_declaradas")
+    return rows.select("candidate_id", F.col("p.srepr").alias("srepr"), F.col("p.motivo").alias("motivo"))
+
+
 def equation_forms(spark, d):
     return _candidate(spark, d).select("candidate_id", E.equation_form(F.col("srepr")).alias("forma"), F.array_join(E.symbol_names(F.col("srepr")), ",").alias("simbolos"), E.left_symbol(F.col("srepr")).alias("isolado")).distinct()
 
@@ -313,7 +318,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         route_rollup, wave_totals, route_cube, token_map_sum, distinct_models, cost_partial, silent_loss_flags, full_outer_pair_check, latest_by_key, prev_hash_chain,
-        title_disambiguation, segment_markdown, segmentation_summary, length_alerts, chunk_violations, embedded_lengths, display_equations, equation_candidates, preparse_loss, parse_equations,
+        title_disambiguation, segment_markdown, segmentation_summary, length_alerts, chunk_violations, embedded_lengths, display_equations, equation_candidates, preparse_loss, parse_equations, parse_candidates,
         equation_forms, simulate_functions, proof_p1, proof_p2, proof_p3, recorded_faults, proof_states, verdict_rule, proof_p4, two_routes, ambiguous_pairs, orphan_proofs, verdict_histogram,
         proof_identity, canonical_fonte, fingerprint_sha256, gate_equations, gate_edges, variable_status, variable_uses, valid_under, plan_counts, stale_nodes, wave_collisions, upsert_merge,
         orphan_vars, approved_parents, topic_equations, node_label_counts, layer_status, rename_plan, bm25_topk, cosine_topk, rrf_fusion,

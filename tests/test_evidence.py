@@ -12,6 +12,7 @@ from lastro.operators import proofs as P
 from lastro.operators import quality as Q
 from lastro.operators import search as R
 from lastro.operators import segment as S
+from lastro.plans import evidence
 from lastro.streaming import ingest as I
 
 GRN, RED, OPN = "verde", "vermelho", "indeterminado"
@@ -407,3 +408,32 @@ def test_cosine_searches_every_length(spark, odd_first):
     frame = lambda r: spark.createDataFrame(r, "vec_id bigint, v array<double>").coalesce(1)
     got = {(r.consulta, r.vec_id, r["rank"]) for r in R.cosine_topk(frame(rows), frame(asked), "vec_id", "v", 2).collect()}
     assert got == {(1, 2, 1), (1, 3, 2), (4, 5, 1)}
+
+
+#: The candidates of the smallest tables that have no recorded srepr: each is readable, whatever its recorded motivo.
+UNRECORDED = {
+    r"G = \frac{16}{9}z^{2}": "Equality(Symbol('G'), Mul(Rational(16, 9), Pow(Symbol('z'), Integer(2))))",
+    r"f = \frac{\beta}{\rho + 61}": "Equality(Symbol('f'), Mul(Symbol('beta'), Pow(Add(Symbol('rho'), Integer(61)), Integer(-1))))",
+    r"\rho = 67 y + z": "Equality(Symbol('rho'), Add(Mul(Integer(67), Symbol('y')), Symbol('z')))",
+    r"q = 59 \ln(R)": "Equality(Symbol('q'), Mul(Integer(59), log(Symbol('R'))))",
+    r"h = \frac{u}{K + 96}": "Equality(Symbol('h'), Mul(Symbol('u'), Pow(Add(Symbol('K'), Integer(96)), Integer(-1))))",
+    r"T = 30 \lambda + v": "Equality(Symbol('T'), Add(Mul(Integer(30), Symbol('lambda')), Symbol('v')))",
+    r"\rho = \frac{9}{4}K^{2}": "Equality(Symbol('rho'), Mul(Rational(9, 4), Pow(Symbol('K'), Integer(2))))",
+    r"R = 38 \ln(L)": "Equality(Symbol('R'), Mul(Integer(38), log(Symbol('L'))))",
+}
+
+
+def test_every_candidate_is_parsed(spark, data):
+    recorded = spark.read.parquet(f"{data}/candidate.parquet").select("candidate_id", "latex", "srepr").distinct()
+    rows = evidence.parse_candidates(spark, data).withColumnsRenamed({"srepr": "got"}).join(recorded, "candidate_id").collect()
+    assert len(rows) == recorded.count() and {r.latex for r in rows if r.srepr is None} == set(UNRECORDED)
+    for r in rows:
+        assert (r.got, r.motivo) == (r.srepr or UNRECORDED[r.latex], None)
+
+
+def test_losses_of_candidates_come_out(spark, tmp_path):
+    rows = [(1, r"x = \text{se}", None), (2, "a = b = c", None), (3, "g(x) = 2", ["g"]), (4, "y = 2", None), (5, None, None)]
+    spark.createDataFrame(rows, "candidate_id bigint, latex string, funcoes_declaradas array<string>").write.parquet(f"{tmp_path}/candidate.parquet")
+    got = {r.candidate_id: (r.srepr, r.motivo) for r in evidence.parse_candidates(spark, str(tmp_path)).collect()}
+    assert got[1][0] is None and got[1][1].startswith("nao_suportado") and got[2] == (None, "relacao_encadeada")
+    assert got[3][0] is not None and got[4] == ("Equality(Symbol('y'), Integer(2))", None) and got[5][0] is None
