@@ -79,14 +79,14 @@ def kappa_1(df: DataFrame, key: str, x: str = "x") -> DataFrame:
 
 
 def survival(df: DataFrame, key: str, x: str = "x") -> DataFrame:
-    """(key, ln_x, ln_p): log-log survival of |x|: each different value with the share strictly above.
+    """(key, ln_x, ln_p): log-log survival of |x| > 0: each different value with the share strictly above.
 
-    Zeros count in the sample but have no point; the largest value (share 0) has none either.
+    Zeros, nulls and NaN are no part of the sample; the largest value (share 0) has no point.
     """
-    good = df.filter(F.col(x).isNotNull() & ~F.isnan(F.col(x))).select(key, F.abs(F.col(x)).alias("v"))
+    good = df.select(key, F.abs(F.col(x)).alias("v")).filter((F.col("v") > 0) & ~F.isnan("v"))
     counts = good.groupBy(key, "v").agg(F.count("*").alias("c")).withColumn("_b", value_bucket(F.col("v")))
     total = good.groupBy(key).agg(F.count("*").alias("n"))
-    run = running(counts, [key], "_b", ["v"], {"upto": F.col("c")}).join(total, key).filter("v > 0 and upto < n")
+    run = running(counts, [key], "_b", ["v"], {"upto": F.col("c")}).join(total, key).filter("upto < n")
     return run.select(key, F.ln("v").alias("ln_x"), F.ln((F.col("n") - F.col("upto")) / F.col("n")).alias("ln_p"))
 
 

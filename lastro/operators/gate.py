@@ -96,23 +96,34 @@ def gate_edges(derivations: DataFrame, proofs: DataFrame, gated: DataFrame, acce
 
 
 def uses(equations: DataFrame, renames: DataFrame | None = None) -> DataFrame:
-    """(corpus, equacao, nome, simbolo, papel): variables of each equation; the isolated symbol is ``definida``."""
+    """(corpus, equacao, nome, simbolo, papel): variables of each equation; ``definida`` if one of its symbols is isolated."""
     from lastro.operators.equations import left_symbol
 
     v = equations.filter("variaveis is not null").select("corpus", F.col("nome").alias("equacao"), "srepr", F.explode("variaveis").alias("v")).select("corpus", "equacao", "srepr", "v.simbolo", "v.nome")
     if renames is not None:
         r = renames.select("corpus", "equacao", "simbolo", F.col("nome").alias("_novo"))
         v = v.join(r, ["corpus", "equacao", "simbolo"], "left").withColumn("nome", F.coalesce("_novo", "nome")).drop("_novo")
-    role = F.when(F.col("simbolo") == left_symbol(F.col("srepr")), "definida").otherwise("entrada")
-    return v.select("corpus", "equacao", "nome", "simbolo", role.alias("papel"))
+    isolated = F.coalesce(F.col("simbolo") == left_symbol(F.col("srepr")), F.lit(False))
+    whole = v.groupBy("corpus", "equacao", "nome").agg(F.array_sort(F.collect_set("simbolo")).alias("_s"), F.bool_or(isolated).alias("_d"))
+    return whole.select("corpus", "equacao", "nome", F.explode("_s").alias("simbolo"), F.when(F.col("_d"), "definida").otherwise("entrada").alias("papel"))
 
 
-def variables(used: DataFrame, gated: DataFrame) -> DataFrame:
-    """(corpus, nome, simbolo, status): shortest-first symbol, approved when any approved equation uses it."""
+def variables(used: DataFrame, gated: DataFrame, equations: DataFrame) -> DataFrame:
+    """(corpus, nome, simbolo, documento, topico, status) of every variable.
+
+    The first approved equation (by ordem, then name) that uses it gives its source, or the first of
+    all where none is approved; uses before that one do not count. The symbol is the smallest in byte
+    order among the uses that count.
+    """
     g = gated.select("corpus", F.col("nome").alias("equacao"), (F.col("status") == "aprovado").alias("ok"))
-    j = used.join(g, ["corpus", "equacao"], "left")
-    best = F.min(F.struct(F.length("simbolo").alias("n"), "simbolo"))
-    return j.groupBy("corpus", "nome").agg(best.alias("s"), F.coalesce(F.bool_or("ok"), F.lit(False)).alias("ok")).select("corpus", "nome", "s.simbolo", F.when(F.col("ok"), "aprovado").otherwise("staging").alias("status"))
+    e = equations.select("corpus", F.col("nome").alias("equacao"), "ordem", F.col("fonte.documento").alias("documento"), F.col("fonte.topico").alias("topico"))
+    j = used.join(g, ["corpus", "equacao"], "left").join(e, ["corpus", "equacao"], "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
+    at = F.struct(F.coalesce("ordem", F.lit(2**31 - 1)).alias("o"), "equacao")
+    key = ["corpus", "nome"]
+    first = j.groupBy(*key).agg(F.bool_or("ok").alias("ok"), F.coalesce(F.min(F.when(F.col("ok"), at)), F.min(at)).alias("de"))
+    own = j.drop("ok").withColumn("at", at).join(first, key).filter(F.col("at") >= F.col("de"))
+    head = F.min(F.struct("at", "documento", "topico"))
+    return own.groupBy(*key).agg(F.min("simbolo").alias("simbolo"), head.alias("h"), F.max("ok").alias("ok")).select(*key, "simbolo", "h.documento", "h.topico", F.when(F.col("ok"), "aprovado").otherwise("staging").alias("status"))
 
 
 def valid_under(validity: DataFrame, used: DataFrame) -> DataFrame:
@@ -174,7 +185,7 @@ def plan(equations: DataFrame, derivations: DataFrame, validity: DataFrame, proo
     gated = gate_equations(equations, proofs, validity, accepted)
     used = uses(equations)
     return {
-        "equacao": gated, "deriva_de": gate_edges(derivations, proofs, gated, accepted), "usa": used, "variavel": variables(used, gated),
+        "equacao": gated, "deriva_de": gate_edges(derivations, proofs, gated, accepted), "usa": used, "variavel": variables(used, gated, equations),
         "definida_por": used.filter("papel = 'definida'").select("corpus", "nome", "equacao"), "valida_sob": valid_under(validity, used),
     }
 

@@ -7,7 +7,9 @@ in the order in which the formula is written.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
+import sys
 
 #: Greek letters that name symbols.
 GREEK = frozenset(
@@ -27,6 +29,180 @@ class Loss(ValueError):
     """A formula that cannot be read honestly; the message is the declared reason."""
 
 
+#: Commands and forms refused before reading, first in precedence first ("..." and "accent" stand for their lists).
+REFUSED = ("\\Pr", "\\mathrm{d}", "\\forall", "\\begin{aligned}", "\\begin", "\\exists", "...", "\\\\", "accent", "\\{", "^{(", "_{(", "\\Delta")
+DOTS = frozenset("dots cdots ldots vdots ddots".split())
+ACCENTS = frozenset("overline underline widehat widetilde hat bar tilde check breve dot ddot vec acute grave mathring overrightarrow overleftarrow underbrace overbrace".split())
+BIG_OPERATORS = frozenset("sum prod int oint lim max min sup inf bigcup bigcap".split())
+MARKUP = frozenset("mathbb mathrm mathit mathbf mathcal mathsf boldsymbol operatorname text textrm mbox".split())
+COMPARISONS = frozenset("= < > \\le \\leq \\ge \\geq \\ne \\neq \\lt \\gt \\approx \\equiv \\sim \\simeq \\ll \\gg \\propto".split())
+_RANK = {x: i for i, x in enumerate(REFUSED)}
+_CLOSES = {"{": "}", "(": ")", "[": "]"}
+
+
+class _Stream:
+    """The tokens of a formula with what stands around them."""
+
+    def __init__(self, latex: str):
+        found = list(_TOKEN.finditer(latex))
+        self.t = [m[0] for m in found]
+        # A letter right after a letter is part of a word.
+        self.lone = [not (i and found[i - 1].end() == m.start() and found[i - 1][0][-1].isalpha()) for i, m in enumerate(found)]
+
+    def at(self, i: int) -> str:
+        return self.t[i] if 0 <= i < len(self.t) else ""
+
+    def shut(self, i: int) -> int:
+        """Where the bracket at i is closed, or -1."""
+        a, depth = self.at(i), 0
+        for j in range(i, len(self.t)):
+            depth += (self.t[j] == a) - (self.t[j] == _CLOSES[a])
+            if not depth:
+                return j
+        return -1
+
+    def inner(self, i: int) -> str | None:
+        """Text of the group without braces inside that opens at i."""
+        j = self.shut(i) if self.at(i) == "{" else -1
+        return "".join(self.t[i + 1:j]) if j > 0 and "{" not in self.t[i + 1:j] else None
+
+    def star(self, i: int) -> int:
+        """Last token of the star exponent at i (``^*`` or ``^{*}``), or 0."""
+        if self.at(i) != "^":
+            return 0
+        stars = ("*", "\\ast", "\\star")
+        return i + 1 if self.at(i + 1) in stars else i + 3 if self.inner(i + 1) in stars else 0
+
+    def base(self, i: int) -> bool:
+        """A lone letter or a Greek letter."""
+        x = self.at(i)
+        return len(x) == 1 and x.isascii() and x.isalpha() and self.lone[i] or x[1:] in GREEK and x[:1] == "\\"
+
+
+def _refused(s: _Stream) -> str | None:
+    """The refused form of the highest precedence."""
+    best: tuple[int, str] | None = None
+    for i, x in enumerate(s.t):
+        name, then = x[1:], s.at(i + 1)
+        form, said = x, x
+        if name in DOTS and x[0] == "\\":
+            form = "..."
+        elif name in ACCENTS and x[0] == "\\":
+            form = "accent"
+        elif x == "\\mathrm" and s.inner(i + 1) == "d":
+            form = said = "\\mathrm{d}"
+        elif x == "\\begin":
+            kind = s.inner(i + 1)
+            if kind is None:
+                continue
+            form, said = "\\begin{aligned}" if kind in ("aligned", "aligned*") else x, f"\\begin{{{kind}}}"
+        elif x in ("^", "_") and then == "{" and s.at(i + 2) == "(":
+            form = said = f"{x}{{("
+        elif x.startswith("\\Delta"):
+            if len(x) == 6 and not (then[:1].isalpha() or then[1:] in GREEK and then[:1] == "\\"):
+                continue
+            form = said = "\\Delta"
+        rank = _RANK.get(form, len(REFUSED))
+        if rank < (best[0] if best else len(REFUSED)):
+            best = (rank, said)
+    return best and best[1]
+
+
+def _scripted(s: _Stream) -> bool:
+    """Is there a subscript with an exponent after it that is no limit of an operator?"""
+    for i, x in enumerate(s.t):
+        if x != "_":
+            continue
+        if s.at(i + 1) == "{":
+            end = s.shut(i + 1) + 1 if s.inner(i + 1) is not None else 0
+        else:
+            end = i + 2 if len(s.at(i + 1)) == 1 and s.at(i + 1).isalnum() or re.fullmatch(r"\\[A-Za-z]+", s.at(i + 1)) else 0
+        before = s.at(i - 1)
+        if before in ("\\limits", "\\nolimits"):
+            before = s.at(i - 2)
+        if end and s.at(end) == "^" and not (before[:1] == "\\" and before[1:] in BIG_OPERATORS):
+            return True
+    return False
+
+
+def _symbols_of_several_signs(s: _Stream) -> tuple[list[tuple[str, int]], set[int]]:
+    """(name, last token) of symbols like ``x^*``, ``T_{max}`` or ``\\mathit{ab}``, and the markup that has a meaning."""
+    found, used = [], set()
+    for i, x in enumerate(s.t):
+        name, end, word = None, i, s.inner(i + 1)
+        plain = re.fullmatch(r"[A-Za-z]+", word or "")
+        if s.base(i) and (mark := s.star(i + 1)):
+            name, end = "star", mark
+        elif s.base(i) and s.at(i + 1) == "_" and s.at(i + 2) == "{":
+            end, k = s.shut(i + 2), i + 3
+            wrapped = s.at(k) in ("\\text", "\\mathrm", "\\mathit") and s.shut(k + 1) + 1 == end > 0
+            name = s.inner(k + 1 if wrapped else i + 2) or ""
+            name = name if re.fullmatch(r"[A-Za-z0-9]{2,}", name) else None
+            used.update([k] if wrapped and name else [])
+        elif x == "\\mathit" and plain:
+            name, end = word, s.shut(i + 1)
+            used.add(i)
+        elif x == "\\operatorname" and plain and s.at(s.shut(i + 1) + 1) == "(" or x == "\\mathbb" and word == "E" and s.at(i + 4) in ("(", "[") and s.shut(i + 4) > 0:
+            used.add(i)
+        if name:
+            found.append((name if x == "\\mathit" else f"{x.lstrip(chr(92))}_{name}", end))
+    return found, used
+
+
+def _applied_bracket(s: _Stream) -> str | None:
+    """A lone letter before ``[``: neither product nor application is clear, but for the expectation E[...]."""
+    for i, x in enumerate(s.t):
+        letter = len(x) == 1 and x.isascii() and x.isalpha() and s.lone[i]
+        if letter and s.at(i + 1) == "[" and not (x == "E" and s.shut(i + 1) > 0):
+            return f"{x}["
+    return None
+
+
+def _after_power(s: _Stream) -> str | None:
+    """An exponent with a subscript or a bracket after it."""
+    for i, x in enumerate(s.t):
+        then = s.at(i + 1)
+        if x != "^" or s.base(i - 1) and s.star(i):
+            continue
+        end = s.shut(i + 1) if then == "{" else i + 1 if then[:1] == "\\" or len(then) == 1 else -1
+        if end > 0 and s.at(end + 1) in ("_", "("):
+            return "^{…}" + s.at(end + 1)
+    return None
+
+
+def _chained(s: _Stream) -> bool:
+    """More than one relation outside braces?"""
+    depth = count = 0
+    for x in s.t:
+        depth = depth + 1 if x == "{" else max(0, depth - 1) if x == "}" else depth
+        count += depth == 0 and x in COMPARISONS
+    return count > 1
+
+
+def _transposed(s: _Stream) -> bool:
+    """``e^{T}``: a power of e, or a transposed vector?"""
+    for i, x in enumerate(s.t):
+        if x == "e" and s.lone[i] and s.at(i + 1) == "^":
+            word = s.at(i + 3)[:1].isalnum() and not s.lone[i + 3]
+            if s.inner(i + 2) in ("T", "\\top") or s.at(i + 2) == "\\top" or s.at(i + 2) == "T" and not word:
+                return True
+    return False
+
+
+def early_loss(latex: str) -> str | None:
+    """Why a formula is not read at all, or None: refused forms first, then ambiguous ones in a fixed order."""
+    s = _Stream(latex)
+    why = _refused(s)
+    if not why:
+        named, used = _symbols_of_several_signs(s)
+        why = (
+            next((f"{name}(…)" for name, end in named if s.at(end + 1) == "("), None) or _applied_bracket(s) or _after_power(s) or ("_{…}^" if _scripted(s) else None)
+            or next((x for i, x in enumerate(s.t) if x[0] == "\\" and x[1:] in MARKUP and i not in used), None)
+            or ("relacao_encadeada" if _chained(s) else None) or ("e^{T}" if _transposed(s) else None)
+        )
+    return f"nao_suportado:{why}" if why else None
+
+
 class _Reader:
     """Recursive descent over the tokens of one formula."""
 
@@ -53,7 +229,7 @@ class _Reader:
             head = RELATIONS[self.take()]
             left = f"{head}({left}, {self.sum()})"
             if self.peek() in RELATIONS:
-                raise Loss("relacao_encadeada")
+                raise Loss("nao_suportado:relacao_encadeada")
         if self.peek():
             raise Loss(f"nao_suportado:{self.peek()}")
         return left
@@ -194,11 +370,28 @@ def _negative(x: str) -> str:
 
 def parse(latex: str, functions: frozenset[str] = frozenset()) -> str:
     """The expression of a formula; raises :class:`Loss` with the declared reason."""
+    why = early_loss(latex)
+    if why:
+        raise Loss(why)
     r = _Reader(latex, functions)
     out = r.formula()
     return re.sub(r"Mul\(Integer\(-1\), Integer\((\d+)\)\)", r"Integer(-\1)", re.sub(r"Pow\((.*?), Mul\(Integer\(-1\), Integer\((\d+)\)\)\)", r"Pow(\1, Integer(-\2))", out))
 
 
+def serve() -> None:
+    """Answer [formula, functions] lines with [read, expression or reason] lines until the input ends."""
+    print("ok", flush=True)
+    for line in sys.stdin:
+        latex, functions = json.loads(line)
+        try:
+            out = [True, parse(latex, frozenset(functions))]
+        except Loss as e:
+            out = [False, str(e)]
+        except RecursionError:
+            out = [False, "profundidade"]
+        print(json.dumps(out), flush=True)
+
+
 _PIECE = re.compile(r"\s*([A-Za-z_][\w]*|-?\d+|'[^']*'|[(),])")
 
 

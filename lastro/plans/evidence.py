@@ -124,8 +124,28 @@ def equation_candidates(spark, d):
     return E.candidates(docs, "doc", "acervo", "onda")
 
 
+#: What stands before and after the formulas of ``preparse_loss``, by their id: one form for each declared loss and its near misses.
+FORMS = (
+    ("", ""), ("\\Pr(A) ", ""), ("\\mathrm {d} ", ""), ("\\forall x ", ""), ("\\begin{aligned} ", ""), ("\\begin {cases} ", ""), ("\\exists x ", ""), ("", " \\ldots"), ("", " \\\\ x"), ("\\hat{x} ", " \\Pr"),
+    ("\\{ ", " \\}"), ("x^{(n)} ", ""), ("Z_{(i)} ", ""), ("\\Delta \\mu ", ""), ("\\Delta + ", ""), ("\\sum_{i=1}^{n} ", ""), ("\\bigcup\\limits_{i=1}^{n} ", ""), ("C_n^k ", ""), ("\\text{se} ", ""), ("\\mathit{a1} ", ""),
+    ("\\mathit{ab} ", ""), ("\\operatorname{Var} ", ""), ("\\operatorname{Var}(x) ", ""), ("e^{T} ", ""), ("e^{T} \\mathbb{P} ", ""), ("e^{\\top} ", " = 2"), ("x^{2}_i ", ""), ("y [ x ] ", ""), ("T_{max} ", ""), ("T_{\\text{max}} ", " = 1"), ("\\mathbb{E}[x] ", ""),
+)
+
+
+def _formed(spark, d):
+    at = F.pmod("candidate_id", F.lit(len(FORMS))) + 1
+    side = lambda i: F.element_at(F.array(*[F.lit(f[i]) for f in FORMS]), at.cast("int"))
+    return _candidate(spark, d).select("candidate_id", F.concat(side(0), "latex", side(1)).alias("latex")).distinct()
+
+
 def preparse_loss(spark, d):
-    return _candidate(spark, d).select("candidate_id", E.preparse_loss(F.col("latex")).alias("motivo")).distinct()
+    """Declared losses of every candidate's formula within one of the FORMS."""
+    return _formed(spark, d).select("candidate_id", E.preparse_loss(F.col("latex")).alias("motivo"))
+
+
+def parse_refusals(spark, d):
+    """What the reader says of the same formulas: every refusal, before or while reading."""
+    return E.parsed(_formed(spark, d)).select("candidate_id", F.col("p.srepr").isNotNull().alias("lida"), F.col("p.motivo").alias("motivo"))
 
 
 def parse_equations(spark, d):
@@ -230,8 +250,15 @@ def gate_edges(spark, d):
     return e.select("corpus", "mae", "filha", "status", _joined("pendencias").alias("pendencias"), _joined("verificado_por").alias("verificado_por"))
 
 
+def _renames(spark, d):
+    """Three names for all symbols, so that a variable has many of them."""
+    v = _current(spark, d).select("corpus", F.col("nome").alias("equacao"), F.explode("variaveis").alias("v"))
+    return v.select("corpus", "equacao", "v.simbolo", F.concat(F.lit("g"), (F.ascii("v.simbolo") % 3).cast("string")).alias("nome")).distinct()
+
+
 def variable_status(spark, d):
-    return G.variables(G.uses(_current(spark, d)), _gated(spark, d))
+    c = _current(spark, d)
+    return G.variables(G.uses(c, _renames(spark, d)), _gated(spark, d), c)
 
 
 def variable_uses(spark, d):
@@ -318,7 +345,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         route_rollup, wave_totals, route_cube, token_map_sum, distinct_models, cost_partial, silent_loss_flags, full_outer_pair_check, latest_by_key, prev_hash_chain,
-        title_disambiguation, segment_markdown, segmentation_summary, length_alerts, chunk_violations, embedded_lengths, display_equations, equation_candidates, preparse_loss, parse_equations, parse_candidates,
+        title_disambiguation, segment_markdown, segmentation_summary, length_alerts, chunk_violations, embedded_lengths, display_equations, equation_candidates, preparse_loss, parse_refusals, parse_equations, parse_candidates,
         equation_forms, simulate_functions, proof_p1, proof_p2, proof_p3, recorded_faults, proof_states, verdict_rule, proof_p4, two_routes, ambiguous_pairs, orphan_proofs, verdict_histogram,
         proof_identity, canonical_fonte, fingerprint_sha256, gate_equations, gate_edges, variable_status, variable_uses, valid_under, plan_counts, stale_nodes, wave_collisions, upsert_merge,
         orphan_vars, approved_parents, topic_equations, node_label_counts, layer_status, rename_plan, bm25_topk, cosine_topk, rrf_fusion,
@@ -358,6 +385,31 @@ _BM = lambda q, alias: f"""{alias}_t as (select doc_id, regexp_extract_all(lower
 {alias}_d as (select q, count(*) filter (where f > 0) as d from {alias}_f group by 1),
 {alias}_r as (select doc_id, round(sum(ln(1 + (n - d + 0.5) / (d + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / a))), 9) as score from {alias}_f join {alias}_d using (q), {alias}_s where f > 0 group by 1)"""
 
+def _word(names: str) -> str:
+    return f"\\\\({names})([^A-Za-z]|$)"
+
+
+def _lost(pattern: str, said: str = "") -> str:
+    return f" when regexp_matches(f, '{pattern}') then 'nao_suportado:' || " + (f"'{said}'" if said else f"regexp_replace(regexp_extract(f, '({pattern.replace('([^A-Za-z]|$)', '')})', 1), '\\s+', '', 'g')")
+
+
+_GREEK = "|".join(sorted(E.L.GREEK))
+_OPERATOR = "\\\\(sum|prod|int|oint|lim|max|min|sup|inf|bigcup|bigcap)(\\s*\\\\(no)?limits)?\\s*"
+_SUB = "_\\s*(\\{[^{}]*\\}|\\\\[A-Za-z]+|[A-Za-z0-9])\\s*\\^"
+_MARKUP = "mathbb|mathrm|mathit|mathbf|mathcal|mathsf|boldsymbol|operatorname|text|textrm|mbox"
+_MEANT = "\\\\mathbb\\s*\\{\\s*E\\s*\\}\\s*[\\[(]|\\\\operatorname\\s*\\{\\s*[A-Za-z]+\\s*\\}\\s*\\(|_\\s*\\{\\s*\\\\(text|mathrm|mathit)\\s*\\{\\s*[A-Za-z0-9]{2,}\\s*\\}\\s*\\}|\\\\mathit\\s*\\{\\s*[A-Za-z]+\\s*\\}"
+_PAIRS = lambda i: "[" + ", ".join(f"'{f[i]}'" for f in FORMS) + f"][candidate_id % {len(FORMS)} + 1]"
+_PREPARSE = f"""select candidate_id, case{_lost(_word('Pr'), '\\Pr')}{_lost('\\\\mathrm\\s*\\{\\s*d\\s*\\}', '\\mathrm{d}')}{_lost(_word('forall'), '\\forall')}{_lost('\\\\begin\\s*\\{aligned\\*?\\}')}{_lost('\\\\begin\\s*\\{[^{}]*\\}')}{_lost(_word('exists'), '\\exists')}
+{_lost(_word('dots|cdots|ldots|vdots|ddots'))}{_lost('\\\\\\\\', '\\\\')}{_lost(_word('overline|underline|widehat|widetilde|hat|bar|tilde|check|breve|dot|ddot|vec|acute|grave|mathring|overrightarrow|overleftarrow|underbrace|overbrace'))}
+{_lost('\\\\\\{', '\\{')}{_lost('\\^\\s*\\{\\s*\\(', '^{(')}{_lost('_\\s*\\{\\s*\\(', '_{(')}{_lost(f'\\\\Delta\\s*([A-Za-z]|\\\\({_GREEK})([^A-Za-z]|$))', '\\Delta')}
+ when regexp_matches(f, '(^|[^A-Za-z\\\\E])[A-Za-z]\\s*\\[') then 'nao_suportado:' || regexp_extract(f, '(?:^|[^A-Za-z\\\\])([A-Za-z])\\s*\\[', 1) || '['
+ when regexp_matches(f, '\\^\\s*(\\{{[^{{}}]*\\}}|\\\\[A-Za-z]+|[A-Za-z0-9])\\s*[_(]') then 'nao_suportado:^{{…}}' || right(regexp_extract(f, '\\^\\s*(\\{{[^{{}}]*\\}}|\\\\[A-Za-z]+|[A-Za-z0-9])\\s*[_(]'), 1)
+ when regexp_matches(regexp_replace(f, '{_OPERATOR}{_SUB}', ' ', 'g'), '{_SUB}') then 'nao_suportado:_{{…}}^'
+ when regexp_matches(regexp_replace(f, '{_MEANT}', ' ', 'g'), '{_word(_MARKUP)}') then 'nao_suportado:' || regexp_extract(regexp_replace(f, '{_MEANT}', ' ', 'g'), '\\\\({_MARKUP})')
+ when len(regexp_extract_all(regexp_replace(f, '\\{{[^{{}}]*\\}}', ' ', 'g'), '[=<>]|\\\\(leq?|geq?|neq?|lt|gt|approx|equiv|sim|simeq|ll|gg|propto)([^A-Za-z]|$)')) > 1 then 'nao_suportado:relacao_encadeada'
+ when regexp_matches(f, '(^|[^A-Za-z\\\\])e\\s*\\^\\s*(\\{{\\s*(T|\\\\top)\\s*\\}}|T([^A-Za-z0-9]|$)|\\\\top([^A-Za-z]|$))') then 'nao_suportado:e^{{T}}' end as motivo
+from (select distinct candidate_id, {_PAIRS(0)} || latex || {_PAIRS(1)} as f from candidate)"""
+
 ORACLE = {
     "route_rollup": "select l_returnflag as rota, count(*) as itens, count(*) filter (where l_returnflag = 'N') as fallbacks, count(*) filter (where l_linestatus <> 'F') as nao_aprovados from lineitem group by 1 union all select 'parse', 0, 0, 0",
     "wave_totals": "select count(distinct l_orderkey) as documentos, count(*) as itens, count(*) filter (where l_linestatus = 'F') as aprovados, count(*) filter (where l_returnflag = 'N') as fallbacks from lineitem",
@@ -381,9 +433,9 @@ select * from m where motivos <> ''""",
     "embedded_lengths": "select distinct trecho_id, length(texto) + case when parte >= 2 and cabecalho is not null then length(cabecalho) + 1 else 0 end as tamanho from trecho",
     "display_equations": """select doc_id, i as ordem, e[i] as latex from (select doc_id, e, unnest(range(1, len(e) + 1)) as i from (
 select doc_id, list_filter(list_transform(regexp_extract_all(text, '\\$\\$(.*?)\\$\\$', 1, 's'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') as e from documents))""",
-    "preparse_loss": """select distinct candidate_id, case when regexp_matches(latex, '\\\\Pr([^A-Za-z]|$)') then 'nao_suportado:\\Pr' when contains(latex, '\\begin{') then 'nao_suportado:\\begin' when contains(latex, '\\\\') then 'nao_suportado:\\\\'
- when regexp_matches(latex, '\\\\(hat|bar|tilde|overline)([^A-Za-z]|$)') then 'nao_suportado:decoracao' when contains(latex, '\\{') then 'nao_suportado:\\{' when regexp_matches(latex, '\\^\\s*\\{\\s*\\(') then 'nao_suportado:^{('
- when regexp_matches(latex, '_\\s*\\{\\s*\\(') then 'nao_suportado:_{(' when regexp_matches(latex, '_\\s*([A-Za-z0-9]|\\{[^{}]*\\})\\s*\\^') then 'nao_suportado:_{…}^' when regexp_matches(latex, '\\\\(mathbb|mathrm|text)([^A-Za-z]|$)') then 'nao_suportado:marca' end as motivo from candidate""",
+    "preparse_loss": _PREPARSE,
+    "parse_refusals": f"""with p as ({_PREPARSE.replace(' as motivo', ' as m, f')}), r as (select candidate_id, coalesce(m, case when starts_with(f, '\\sum') then 'nao_suportado:\\sum' when starts_with(f, '\\bigcup') then 'nao_suportado:\\bigcup' end) as motivo from p)
+select candidate_id, motivo is null as lida, motivo from r""",
     "parse_equations": "select distinct candidate_id, srepr from candidate where srepr is not null",
     "equation_forms": """select distinct candidate_id, case when srepr is null or trim(srepr) = '' then 'perda' when starts_with(srepr, 'Equality(') then 'algebrica' else 'funcional' end as forma,
 array_to_string(list_sort(list_distinct(regexp_extract_all(srepr, 'Symbol\\(''([^'']*)''\\)', 1))), ',') as simbolos, nullif(regexp_extract(srepr, '^Equality\\(Symbol\\(''([^'']*)''\\),', 1), '') as isolado from candidate""",
@@ -406,8 +458,10 @@ or (prova <> 'P2' and not exists (select 1 from cur where cur.corpus = r.corpus
     "gate_equations": f"with {_GATE} select corpus, nome, status2 as status, pendencias from gated",
     "gate_edges": _EDGES + " select corpus, mae, filha, case when pendencias = '' then 'aprovado' else 'staging' end as status, pendencias, verificado_por from ed",
     "variable_uses": f"with {_CUR}, {_USES} select * from us",
-    "variable_status": f"""with {_GATE}, {_USES} select corpus, us.nome, arg_min(simbolo, (length(simbolo), simbolo)) as simbolo, case when coalesce(bool_or(status2 = 'aprovado'), false) then 'aprovado' else 'staging' end as status
-from us left join (select corpus, nome as equacao, status2 from gated) g using (corpus, equacao) group by 1, 2""",
+    "variable_status": f"""with {_GATE}, us as (select distinct corpus, nome as equacao, 'g' || (ascii(v.simbolo) % 3) as nome, v.simbolo as simbolo from (select corpus, nome, unnest(variaveis) as v from cur)),
+j as (select us.corpus, us.nome, us.simbolo, status2 = 'aprovado' as ok, (coalesce(ordem, 2147483647), equacao) as em, {{'d': fonte.documento, 't': fonte.topico}} as f from us join gated g on g.corpus = us.corpus and g.nome = us.equacao),
+k as (select *, coalesce(min(em) filter (where ok) over w, min(em) over w) as de from j window w as (partition by corpus, nome))
+select corpus, nome, min(simbolo) as simbolo, arg_min(f, em).d as documento, arg_min(f, em).t as topico, case when bool_or(ok) then 'aprovado' else 'staging' end as status from k where em >= de group by 1, 2""",
     "valid_under": f"""with {_CUR}, {_USES}, tk as (select distinct corpus, equacao, condicao, unnest(list_distinct(regexp_extract_all(condicao, '([A-Za-z_][A-Za-z0-9_]*)', 1))) as simbolo from validity where equacao is not null and condicao is not null)
 select distinct corpus, equacao, condicao, us.nome from tk join us using (corpus, equacao, simbolo)""",
     "plan_counts": _EDGES + f""", {_USES}, vs as (select us.corpus, us.nome, coalesce(bool_or(status2 = 'aprovado'), false) as ok from us left join (select corpus, nome as equacao, status2 from gated) g using (corpus, equacao) group by 1, 2)

@@ -62,6 +62,11 @@ def survival_loglog(spark, d):
     return T.survival(rows, KEY).select(KEY, _r(F.col("ln_x")).alias("ln_x"), _r(F.col("ln_p")).alias("ln_p"))
 
 
+def survival_discounts(spark, d):
+    """Survival of values with many ties and zeros."""
+    return T.survival(table(spark, d, "lineitem"), "l_returnflag", "l_discount").select("l_returnflag", _r(F.col("ln_x")).alias("ln_x"), _r(F.col("ln_p")).alias("ln_p"))
+
+
 def empirical_asymmetry(spark, d):
     return C.empirical_asymmetry(returns(spark, d), KEY).select(KEY, "n", _r(F.col("h")).alias("h"))
 
@@ -165,7 +170,7 @@ def asset_report(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        log_returns, max_to_sum_final_p2, max_to_sum_final_p4, max_to_sum_curve, hill_left, hill_right, kappa_1_exact, survival_loglog, empirical_asymmetry,
+        log_returns, max_to_sum_final_p2, max_to_sum_final_p4, max_to_sum_curve, hill_left, hill_right, kappa_1_exact, survival_loglog, survival_discounts, empirical_asymmetry,
         growth_time_ensemble, barbell_table, kelly_table, convexity_response, tail_summary, tail_verdict, heuristics_fired, rate_series_dedup, mean_rate,
         ten_year_windows, fixed_width_parse, bootstrap_ci_h, bootstrap_ci_kappa_1, kappa_mc, asset_report,
     )
@@ -212,9 +217,12 @@ from ret window w as (partition by user_id order by ts, event_id rows unbounded
     "hill_left": _RET + f" select user_id, n, k, n_cauda, round(alfa, 6) + 0.0 as alfa from ({_hill('ret', '-')})",
     "hill_right": _RET + f" select user_id, n, k, n_cauda, round(alfa, 6) + 0.0 as alfa from ({_hill('ret', '+')})",
     "kappa_1_exact": _RET + f" select user_id, n, round(kappa_1, 6) + 0.0 as kappa_1 from ({_kappa('ret')})",
-    "survival_loglog": _RET + """, v as (select user_id, abs(round(x, 9)) as v from ret), c as (select user_id, v, count(*) as c from v group by 1, 2),
+    "survival_loglog": _RET + """, v as (select user_id, abs(round(x, 9)) as v from ret where round(x, 9) <> 0), c as (select user_id, v, count(*) as c from v group by 1, 2),
 s as (select user_id, v, sum(c) over (partition by user_id) as n, sum(c) over (partition by user_id order by v) as upto from c)
-select user_id, round(ln(v), 6) + 0.0 as ln_x, round(ln((n - upto) / n), 6) + 0.0 as ln_p from s where v > 0 and upto < n""",
+select user_id, round(ln(v), 6) + 0.0 as ln_x, round(ln((n - upto) / n), 6) + 0.0 as ln_p from s where upto < n""",
+    "survival_discounts": """with c as (select l_returnflag, l_discount as v, count(*) as c from lineitem where l_discount <> 0 group by 1, 2),
+s as (select l_returnflag, v, sum(c) over (partition by l_returnflag) as n, sum(c) over (partition by l_returnflag order by v) as upto from c)
+select l_returnflag, round(ln(v), 6) + 0.0 as ln_x, round(ln((n - upto) / n), 6) + 0.0 as ln_p from s where upto < n""",
     "empirical_asymmetry": _RET + f" select user_id, count(*) as n, round({_H}, 6) + 0.0 as h from ret group by 1",
     "growth_time_ensemble": _RET + " select user_id, count(*) as n, round(avg(x), 6) + 0.0 as temporal, round(avg(exp(x) - 1), 6) + 0.0 as conjunto from ret group by 1",
     "barbell_table": "select l_orderkey, l_linenumber, round(l_discount * l_tax * 10, 6) + 0.0 as perda_maxima, round(1 - l_discount, 6) + 0.0 as segura, round(l_discount, 6) + 0.0 as arriscada from lineitem",

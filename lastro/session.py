@@ -37,10 +37,12 @@ def shuffle_partitions(spark: SparkSession, rows: int | None = None, rows_each:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder of ``spark.checkpoint.dir``; only where none is set (tests, local runs) make one."""
+    """Use the folder of ``spark.checkpoint.dir``; only a local master may do without one (tests)."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = sc.getConf().get("spark.checkpoint.dir")
+        if not shared and not sc.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir is not set: a cluster needs a shared folder")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="lastro-checkpoint-"))
 
 

@@ -99,20 +99,37 @@ def write_once(df: DataFrame, path: str) -> bool:
 
 
 def replace(df: DataFrame, path: str) -> None:
-    """Swap a folder for a new one: written beside it first, removed again when writing fails."""
+    """Swap a folder for a new one, written beside it first.
+
+    When writing or swapping fails, the old folder is put back and the new one removed; where even
+    putting it back fails, the old data stay under the name that the error tells. The old folder is
+    deleted only once the new one stands in its place.
+    """
     spark = df.sparkSession
     mark = uuid.uuid4().hex
     fs, target = _files(spark, path)
     new, old = (_files(spark, f"{path}.{mark}.{x}")[1] for x in ("new", "old"))
+
+    def moved(a, b) -> bool:
+        try:
+            return bool(fs.rename(a, b))
+        except Exception:  # file systems say no by False or by an error
+            return False
+
     try:
         df.write.json(new.toString())
-        if fs.exists(target):
-            fs.rename(target, old)
-        if not fs.rename(new, target):
+        had = fs.exists(target)
+        if had and not moved(target, old):
+            raise OSError(f"{path}: nao foi possivel trocar")
+        if not moved(new, target):
+            if had and not moved(old, target):
+                raise OSError(f"{path}: nao foi possivel trocar; os dados antigos estao em {old.toString()}")
             raise OSError(f"{path}: nao foi possivel trocar")
-    finally:
-        for p in (new, old):
-            fs.delete(p, True)
+    except BaseException:
+        fs.delete(new, True)
+        raise
+    if had:
+        fs.delete(old, True)
 
 
 def pending(rows: DataFrame, done: DataFrame, key: list[str]) -> DataFrame:

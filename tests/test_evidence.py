@@ -78,7 +78,7 @@ def test_parse(latex, srepr):
     assert L.parse(latex) == srepr
 
 
-@pytest.mark.parametrize("latex, why", [("a = b = c", "relacao_encadeada"), ("f(x) = 1", "nao_suportado:f("), ("x^{2}_i = 1", "nao_suportado:^{…}_"), ("C_n^k = 1", "nao_suportado:_{…}^"), ("a = \\foo", "nao_suportado:\\foo"), ("a = ", "sintaxe:fim")])
+@pytest.mark.parametrize("latex, why", [("a = b = c", "nao_suportado:relacao_encadeada"), ("f(x) = 1", "nao_suportado:f("), ("\\bigcup_{i=1}^{n} A", "nao_suportado:\\bigcup"), ("e^{T} \\mathrm{x}", "nao_suportado:\\mathrm"), ("e^{T} x", "nao_suportado:e^{T}"), ("\\mathit{a1} x", "nao_suportado:\\mathit"), ("\\operatorname{Var} X", "nao_suportado:\\operatorname"), ("x^{2}_i = 1", "nao_suportado:^{…}_"), ("C_n^k = 1", "nao_suportado:_{…}^"), ("a = \\foo", "nao_suportado:\\foo"), ("a = ", "sintaxe:fim")])
 def test_losses(latex, why):
     with pytest.raises(L.Loss) as e:
         L.parse(latex)
@@ -100,10 +100,13 @@ def test_equation_rows(spark):
 
 
 def test_parser_budget():
-    p = E.Limited(budget=0.5, direct=0)
-    assert p("x = 1") == (True, "Equality(Symbol('x'), Integer(1))") and p("a = b = c") == (False, "relacao_encadeada")
-    p.budget = -1
-    assert p("x = 1")[1] == "tempo_esgotado" and p.child is None
+    p = E.Limited(budget=5)
+    assert p("x = 1") == (True, "Equality(Symbol('x'), Integer(1))") and p("a = b = c") == (False, "nao_suportado:relacao_encadeada")
+    p.budget = 0
+    assert p("(" * 60_000)[1] == "nao_suportado:tempo_esgotado" and p.child is None
+    p.budget = 5
+    assert p("(" * 60_000) == (False, "profundidade")
+    p.close()
 
 
 def test_derivations():
@@ -247,6 +250,11 @@ def test_variables_and_conditions(spark):
     assert {(r.simbolo, r.papel) for r in used.collect()} == {("x", "definida"), ("y", "entrada")}
     v = spark.createDataFrame([("c", "q", "x > y"), ("c", "q", "x > y"), ("c", "q", "z > 0")], "corpus string, equacao string, condicao string")
     assert {(r.condicao, r.nome) for r in G.valid_under(v, used).collect()} == {("x > y", "saida"), ("x > y", "entrada_y")}
+    two = spark.createDataFrame([eq("q", "x = 2 y", variaveis=[("b", "v"), ("aa", "v")]), eq("r", "x = 1", variaveis=[("a", "v")])], EQ)
+    state = spark.createDataFrame([("c", "q", "aprovado"), ("c", "r", "staging")], "corpus string, nome string, status string")
+    placed = two.withColumn("ordem", F.when(F.col("nome") == "r", 1).otherwise(2)).withColumn("fonte", F.struct(F.col("nome").alias("documento"), F.lit("t").alias("topico")))
+    assert [(r.simbolo, r.documento, r.status) for r in G.variables(G.uses(two), state, placed).collect()] == [("aa", "q", "aprovado")]
+    assert [(r.simbolo, r.documento) for r in G.variables(G.uses(two), state.limit(0), placed).collect()] == [("a", "r")]
     renamed = G.uses(e, spark.createDataFrame([("c", "q", "x", "outra")], "corpus string, equacao string, simbolo string, nome string"))
     assert {r.nome for r in renamed.collect()} == {"outra", "entrada_y"}
     concepts = spark.createDataFrame([("c", "k", "aprovado"), ("c", "q", "aprovado")], "corpus string, nome string, status string")
@@ -435,5 +443,5 @@ def test_losses_of_candidates_come_out(spark, tmp_path):
     rows = [(1, r"x = \text{se}", None), (2, "a = b = c", None), (3, "g(x) = 2", ["g"]), (4, "y = 2", None), (5, None, None)]
     spark.createDataFrame(rows, "candidate_id bigint, latex string, funcoes_declaradas array<string>").write.parquet(f"{tmp_path}/candidate.parquet")
     got = {r.candidate_id: (r.srepr, r.motivo) for r in evidence.parse_candidates(spark, str(tmp_path)).collect()}
-    assert got[1][0] is None and got[1][1].startswith("nao_suportado") and got[2] == (None, "relacao_encadeada")
+    assert got[1][0] is None and got[1][1].startswith("nao_suportado") and got[2] == (None, "nao_suportado:relacao_encadeada")
     assert got[3][0] is not None and got[4] == ("Equality(Symbol('y'), Integer(2))", None) and got[5][0] is None

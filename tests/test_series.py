@@ -80,7 +80,7 @@ def test_kappa_1_of_a_normal_sample(spark):
 
 def test_survival(spark):
     rows = {(r.serie, round(r.ln_x, 9), round(r.ln_p, 9)) for r in T.survival(sample(spark, {"a": [0, -1, 2, -4, 4], "z": [0, 0]}), "serie").collect()}
-    assert rows == {("a", 0.0, round(math.log(0.6), 9)), ("a", round(math.log(2), 9), round(math.log(0.4), 9))}
+    assert rows == {("a", 0.0, round(math.log(0.75), 9)), ("a", round(math.log(2), 9), round(math.log(0.5), 9))}
 
 
 def test_convexity(spark):

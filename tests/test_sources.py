@@ -101,6 +101,38 @@ def test_jsonl(spark, tmp_path):
     assert [r.documento for r in J.pending(a, a.filter("parte = 1"), ["documento"]).collect()] == ["d2"]
 
 
+@pytest.mark.parametrize("failing, by_error", [(2, False), (2, True), (1, False)])
+def test_a_failed_swap_keeps_the_old_data(spark, tmp_path, monkeypatch, failing, by_error):
+    a = spark.createDataFrame([("d1", 1), ("d2", 2)], "documento string, parte int")
+    path = str(tmp_path / "t")
+    J.replace(a, path)
+    real = J._files
+
+    class Failing:
+        def __init__(self, fs):
+            self.fs, self.n = fs, 0
+
+        def rename(self, x, y):
+            self.n += 1
+            if self.n == failing:
+                if by_error:
+                    raise OSError("x")
+                return False
+            return self.fs.rename(x, y)
+
+        def __getattr__(self, name):
+            return getattr(self.fs, name)
+
+    def files(s, p):
+        fs, q = real(s, p)
+        return Failing(fs), q
+
+    monkeypatch.setattr(J, "_files", files)
+    with pytest.raises(OSError):
+        J.replace(a.limit(1), path)
+    assert spark.read.json(path).count() == 2 and [x.name for x in tmp_path.iterdir()] == ["t"]
+
+
 def test_execution_manifest(spark, tmp_path):
     path = str(tmp_path / "manifesto")
     assert J.executions(spark, path).count() == 0
