@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lastro.functions.prefix import ASK
 from lastro.functions.tails import quantiles
 
 #: Thresholds of the classes.
@@ -75,9 +76,17 @@ def growth(df: DataFrame, key: str, r: str = "r") -> DataFrame:
     return df.filter(v.isNotNull() & ~F.isnan(v)).groupBy(key).agg(F.count("*").alias("n"), time.alias("temporal"), F.avg(v).alias("conjunto"))
 
 
-def empirical_asymmetry(df: DataFrame, key: str, x: str = "x", sigmas: float = 2.0) -> DataFrame:
-    """(key, n, h): mean of the quantiles ``sigmas`` normal deviations up and down, minus the median."""
+def asymmetry_points(sigmas: float = 2.0) -> dict[str, float]:
+    """The probabilities that :func:`asymmetry` reads."""
     if number(sigmas, "sigmas") <= 0:
         raise ValueError(f"sigmas deve ser > 0: {sigmas!r}")
-    q = quantiles(df, key, {"_a": normal_cdf(sigmas), "_b": normal_cdf(-sigmas), "_m": 0.5}, x)
-    return q.select(key, "n", ((F.col("_a") + F.col("_b")) / 2 - F.col("_m")).alias("h"))
+    return {"_up": normal_cdf(sigmas), "_down": normal_cdf(-sigmas), "_middle": 0.5}
+
+
+def asymmetry() -> Column:
+    return (F.col("_up") + F.col("_down")) / 2 - F.col("_middle")
+
+
+def empirical_asymmetry(df: DataFrame, key: str, x: str = "x", sigmas: float = 2.0, hot=ASK) -> DataFrame:
+    """(key, n, h): mean of the quantiles ``sigmas`` normal deviations up and down, minus the median."""
+    return quantiles(df, key, asymmetry_points(sigmas), x, hot).select(key, "n", asymmetry().alias("h"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lastro.functions.prefix import previous, time_bucket
+from lastro.functions.prefix import ASK, previous
 
 
 def positive_prices(df: DataFrame, price: str = "price") -> DataFrame:
@@ -14,7 +14,7 @@ def positive_prices(df: DataFrame, price: str = "price") -> DataFrame:
     return df.filter(p.isNotNull() & ~F.isnan(p) & (p > 0) & (p < float("inf")))
 
 
-def log_returns(df: DataFrame, key: str, time: str, price: str, tie: list[str] | None = None) -> DataFrame:
+def log_returns(df: DataFrame, key: str, time: str, price: str, tie: list[str] | None = None, hot=ASK) -> DataFrame:
     """(key, time, tie..., x): ln(p / previous valid p) per key in the order (time, tie..., price).
 
     Invalid prices are dropped before the previous one is looked up; a first point has no return.
@@ -22,8 +22,8 @@ def log_returns(df: DataFrame, key: str, time: str, price: str, tie: list[str] |
     points; other columns are not carried.
     """
     tie = tie or []
-    rows = positive_prices(df.filter(F.col(time).isNotNull()), price).select(key, time, *tie, price, time_bucket(F.col(time)).alias("_b"))
-    rows = previous(rows, [key], "_b", [time, *tie, price], price, "_p")
+    rows = positive_prices(df.filter(F.col(time).isNotNull()), price).select(key, time, *tie, price)
+    rows = previous(rows, [key], [time, *tie, price], price, "_p", hot)
     return rows.filter("_p is not null").select(key, time, *tie, F.ln(F.col(price) / F.col("_p")).alias("x"))
 
 

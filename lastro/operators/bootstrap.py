@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lastro.functions.convexity import empirical_asymmetry, normal_cdf
-from lastro.functions.prefix import ranked, value_bucket
+from lastro.functions.prefix import ranked
 from lastro.functions.tails import kappa_1
 
 RESAMPLES, SEED, MOST = 500, 15, 50_000
@@ -125,7 +125,7 @@ def kappa_resampled(df: DataFrame, key: str, order: list[str], x: str = "x", n0:
         return pd.DataFrame({key: [group[key].iloc[0]], "n": [len(v)], "kappa": [2 - scale / math.log(m[1] / m[0]) if ok else None]})
 
     exact = small.groupBy(key).applyInPandas(run, f"`{key}` {kind}, n bigint, kappa double")
-    ranks = ranked(large.withColumn("_b", value_bucket(F.col("x"))), [key], "_b", ["x"], "_i").select(key, "_i", "x")
+    ranks = ranked(large, [key], ["x"], "_i").select(key, "_i", "x")
     middle = F.percentile_approx("x", 0.5, 1_000_000) if robust else F.avg("x")
     sizes = large.groupBy(key).agg(F.count("*").alias("n"), middle.alias("_c"))
     both = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(i).alias("i")) for k in (n0, n) for i in range(k)])

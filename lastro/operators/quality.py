@@ -122,12 +122,12 @@ def repair_violations(repairs: DataFrame) -> DataFrame:
 def hash_chain(df: DataFrame, key: str, order: list[str], before: Column, after: Column) -> DataFrame:
     """Rows whose ``before`` is not the ``after`` of the previous row of the key (the first row is free).
 
-    The previous row is found by joining on positions ranked in buckets, not in one window per key.
+    Keys of very many rows are cut into buckets, see ``functions/prefix.py``.
     """
     from lastro.functions.prefix import previous
 
-    rows = df.withColumn("_antes", before).withColumn("_depois", after).withColumn("_b", F.to_date(order[0]))
-    return previous(rows, [key], "_b", order, "_depois", "anterior").filter(F.col("anterior").isNotNull() & (F.col("anterior") != F.col("_antes"))).drop("_b")
+    rows = df.withColumn("_antes", before).withColumn("_depois", after)
+    return previous(rows, [key], order, "_depois", "anterior").filter(F.col("anterior").isNotNull() & (F.col("anterior") != F.col("_antes")))
 
 
 def derived_items(repair_items: DataFrame, prefix: Column) -> DataFrame:

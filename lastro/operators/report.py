@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lastro.functions import convexity as C
 from lastro.functions import tails as T
+from lastro.functions.prefix import ASK
 from lastro.operators.bootstrap import bootstrap_interval
 
 #: Provenance tags from the strongest to the weakest.
@@ -36,20 +35,10 @@ def weakest(*tags: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, TAGS)), F.greatest(*rank) if len(rank) > 1 else rank[0])
 
 
-def summary(returns: DataFrame, key: str, least: int = 60) -> DataFrame:
+def summary(returns: DataFrame, key: str, least: int = 60, hot=ASK) -> DataFrame:
     """One row per series of at least ``least`` returns: n, kappa_1, k, alfa, r2, r4, h, temporal, conjunto."""
-    size = returns.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") >= least).select(key)
-    kept = returns.join(size, key, "left_semi")
-    simple = kept.select(key, F.expm1("x").alias("r"))
-    parts = [
-        T.kappa_1(kept, key),
-        T.hill(kept, key).select(key, "k", "alfa"),
-        T.max_to_sum(kept, key, 2).select(key, F.col("r").alias("r2")),
-        T.max_to_sum(kept, key, 4).select(key, F.col("r").alias("r4")),
-        C.empirical_asymmetry(kept, key).select(key, "h"),
-        C.growth(simple, key).select(key, "temporal", "conjunto"),
-    ]
-    return reduce(lambda a, b: a.join(b, key, "left"), parts)
+    s = T.summary(returns, key, least, C.asymmetry_points(), hot=hot)
+    return s.select(key, "n", "kappa_1", "k", "alfa", "r2", "r4", C.asymmetry().alias("h"), "temporal", "conjunto")
 
 
 def intervals(returns: DataFrame, key: str, order: list[str], least: int = 60) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lastro.functions import convexity as C
 from lastro.functions import series as S
 from lastro.functions import tails as T
-from lastro.functions.prefix import time_bucket
+from lastro.functions.prefix import ASK, hot_keys
 from lastro.operators import bootstrap as B
 from lastro.operators import report as R
 from lastro.session import reused, table
@@ -19,8 +19,18 @@ from lastro.sources import quotes as Q
 KEY, ORDER = "user_id", ["ts", "event_id"]
 
 
-def returns(spark: SparkSession, d: str) -> DataFrame:
-    return S.log_returns(table(spark, d, "events"), KEY, "ts", "value", ["event_id"])
+def _hot(spark: SparkSession, d: str) -> DataFrame | None:
+    """Series of very many points; a series has no more returns than points."""
+    return hot_keys(table(spark, d, "events"), [KEY])
+
+
+def returns(spark: SparkSession, d: str, hot=ASK) -> DataFrame:
+    return S.log_returns(table(spark, d, "events"), KEY, "ts", "value", ["event_id"], hot)
+
+
+def _both(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame | None]:
+    hot = _hot(spark, d)
+    return returns(spark, d, hot), hot
 
 
 def _r(c, digits: int = 6):
@@ -40,26 +50,29 @@ def max_to_sum_final_p4(spark, d):
 
 
 def max_to_sum_curve(spark, d):
-    rows = returns(spark, d).withColumn("dia", time_bucket(F.col("ts")))
-    return T.max_to_sum_curve(rows, KEY, "dia", ORDER, 2).select(KEY, "event_id", "n", _r(F.col("r")).alias("r"))
+    rows, hot = _both(spark, d)
+    return T.max_to_sum_curve(rows, KEY, ORDER, 2, hot=hot).select(KEY, "event_id", "n", _r(F.col("r")).alias("r"))
 
 
 def hill_left(spark, d):
-    return T.hill(returns(spark, d), KEY).select(KEY, "n", "k", "n_cauda", _r(F.col("alfa")).alias("alfa"))
+    rows, hot = _both(spark, d)
+    return T.hill(rows, KEY, hot=hot).select(KEY, "n", "k", "n_cauda", _r(F.col("alfa")).alias("alfa"))
 
 
 def hill_right(spark, d):
-    return T.hill(returns(spark, d), KEY, "right").select(KEY, "n", "k", "n_cauda", _r(F.col("alfa")).alias("alfa"))
+    rows, hot = _both(spark, d)
+    return T.hill(rows, KEY, "right", hot=hot).select(KEY, "n", "k", "n_cauda", _r(F.col("alfa")).alias("alfa"))
 
 
 def kappa_1_exact(spark, d):
-    return T.kappa_1(returns(spark, d), KEY).select(KEY, "n", _r(F.col("kappa_1")).alias("kappa_1"))
+    rows, hot = _both(spark, d)
+    return T.kappa_1(rows, KEY, hot=hot).select(KEY, "n", _r(F.col("kappa_1")).alias("kappa_1"))
 
 
 def survival_loglog(spark, d):
     # Rounded first, so that equal magnitudes are equal in both engines.
-    rows = returns(spark, d).select(KEY, F.round("x", 9).alias("x"))
-    return T.survival(rows, KEY).select(KEY, _r(F.col("ln_x")).alias("ln_x"), _r(F.col("ln_p")).alias("ln_p"))
+    rows, hot = _both(spark, d)
+    return T.survival(rows.select(KEY, F.round("x", 9).alias("x")), KEY, hot=hot).select(KEY, _r(F.col("ln_x")).alias("ln_x"), _r(F.col("ln_p")).alias("ln_p"))
 
 
 def survival_discounts(spark, d):
@@ -68,7 +81,8 @@ def survival_discounts(spark, d):
 
 
 def empirical_asymmetry(spark, d):
-    return C.empirical_asymmetry(returns(spark, d), KEY).select(KEY, "n", _r(F.col("h")).alias("h"))
+    rows, hot = _both(spark, d)
+    return C.empirical_asymmetry(rows, KEY, hot=hot).select(KEY, "n", _r(F.col("h")).alias("h"))
 
 
 def growth_time_ensemble(spark, d):
@@ -94,7 +108,8 @@ def convexity_response(spark, d):
 def tail_summary(spark, d):
     """The flagship: for every series of at least 60 returns, how fat is the left tail?"""
     cols = ("kappa_1", "alfa", "r2", "r4", "h", "temporal", "conjunto")
-    return R.summary(reused(returns(spark, d)), KEY).select(KEY, "n", "k", *[_r(F.col(c)).alias(c) for c in cols])
+    rows, hot = _both(spark, d)
+    return R.summary(rows, KEY, hot=hot).select(KEY, "n", "k", *[_r(F.col(c)).alias(c) for c in cols])
 
 
 def _point(spark, d):

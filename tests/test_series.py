@@ -31,19 +31,41 @@ def test_log_returns(spark):
     assert S.log_returns(df.limit(0), "k", "t", "p").count() == 0
 
 
-def test_running_equals_one_window(spark):
+@pytest.mark.parametrize("hot", [10**6, 60])
+def test_running_equals_one_window(spark, monkeypatch, hot):
+    monkeypatch.setattr(X, "HOT", hot)
     rng = random.Random(1)
-    rows = [(rng.choice("ab"), rng.gauss(0, 1) * 10 ** rng.randrange(-3, 3) if rng.random() > 0.1 else 0.0) for _ in range(800)]
-    df = spark.createDataFrame(rows, "k string, v double").withColumn("b", X.value_bucket(F.col("v")))
-    got = sorted((r.k, r.rank, r.v) for r in X.ranked(df, ["k"], "b", ["v"]).collect())
-    want = sorted((k, i, v) for k in "ab" for i, v in enumerate(sorted(v for q, v in rows if q == k), 1))
+    rows = [(rng.choice("ab"), rng.gauss(0, 1) * 10 ** rng.randrange(-3, 3) if rng.random() > 0.1 else 0.0) for _ in range(800)] + [("c", 1.0), (None, 2.0)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = sorted((r.k, r.rank, r.v) for r in X.ranked(df, ["k"], ["v"]).collect())
+    want = sorted((k, i, v) for k in "abc" for i, v in enumerate(sorted(v for q, v in rows if q == k), 1))
     assert got == want
 
 
+def test_one_key_with_a_third_of_the_rows_in_one_value_and_one_day(spark, monkeypatch):
+    n = 3000
+    rows = [(0 if i % 3 == 0 else 1 + i % 50, dt.datetime(2026, 1, 1) if i % 3 == 0 else dt.datetime(2026, 1, 1 + i % 20), i, 5.0 if i % 3 == 0 else 1.0 + i % 7) for i in range(n)]
+    df = spark.createDataFrame(rows, "k int, t timestamp_ntz, e int, p double")
+
+    def found():
+        r = S.log_returns(df, "k", "t", "p", ["e"])
+        curve = sorted((q.k, q.e, q.n, round(q.r, 9)) for q in T.max_to_sum_curve(r, "k", ["t", "e"], 1).collect())
+        values = df.select("k", F.col("p").alias("x"))
+        plain = lambda df: sorted(tuple(None if v is None else round(v, 9) for v in r) for r in df.collect())
+        rest = [plain(T.kappa_1(values, "k").filter("kappa_1 is not null")), plain(T.quantiles(values, "k", {"m": 0.5})), plain(T.survival(values, "k"))]
+        return [curve, *rest]
+
+    want = found()
+    monkeypatch.setattr(X, "HOT", 100)
+    assert found() == want
+    split = X._bucketed(df, ["k"], ["p"], X.hot_keys(df, ["k"]))
+    assert split.filter("k = 0").groupBy("_b").count().agg(F.max("count")).first()[0] <= 200
+
+
 def test_max_to_sum(spark):
     df = sample(spark, {"a": [1, -3, 2], "b": [0, 2], "z": [0, 0]})
     assert one(T.max_to_sum(df, "serie", 1), "r") == {"a": 0.5, "b": 1.0, "z": 0.0}
-    curve = T.max_to_sum_curve(df.withColumn("b", F.col("i") % 2 * 0 + F.floor(F.col("i") / 2)), "serie", "b", ["i"], 1)
+    curve = T.max_to_sum_curve(df, "serie", ["i"], 1)
     assert [round(r.r, 6) for r in sorted(curve.filter("serie = 'a'").collect(), key=lambda r: r.i)] == [1.0, 0.75, 0.5]
     for bad in (0, -2, 1.5, "2", True):
         with pytest.raises(ValueError):
