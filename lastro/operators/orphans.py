@@ -3,8 +3,9 @@
 Names look like ``<stem>#<number>``. The parent numbers of one stem are compressed into
 contiguous runs; each distinct referenced number is matched as of the preceding run start and is
 missing when it lies beyond that run's end. A run also knows the span during which *all* its
-members existed, which settles almost every reference; only references whose time falls outside
-that span take an exact running-maximum check over the intervals of their own name.
+members existed, which settles almost every reference. Only references whose time falls outside
+that span take a second method: the running maximum of the interval ends of their own name tells
+``ainda_nao`` and ``removida``, which runs of numbers cannot express.
 """
 
 from __future__ import annotations
@@ -14,6 +15,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lastro.functions.prefix import running
+from lastro.session import durable
+
 #: Numbers per bucket: no window holds more distinct keys of one stem than this.
 BUCKET = 4096
 NEVER = "9999-12-31 23:59:59"
@@ -71,9 +75,8 @@ def key_runs(parents: DataFrame) -> DataFrame:
     A number with more than one interval makes its run's span empty, so that it is checked exactly.
     """
     one = (F.min("desde") == F.max("desde")) & (F.min("ate") == F.max("ate"))
-    keys = _keyed(parents).groupBy(*_KEY, "number").agg(
-        F.when(one, F.max("desde")).otherwise(_ntz(NEVER)).alias("since"), F.when(one, F.min("ate")).otherwise(_ntz(EVER)).alias("until")
-    )
+    spans = parents.groupBy("corpus", "nome").agg(F.when(one, F.max("desde")).otherwise(_ntz(NEVER)).alias("since"), F.when(one, F.min("ate")).otherwise(_ntz(EVER)).alias("until"))
+    keys = _keyed(spans)  # a name has one number: every row is its own key
     w = Window.partitionBy(*_KEY).orderBy("number")
     return (
         keys.withColumn("island", F.col("number") - F.row_number().over(w))
@@ -85,7 +88,7 @@ def key_runs(parents: DataFrame) -> DataFrame:
 
 def unsettled_names(refs: DataFrame, parents: DataFrame) -> DataFrame:
     """Distinct referenced names that no run vouches for: corpus key ``c``, ``nome``, ``absent``."""
-    wanted = _keyed(refs).groupBy(*_KEY, "number", "nome").agg(F.min("em").alias("first"), F.max("em").alias("last"))
+    wanted = _keyed(refs.groupBy("corpus", "nome").agg(F.min("em").alias("first"), F.max("em").alias("last"))).drop("corpus")
     run = F.struct("hi", "since", "until")
     runs = key_runs(parents).select(*_KEY, F.col("lo").alias("number"), F.lit(0).alias("kind"), run.alias("run"))
     events = runs.unionByName(wanted.withColumn("kind", F.lit(1)), allowMissingColumns=True)
@@ -97,30 +100,16 @@ def unsettled_names(refs: DataFrame, parents: DataFrame) -> DataFrame:
 
 
 def _check_times(doubtful: DataFrame, parents: DataFrame, names: DataFrame) -> DataFrame:
-    """Exact test: some interval of the name with start <= em < end, i.e. max(end | start <= em) > em.
-
-    The running maximum is taken per day with the maximum of the earlier days carried in, so that a
-    name with very many references or intervals is not one window.
-    """
+    """Exact test: some interval of the name with start <= em < end, i.e. max(end | start <= em) > em."""
     key = ["c", "nome"]
     spans = parents.withColumn("c", F.coalesce(F.concat(F.lit("="), F.col("corpus")), F.lit(""))).join(names, key, "left_semi")
-    spans = spans.select(*key, F.col("desde").alias("em"), "ate", F.to_date("desde").alias("day"))
-    asked = doubtful.withColumn("day", F.to_date("em"))
-    days = spans.groupBy(*key, "day").agg(F.max("ate").alias("ate")).unionByName(asked.select(*key, "day").distinct(), allowMissingColumns=True)
-    days = days.groupBy(*key, "day").agg(F.max("ate").alias("ate"))
-    before = Window.partitionBy(*key).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    carried = days.select(*key, "day", F.max("ate").over(before).alias("ate")).filter("ate is not null")
-    events = (
-        carried.withColumn("em", F.col("day").cast("timestamp_ntz")).withColumn("kind", F.lit(0))
-        .unionByName(spans.withColumn("kind", F.lit(1)))
-        .unionByName(asked.withColumn("kind", F.lit(2)), allowMissingColumns=True)
-    )
-    w = Window.partitionBy(*key, "day").orderBy("em", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    spans = spans.select(*key, F.col("desde").alias("em"), "ate", F.lit(1).alias("kind"))
+    events = spans.unionByName(doubtful.withColumn("kind", F.lit(2)), allowMissingColumns=True)
     return (
-        events.withColumn("alive", F.max("ate").over(w))
+        running(events, key, ["em", "kind"], {}, {"alive": F.col("ate")})
         .filter("kind = 2 and (alive is null or alive <= em)")
         .withColumn("motivo", F.when(F.col("alive").isNull(), "ainda_nao").otherwise("removida"))
-        .select(*[c for c in doubtful.columns], "motivo")
+        .select(*doubtful.columns, "motivo")
     )
 
 
@@ -135,8 +124,8 @@ def orphan_references(refs: DataFrame, parents: DataFrame) -> DataFrame:
     empty result; other columns of the tables are not read.
     """
     refs = refs.withColumn("c", F.coalesce(F.concat(F.lit("="), F.col("corpus")), F.lit("")))
-    names = unsettled_names(refs.drop("c"), parents)
-    hit = refs.join(names, ["c", "nome"])
+    names = durable(unsettled_names(refs, parents))
+    hit = durable(refs.join(names, ["c", "nome"]))
     cols = ["tabela", "registro_id", "campo", "corpus", "onda", "nome", "em"]
     gone = hit.filter("absent").select(*cols, F.lit("ausente").alias("motivo"))
     doubtful = hit.filter("not absent and em is not null").drop("absent")
