@@ -17,6 +17,11 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split.split_oversized(table(spark, d, "trecho"))
 
 
+def p1_restored(spark: SparkSession, d: str) -> DataFrame:
+    whole = split.restored(split.split_oversized(table(spark, d, "trecho")))
+    return whole.select("trecho_id", F.md5(F.col("inteiro").cast("binary")).alias("md5"), "cabem", "repetem")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.neighbour_pairs(table(spark, d, "trecho")).select(F.col("a").alias("trecho_id_a"), F.col("b").alias("trecho_id_b"))
 
@@ -49,8 +54,10 @@ def p8_labels(spark: SparkSession, d: str) -> DataFrame:
     return pagespam.label_pages(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p3_found, p3_names, p6_found, p7_mix, p7_shares, p8_found, p8_labels)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p1_restored, p2_found, p3_found, p3_names, p6_found, p7_mix, p7_shares, p8_found, p8_labels)}
+_OVER = "length(texto) + case when parte >= 2 and cabecalho is not null then length(cabecalho) + 1 else 0 end > 1600"
 ORACLE = {
+    "p1_restored": f"select distinct trecho_id, md5(texto) as md5, true as cabem, true as repetem from trecho where {_OVER}",
     "p1_found": """
 select distinct trecho_id from trecho
 where length(texto) + case when parte >= 2 and cabecalho is not null then length(cabecalho) + 1 else 0 end > 1600""",

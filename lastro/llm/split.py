@@ -11,10 +11,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lastro.functions.prefix import running
+from lastro.session import durable
+
 LIMIT = 1600
 OVERLAP = 120
-#: Parts per block of the two-level numbering: no window holds more parts of one topic than this.
-BLOCK = 4096
 SECTION, PARAGRAPH, LINE, SENTENCE, WORD, CLAUSE = range(6)
 
 _GAP = re.compile(r"\s+|(?<=[。！？])(?=\S)|(?<=[,;:|/>)\]}\-–—])(?=\S)")
@@ -78,19 +79,24 @@ def _whole(text: str, cut: int, least: int) -> int:
     return at if at > least else cut
 
 
+def too_large(header: str, limit: int = LIMIT, overlap: int = OVERLAP) -> bool:
+    """Beside this header, its line break and the overlap less than a quarter of the limit is left for text."""
+    return limit - len(header) - 1 - overlap < max(1, limit // 4)
+
+
 def split_text(text: str, part: int, header: str | None, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[str, str, str | None]]:
     """Cut one text into (junta, texto, cabecalho) pieces.
 
     Every piece but the first begins with the last ``overlap`` characters of the piece before, and
     ``texto[0] + sum(junta[i] + texto[i][overlap:])`` is the text. The size of a piece includes its
-    header and a line break from part 2 on. A header that would leave less than a quarter of the
-    limit is not repeated.
+    header and a line break from part 2 on. A header that would leave less than a quarter of the limit
+    for text is not repeated (the table form keeps it once, in ``cabecalho_inteiro``).
     """
     given = header if part >= 2 else None
     if len(text) + (len(given) + 1 if given is not None else 0) <= limit:
         return [("", text, given)]
     head = header if part >= 2 else opening_title(text)
-    if head is not None and limit - len(head) - 1 - overlap < max(1, limit // 4):
+    if head is not None and too_large(head, limit, overlap):
         head = None
     size = len(head) + 1 if head is not None else 0
     starts, ends, levels = boundaries(text)
@@ -115,8 +121,7 @@ def split_text(text: str, part: int, header: str | None, limit: int = LIMIT, ove
         at, gap = after, text[cut:after]
 
 
-def _plain(df: DataFrame) -> DataFrame:
-    return df.select("trecho_id", "documento", "topico", "parte", "ordem", "corpus", "onda", "texto", "junta", "cabecalho")
+COLUMNS = ("trecho_id", "documento", "topico", "parte", "ordem", "corpus", "onda", "texto", "junta", "cabecalho")
 
 
 def oversized(limit: int = LIMIT) -> F.Column:
@@ -126,48 +131,76 @@ def oversized(limit: int = LIMIT) -> F.Column:
 
 
 def cut_pieces(trecho: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
-    """The pieces of the oversized rows only: trecho_id, pedaco (from 0), texto, junta, cabecalho."""
+    """The pieces of the oversized rows only: the row's columns with pedaco (from 0), cabecalho_inteiro and the piece's texto, junta, cabecalho.
+
+    ``cabecalho_inteiro`` is on pedaco 0 the row's own header where it is too large to be repeated, else null.
+    """
+    names = [*COLUMNS, "pedaco", "cabecalho_inteiro"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for i, text, part, gap, header in zip(b.trecho_id, b.texto, b.parte, b.junta, b.cabecalho):
-                pieces = split_text(text, 1 if pd.isna(part) else int(part), header if isinstance(header, str) else None, limit, overlap)
-                for k, (g, t, h) in enumerate(pieces):
-                    rows.append((i, k, t, (gap if isinstance(gap, str) else None) if k == 0 else g, h))
-            yield pd.DataFrame(rows, columns=["trecho_id", "pedaco", "texto", "junta", "cabecalho"])
-
-    big = _plain(trecho).filter(oversized(limit)).select("trecho_id", "texto", "parte", "junta", "cabecalho")
-    return big.mapInPandas(run, "trecho_id bigint, pedaco int, texto string, junta string, cabecalho string")
+            at, rows = [], []
+            for i, (text, part, gap, header) in enumerate(zip(b.texto, b.parte, b.junta, b.cabecalho)):
+                part, header = 1 if pd.isna(part) else int(part), header if isinstance(header, str) else None
+                whole = header if header is not None and part >= 2 and too_large(header, limit, overlap) else None
+                for k, (g, t, h) in enumerate(split_text(text, part, header, limit, overlap)):
+                    at.append(i)
+                    rows.append((t, (gap if isinstance(gap, str) else None) if k == 0 else g, h, k, whole if k == 0 else None))
+            out = b.iloc[at].reset_index(drop=True)
+            out[["texto", "junta", "cabecalho", "pedaco", "cabecalho_inteiro"]] = pd.DataFrame(rows, columns=["texto", "junta", "cabecalho", "pedaco", "cabecalho_inteiro"], dtype=object)
+            yield out[names]
+
+    big = trecho.select(*COLUMNS).filter(oversized(limit))
+    # Whole numbers go through as they are, nulls too.
+    whole = ("parte", "ordem")
+    texts = big.select(*[F.col(c).cast("string") if c in whole else F.col(c) for c in COLUMNS])
+    kinds = {"trecho_id": "bigint", "pedaco": "int"}
+    cut = texts.mapInPandas(run, ", ".join(f"{c} {kinds.get(c, 'string')}" for c in names))
+    return cut.select(*[F.col(c).cast("int").alias(c) if c in whole else F.col(c) for c in names])
 
 
 def split_oversized(trecho: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
     """Replace every oversized trecho by its pieces and number the parts of each topic anew.
 
     Result: trecho_id, documento, topico, parte, ordem, corpus, onda, texto, junta, cabecalho,
-    pedaco; pieces of one trecho share its id and are told apart by ``pedaco``. Within
-    (corpus, documento, topico) the parts keep their order and the natural key stays unique. A
-    repeated delivery of a trecho_id counts once; a row without trecho_id is left out. Null texts, empty texts and texts within the limit
-    pass unchanged as pedaco 0; a null parte counts as 1; a null cabecalho repeats the opening
-    title of the text, if it has one; other columns are not carried (a vector no longer fits).
+    pedaco, cabecalho_inteiro; pieces of one trecho share its id and are told apart by ``pedaco``.
+    Within (corpus, documento, topico) the parts keep their order and the natural key stays unique. A
+    repeated delivery of a trecho_id counts once; a row without trecho_id is left out. Null texts,
+    empty texts and texts within the limit pass unchanged as pedaco 0; a null parte counts as 1; a
+    null cabecalho repeats the opening title of the text, if it has one; other columns are not
+    carried (a vector no longer fits). A header too large to be repeated is kept once, in
+    ``cabecalho_inteiro`` of pedaco 0.
+
+    Texts are cut where they lie, written once, and shuffled once, for the last join; copies are told
+    apart and parts numbered on ids and keys alone.
     """
-    rows = _plain(trecho).filter("trecho_id is not null").dropDuplicates(["trecho_id"])
-    pieces = cut_pieces(rows, limit, overlap)
-    extra = pieces.groupBy("trecho_id").agg((F.count("*") - 1).alias("mais"))
-    key = ["corpus", "documento", "topico"]
+    rows = trecho.select(*COLUMNS).filter("trecho_id is not null")
+    pieces = durable(cut_pieces(rows, limit, overlap))
     # Keys as one null-safe text; only topics with a cut part are numbered anew.
-    named = rows.select("trecho_id", F.to_json(F.struct(*key), {"ignoreNullFields": "false"}).alias("k"), F.coalesce("parte", F.lit(1)).alias("n"), oversized(limit).alias("grande"))
+    key = F.to_json(F.struct("corpus", "documento", "topico"), {"ignoreNullFields": "false"})
+    named = rows.select("trecho_id", key.alias("k"), F.coalesce("parte", F.lit(1)).alias("n"), oversized(limit).alias("grande")).groupBy("trecho_id").agg(F.first("k").alias("k"), F.first("n").alias("n"), F.first("grande").alias("grande"))
+    extra = pieces.groupBy("trecho_id").agg(F.max("pedaco").cast("bigint").alias("mais"))
     heads = named.filter("grande").select("k").distinct()
-    seen = named.join(heads, "k", "left_semi").join(extra, "trecho_id", "left").select("trecho_id", "k", "n", F.coalesce("mais", F.lit(0)).alias("mais"), F.floor(F.col("n") / BLOCK).alias("bloco"))
-    # Shift of a part = pieces added before it: inside its block of parts, plus all earlier blocks.
-    sums = seen.groupBy("k", "bloco").agg(F.sum("mais").alias("soma"))
-    before = Window.partitionBy("k").orderBy("bloco").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("k", "bloco", F.coalesce(F.sum("soma").over(before), F.lit(0)).alias("antes"))
-    inside = Window.partitionBy("k", "bloco").orderBy("n", "trecho_id").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = seen.withColumn("aqui", F.coalesce(F.sum("mais").over(inside), F.lit(0))).join(sums, ["k", "bloco"])
-    shifts = shifts.select("trecho_id", (F.col("aqui") + F.col("antes")).cast("int").alias("salto"))
-    cut = rows.drop("texto", "junta", "cabecalho").join(pieces, "trecho_id")
-    kept = rows.filter(~oversized(limit)).withColumn("pedaco", F.lit(0))
-    out = cut.unionByName(kept).join(shifts, "trecho_id", "left")
+    seen = named.join(heads, "k", "left_semi").join(extra, "trecho_id", "left").select("trecho_id", "k", "n", F.coalesce("mais", F.lit(0)).alias("mais"))
+    # Shift of a part: the pieces added by the parts before it.
+    shifts = running(durable(seen), ["k"], ["n", "trecho_id"], {"ate": F.col("mais")}).select("trecho_id", (F.col("ate") - F.col("mais")).cast("int").alias("salto"))
+    kept = rows.filter(~oversized(limit)).withColumn("pedaco", F.lit(0)).withColumn("cabecalho_inteiro", F.lit(None).cast("string"))
+    out = pieces.unionByName(kept).join(shifts, "trecho_id", "left").dropDuplicates(["trecho_id", "pedaco"])
     part = F.when(F.col("salto").isNull(), F.col("parte")).otherwise(F.coalesce("parte", F.lit(1)) + F.col("salto") + F.col("pedaco"))
     return out.withColumn("parte", part.cast("int")).drop("salto")
+
+
+def restored(pieces: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+    """(trecho_id, pedacos, inteiro, cabem, repetem) of cut texts: what the pieces give back, and whether they keep the rules.
+
+    ``inteiro`` is the text put together again from the pieces; ``cabem``: every piece is within the
+    limit; ``repetem``: every piece begins with the end of the one before. One text is one group.
+    """
+    before = F.lag("texto").over(Window.partitionBy("trecho_id").orderBy("pedaco"))
+    seen = pieces.withColumn("_b", before).withColumn("_n", F.coalesce(F.least(F.length("_b"), F.lit(overlap)), F.lit(0)))
+    added = F.when(F.col("pedaco") == 0, F.col("texto")).otherwise(F.concat("junta", F.substring("texto", F.col("_n") + 1, F.length("texto"))))
+    same = (F.col("pedaco") == 0) | (F.substring("texto", F.lit(1), F.col("_n")) == F.expr("right(_b, _n)"))
+    size = F.length("texto") + F.when((F.col("parte") >= 2) & F.col("cabecalho").isNotNull(), F.length("cabecalho") + 1).otherwise(0)
+    each = seen.select("trecho_id", "pedaco", added.alias("a"), (size <= limit).alias("s"), same.alias("r"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pedaco", "a"))), lambda x: x["a"]), "")
+    return each.groupBy("trecho_id").agg(F.count("*").alias("pedacos"), whole.alias("inteiro"), F.bool_and("s").alias("cabem"), F.bool_and("r").alias("repetem")).filter("pedacos > 1")

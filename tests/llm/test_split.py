@@ -75,6 +75,28 @@ def test_table(spark):
     assert {r.trecho_id for r in S.cut_pieces(df).filter("pedaco > 0").collect()} == {1, 5, None}
 
 
+def test_a_header_too_large_to_repeat_is_kept_once(spark):
+    text = "frase curta. " * 300
+    for n in (1079, 1080, 1202, 1700):  # 1,079 characters leave a quarter for the text beside the overlap
+        rows = S.split_oversized(frame(spark, [(1, "d", "t", 2, 1, "c", "o", text, "\n", "h" * n)])).orderBy("pedaco").collect()
+        assert restore([(r.junta, r.texto, r.cabecalho) for r in rows], 120) == text and len(rows) > 1
+        assert all(size(r.parte, r.cabecalho, r.texto) <= 1600 for r in rows)
+        if n <= 1079:
+            assert all(r.cabecalho == "h" * n and r.cabecalho_inteiro is None for r in rows)
+        else:
+            assert rows[0].cabecalho_inteiro == "h" * n and all(r.cabecalho is None and r.cabecalho_inteiro is None for r in rows[1:])
+
+
+def test_many_parts_of_one_topic(spark, monkeypatch):
+    from lastro.functions import prefix
+
+    rows = [(i, "d", "t", None, 1, "c", "o", "y " * (900 if i % 3 == 0 else 5), None, None) for i in range(300)]
+    want = sorted((r.trecho_id, r.pedaco, r.parte) for r in S.split_oversized(frame(spark, rows)).collect())
+    assert len(want) == 400 and max(p for _, _, p in want) == 101  # one part number for all, and a piece more in each of 100
+    monkeypatch.setattr(prefix, "HOT", 40)
+    assert sorted((r.trecho_id, r.pedaco, r.parte) for r in S.split_oversized(frame(spark, rows)).collect()) == want
+
+
 def test_empty_and_very_long(spark):
     assert S.split_oversized(frame(spark, [])).count() == 0
     text = "x" * 300_000 + " " + "frase longa. " * 20_000
