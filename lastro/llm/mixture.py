@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import base64
+import heapq
 import math
 import os
-import re
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import regex
 import tiktoken
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,7 +29,9 @@ BUCKET_ROWS, CHUNK_SLOTS = 4096, 65_536
 #: Most sources of a target table.
 MAX_SOURCES = 10_000
 GOLDEN = (math.sqrt(5) - 1) / 2
-_RUN = re.compile(r"\S{4096,}")
+#: The library's merge loop is quadratic in the length of a run; longer runs are merged with a heap.
+_RUN = regex.compile(r"\S{2048}|\s{2048}")
+_PIECE = regex.compile(PATTERN)
 
 
 @lru_cache(maxsize=4)
@@ -36,24 +41,48 @@ def encoding(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def merged_length(piece: bytes, ranks: dict[bytes, int]) -> int:
+    """Tokens of one piece: the pair of the lowest rank is merged, the leftmost first, until none is left."""
+    if piece in ranks:
+        return 1
+    n = len(piece)
+    end, before, live = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
+    heap = [(r, i, i + 1, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i:i + 2])) is not None]
+    heapq.heapify(heap)
+    count = n
+    while heap:
+        _, i, middle, stop = heapq.heappop(heap)
+        if not live[i] or end[i] != middle or middle >= n or not live[middle] or end[middle] != stop:
+            continue  # one of the two has been merged since
+        end[i], live[middle] = stop, False
+        count -= 1
+        if stop < n:
+            before[stop] = i
+            if (r := ranks.get(piece[i:end[stop]])) is not None:
+                heapq.heappush(heap, (r, i, stop, end[stop]))
+        p = before[i]
+        if p >= 0 and (r := ranks.get(piece[p:stop])) is not None:
+            heapq.heappush(heap, (r, p, i, stop))
+    return count
+
+
 def count_tokens(text: str, enc: tiktoken.Encoding) -> int:
-    """Tokens of the whole text; runs of over 4,096 characters without a space are counted in slices."""
-    if len(text) < 4096 or not _RUN.search(text):
-        return len(enc.encode_ordinary(text))
-    total, at = 0, 0
-    for m in _RUN.finditer(text):
-        total += len(enc.encode_ordinary(text[at:m.start()]))
-        total += sum(len(enc.encode_ordinary(m.group()[k:k + 4096])) for k in range(0, len(m.group()), 4096))
-        at = m.end()
-    return total + len(enc.encode_ordinary(text[at:]))
-
-
-def token_counter(folder: str = FOLDER, vocabulary: str = VOCABULARY):
+    """Tokens of the whole text, whatever the length of its runs."""
+    if len(text) < 2048 or not _RUN.search(text):
+        return len(enc.encode_to_numpy(text, disallowed_special=()))
+    whole = text.encode("utf-8", "replace").decode("utf-8")
+    return sum(merged_length(m.group().encode(), enc._mergeable_ranks) for m in _PIECE.finditer(whole))
+
+
+def token_counter(spark, folder: str = FOLDER, vocabulary: str = VOCABULARY):
+    """Column function that counts tokens; the vocabulary is sent to the executors."""
     path = os.path.join(folder, vocabulary)
+    spark.sparkContext.addFile(path)
 
     @F.pandas_udf(T.LongType())
     def count(texts: pd.Series) -> pd.Series:
-        enc = encoding(path)
+        sent = SparkFiles.get(vocabulary)
+        enc = encoding(sent if os.path.exists(sent) else path)
         return pd.Series([count_tokens(t, enc) for t in texts], dtype="int64")
 
     return count
@@ -70,13 +99,16 @@ def stock(documents: DataFrame, target: DataFrame, folder: str = FOLDER, vocabul
     docs = documents.select("doc_id", source_name("source").alias("source"), "text").filter("text is not null and text <> '' and doc_id is not null")
     docs = docs.join(listed, "source", "left_semi")
     key = [F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2")]
-    counted = docs.select("doc_id", "source", *key, token_counter(folder, vocabulary)("text").alias("tokens")).filter("tokens > 0")
+    counted = docs.select("doc_id", "source", *key, token_counter(documents.sparkSession, folder, vocabulary)("text").alias("tokens")).filter("tokens > 0")
     first = F.min(F.struct("doc_id", "source", "tokens"))
     return counted.groupBy("k1", "k2").agg(first.alias("f")).select("f.*")
 
 
 def _blocks(rows: DataFrame, count: int, block: int, seed: int) -> DataFrame:
-    """Shuffle each source and cut its stream of tokens into blocks: adds bloco."""
+    """Shuffle each source and cut its stream of tokens into equal blocks: (doc_id, source, bloco, de, ate, tokens).
+
+    A text that crosses the edge of a block stands in each of its blocks with its tokens de to ate there.
+    """
     bits = max(0, math.ceil(math.log2(max(1, count / BUCKET_ROWS))))
     mixed = rows.withColumn("r", F.xxhash64(F.lit(seed), "doc_id").bitwiseAND(F.lit((1 << 62) - 1)))
     mixed = mixed.withColumn("balde", F.shiftright("r", 62 - bits) if bits else F.lit(0).cast("bigint"))
@@ -85,7 +117,11 @@ def _blocks(rows: DataFrame, count: int, block: int, seed: int) -> DataFrame:
     sums = sums.select("source", "balde", F.coalesce(F.sum("soma").over(before), F.lit(0)).alias("antes"))
     inside = Window.partitionBy("source", "balde").orderBy("r", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     at = mixed.withColumn("aqui", F.coalesce(F.sum("tokens").over(inside), F.lit(0))).join(sums, ["source", "balde"])
-    return at.select("doc_id", "source", "tokens", F.floor((F.col("antes") + F.col("aqui")) / block).alias("bloco"))
+    start = F.col("antes") + F.col("aqui")
+    spans = at.select("doc_id", "source", start.alias("s"), (start + F.col("tokens")).alias("e"))
+    cut = spans.withColumn("bloco", F.explode(F.sequence(F.floor(F.col("s") / block), F.floor((F.col("e") - 1) / block))))
+    low, high = F.greatest("s", F.col("bloco") * block), F.least("e", (F.col("bloco") + 1) * block)
+    return cut.select("doc_id", "source", "bloco", (low - F.col("s")).alias("de"), (high - F.col("s")).alias("ate"), (high - low).alias("tokens"))
 
 
 def _plan(totals: dict[str, int], target: list, block: int, total: int | None) -> list[tuple[str, float, int, int]]:
@@ -104,22 +140,27 @@ def _plan(totals: dict[str, int], target: list, block: int, total: int | None) -
 
 
 def schedule(plan: list[tuple[str, float, int, int]], spark) -> DataFrame:
-    """slot, source, ordem: golden-ratio points mapped through the cumulative weights, ranked per source."""
-    slots = round(sum(n for _, n, _, _ in plan))
-    whole = sum(n for _, n, _, _ in plan)
+    """slot, source, n, m, ordem: golden-ratio points mapped through the cumulative weights, ranked per source.
+
+    A point finds its source by binary search among the sorted edges; the plan (at most MAX_SOURCES
+    rows) is broadcast to give names, blocks and repeats.
+    """
+    wanted = np.array([n for _, n, _, _ in plan])
+    slots, edges = round(float(wanted.sum())), np.cumsum(wanted)[:-1] / wanted.sum()
+
+    @F.pandas_udf(T.IntegerType())
+    def place(points: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(edges, points.to_numpy(), side="right").astype(np.int32))
+
     x = (F.col("id") + F.lit(0.5)) * F.lit(GOLDEN)
-    point, pick, edge = x - F.floor(x), None, 0.0
-    for s, n, _, _ in plan[:-1]:
-        edge += n / whole
-        pick = F.when(F.col("u") < edge, s) if pick is None else pick.when(F.col("u") < edge, s)
-    last = F.lit(plan[-1][0])
-    drawn = spark.range(slots).withColumn("u", point).select(F.col("id").alias("slot"), (pick.otherwise(last) if pick is not None else last).alias("source"), F.floor(F.col("id") / CHUNK_SLOTS).alias("trecho"))
-    counts = drawn.groupBy("trecho", "source").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("source").orderBy("trecho").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("trecho", "source", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("antes"))
-    inside = Window.partitionBy("trecho", "source").orderBy("slot")
-    ranked = drawn.withColumn("aqui", F.row_number().over(inside) - 1).join(counts, ["trecho", "source"])
-    return ranked.select("slot", "source", (F.col("antes") + F.col("aqui")).alias("ordem"))
+    drawn = spark.range(slots).select(F.col("id").alias("slot"), place(x - F.floor(x)).alias("i"), F.floor(F.col("id") / CHUNK_SLOTS).alias("trecho"))
+    counts = drawn.groupBy("trecho", "i").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("i").orderBy("trecho").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("trecho", "i", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("antes"))
+    inside = Window.partitionBy("trecho", "i").orderBy("slot")
+    ranked = drawn.withColumn("aqui", F.row_number().over(inside) - 1).join(counts, ["trecho", "i"])
+    names = spark.createDataFrame([(i, s, n, r) for i, (s, _, n, r) in enumerate(plan)], "i int, source string, n bigint, m bigint")
+    return ranked.join(F.broadcast(names), "i").select("slot", "source", "n", "m", (F.col("antes") + F.col("aqui")).alias("ordem"))
 
 
 def targets(target: DataFrame) -> list[tuple[str, float, int]]:
@@ -132,33 +173,33 @@ def targets(target: DataFrame) -> list[tuple[str, float, int]]:
 
 
 def mix(documents: DataFrame, target: DataFrame, total: int | None = None, block: int = BLOCK_TOKENS, seed: int = 20, folder: str = FOLDER, vocabulary: str = VOCABULARY) -> DataFrame:
-    """The mixture: slot, source, repeticao (from 0), bloco, doc_id, tokens.
+    """The mixture: slot, source, repeticao (from 0), bloco, doc_id, de, ate, tokens.
 
     ``total`` tokens are wanted; by default as many as let every source with any text reach its
     share within its repeats. The shares of sources without text go to the others in proportion.
-    Each source is a shuffled stream cut into blocks of about ``block`` tokens; whole texts go to
-    the block they begin in. A block is used again only after all blocks of its source, at most
-    ``max_repeats`` times; slots beyond that stay empty, which the report shows. Equal texts count
-    as one text, under their smallest doc_id. Null or empty texts, null or unlisted sources, and
-    shares or repeats of null or 0 give no rows.
+    Each source is a shuffled stream of tokens cut into equal blocks of ``block`` tokens (the last one
+    is what is left); a text that crosses an edge has a row for each of its blocks, with its tokens
+    ``de`` (inclusive) to ``ate`` there. A block is used again only after all blocks of its source, at
+    most ``max_repeats`` times, so that no text is used more often; slots beyond that stay empty,
+    which the report shows. Equal texts count as one text, under their smallest doc_id. Null or empty
+    texts, null or unlisted sources, and shares or repeats of null or 0 give no rows.
     """
     spark = documents.sparkSession
     wanted = targets(target)
     rows = durable(stock(documents, target, folder, vocabulary))
     per = {r.source: (r.t, r.n) for r in rows.groupBy("source").agg(F.sum("tokens").alias("t"), F.count("*").alias("n")).collect()}
     plan = _plan({s: t for s, (t, _) in per.items()}, wanted, block, total)
-    out = ["slot", "source", "repeticao", "bloco", "doc_id", "tokens"]
     if not plan:
-        return spark.createDataFrame([], "slot bigint, source string, repeticao bigint, bloco bigint, doc_id bigint, tokens bigint")
-    facts = F.create_map(*[F.lit(x) for s, _, n, _ in plan for x in (s, n)]), F.create_map(*[F.lit(x) for s, _, _, r in plan for x in (s, r)])
-    slots = schedule(plan, spark).withColumn("n", facts[0][F.col("source")]).withColumn("m", facts[1][F.col("source")])
-    slots = slots.select("slot", "source", F.floor(F.col("ordem") / F.col("n")).alias("repeticao"), F.pmod("ordem", "n").alias("bloco"), "m").filter("repeticao < m")
-    return slots.join(_blocks(rows, sum(n for _, n in per.values()), block, seed), ["source", "bloco"]).select(*out)
+        return spark.createDataFrame([], "slot bigint, source string, repeticao bigint, bloco bigint, doc_id bigint, de bigint, ate bigint, tokens bigint")
+    slots = schedule(plan, spark).select("slot", "source", F.floor(F.col("ordem") / F.col("n")).alias("repeticao"), F.pmod("ordem", "n").alias("bloco"), "m").filter("repeticao < m")
+    blocks = _blocks(rows, sum(n for _, n in per.values()), block, seed)
+    return slots.join(blocks, ["source", "bloco"]).select("slot", "source", "repeticao", "bloco", "doc_id", "de", "ate", "tokens")
 
 
 def shares(mixture: DataFrame, target: DataFrame) -> DataFrame:
-    """source, target_share, max_repeats, tokens, share, textos, usos of every source of the target."""
-    used = mixture.groupBy("source", "doc_id").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("vezes"))
+    """source, target_share, max_repeats, tokens, share, textos, usos (of the most used text) of every source of the target."""
+    passes = mixture.groupBy("source", "doc_id", "repeticao").agg(F.sum("tokens").alias("tokens"))
+    used = passes.groupBy("source", "doc_id").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("vezes"))
     used = used.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("textos"), F.max("vezes").alias("usos"))
     want = target.select(source_name("source").alias("source"), "target_share", "max_repeats").filter("source is not null")
     want = want.groupBy("source").agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lastro.llm import leak, lookalike, mixture, neighbours, pagespam, split
@@ -46,6 +46,17 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixture.shares(p7_mix(spark, d), table(spark, d, "mix_target"))
 
 
+def p7_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Does every source keep its repeats, and reach its tokens to within four blocks?"""
+    report = p7_shares(spark, d)
+    live = F.coalesce(F.when(F.col("tokens") > 0, F.col("target_share")), F.lit(0.0))
+    few = Window.partitionBy(F.lit(0))  # one row per source of the bounded target table
+    asked = live / F.sum(live).over(few) * F.sum("tokens").over(few)
+    near = F.abs(F.col("tokens") - asked) <= 4 * mixture.BLOCK_TOKENS
+    known = table(spark, d, "documents").filter("text is not null and text <> '' and doc_id is not null").select(mixture.source_name("source").alias("source")).distinct().withColumn("ha", F.lit(True))
+    return report.join(known, "source", "left").select("source", "max_repeats", (F.col("usos") <= F.col("max_repeats")).alias("repete"), near.alias("perto"), (F.coalesce("ha", F.lit(False)) == (F.col("tokens") > 0)).alias("presente"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return pagespam.spam_pages(table(spark, d, "documents")).select("doc_id").distinct()
 
@@ -54,9 +65,10 @@ def p8_labels(spark: SparkSession, d: str) -> DataFrame:
     return pagespam.label_pages(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p1_restored, p2_found, p3_found, p3_names, p6_found, p7_mix, p7_shares, p8_found, p8_labels)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p1_restored, p2_found, p3_found, p3_names, p6_found, p7_mix, p7_shares, p7_rules, p8_found, p8_labels)}
 _OVER = "length(texto) + case when parte >= 2 and cabecalho is not null then length(cabecalho) + 1 else 0 end > 1600"
 ORACLE = {
+    "p7_rules": "select lower(trim(source)) as source, max(max_repeats) as max_repeats, true as repete, true as perto, true as presente from mix_target where source is not null group by 1",
     "p1_restored": f"select distinct trecho_id, md5(texto) as md5, true as cabem, true as repetem from trecho where {_OVER}",
     "p1_found": """
 select distinct trecho_id from trecho

@@ -90,6 +90,42 @@ def test_scan_equals_plain_search():
     assert set(zip(text.tolist(), mine.tolist())) == want
 
 
+def test_a_passage_is_followed_to_its_end(spark):
+    words = [f"w{i}x" for i in range(400)]
+    doc = ["antes"] + words[100:300] + ["depois"]
+    doc[40] = doc[150] = "outra"
+    got = found(spark, [(1, " ".join(doc)), (2, " ".join(words))], [(7, " ".join(words))])
+    assert got == {(1, 7): (200, 2), (2, 7): (400, 0)}
+    # One item longer than a block is cut into stretches that overlap; passages of a quarter of a block stay whole.
+    long = [(1, " ".join(words[90:125])), (2, " ".join(words[10:28])), (3, " ".join(words[380:]))]
+    assert found(spark, long, [(7, " ".join(words))], block_words=160) == {(1, 7): (35, 0), (2, 7): (18, 0), (3, 7): (20, 0)}
+    rows = K.item_blocks(K.item_segments(spark.createDataFrame([(i, " ".join(f"{w}q{i}" for w in words)) for i in range(5)], "item_id bigint, text string")), 160).collect()
+    held = {}
+    for r in rows:
+        held[r.bloco] = held.get(r.bloco, 0) + len(r.words)
+    assert len(held) > 10 and max(held.values()) <= 160
+
+
+def test_words_are_compared_as_written():
+    text = "Um <b>texto</b> com acen-\ntos É ﬁnal, 12 e µ " * 3
+    assert len(K.spelled(text)) == len(K.hash_words([text])[0]) and K.spelled("Ação É ﬁm").tolist() == ["acao", "e", "fim"]
+    h = np.arange(1, 30, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    p = K.build_patterns([("i", h, " ".join(map(str, range(29))))], 6)
+    alike, other = np.array(list(map(str, range(29))), dtype=object), np.array(list("abcdefghijklmnopqrstuvwxyzabc"), dtype=object)
+    assert K.passages(h, np.array([0, 29]), p, 18, 2, lambda d: alike) == {(0, "i"): (29, 0)}
+    assert K.passages(h, np.array([0, 29]), p, 18, 2, lambda d: other) == {}
+
+
+def test_shift_table_of_a_full_block():
+    rng = np.random.default_rng(4)
+    vocabulary = rng.integers(1, 2**63, 50_000).astype(np.uint64)
+    words = vocabulary[(50_000 * rng.random(2_000_000) ** 2).astype(int)]
+    p = K.build_patterns([(i, w, "") for i, w in enumerate(np.split(words, 4000))], 6)
+    assert p.shift.mean() >= 3 and p.shift.nbytes <= 1 << 24
+    text = vocabulary[(50_000 * rng.random(200_000) ** 2).astype(int)]
+    assert p.shift[p.slot(K._blocks(text))].mean() >= 3
+
+
 def test_long_text_hashes_alike(monkeypatch):
     text = "uma frase com palavras " * 500
     want = K.hash_words([text])[0]
