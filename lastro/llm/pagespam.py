@@ -30,115 +30,175 @@ START = (0.7, 0.1, 0.1, 0.1)
 SHARE = 0.5
 #: Units of a line are joined up to so many words, and cut beyond so many.
 LEAST_WORDS, MOST_WORDS = 12, 28
-#: Frequent function words of Portuguese, Spanish and English.
-FUNCTION = frozenset(
-    "a o as os um uma de da do das dos em no na nos nas ao aos à às que e é se por para com sem sob não mas como mais foi cai entre sobre el la los las "
-    "un una del al en y con sin no si pero por para lo su the of in to and an is by for with on at if when yet from that this was it or as".split()
-)
+#: Characters from which a line counts as longer than a unit.
+LONG_LINE = 400
+#: Words of up to so many letters tie sentences together in the languages at hand; no word is named.
+TIE = 3
+#: A line repeats the page's frame where so large a part of its words stands in so many (and at least 4) of its lines.
+FRAME, FRAME_LINES = 0.6, 0.1
 
-_LINK = re.compile(r"<a\b[^>]{0,2000}>.{0,500}?</a>|!?\[[^\]]{0,500}\]\([^)]{0,2000}\)|https?://\S+|www\.\S+", re.I | re.S)
+# Links of any length: captions and targets end at the next mark that cannot stand in them, so that a search is linear.
+_LINK = re.compile(r"<a\b[^<>]*>(?:[^<]|<(?!/?a\b))*</a>|!?\[[^\[\]]*\]\([^()]*(?:\([^()]*\)[^()]*)*\)|https?://\S+|www\.\S+", re.I)
 _WORDS = re.compile(r"\w+")
 _SPACED = re.compile(r"(?<!\w)(\w(?: \w)+)(?!\w)")
 _TAG = re.compile(r"(?<!\w)#\w+")
 _SEPARATOR = re.compile(r"(?:^|(?<=\s))(?:[|•·*»>/~+=–—-]{1,3})(?=\s|$)|[|•·»]")
-_STRUCTURE = re.compile(r"^\s*\|.*\|\s*$|\.{3,200}\s*\d+\s*$|^\s*\$\$|\$\$\s*$|^\s*(```|~~~)|^\s*[\w\[\]]+\s*:?=\s|^\s*(def|for|if|return|import|class)\b.*[:(]")
+_LEADER = re.compile(r"\.{3,}\s*\d+$")
+_STATEMENT = re.compile(r"[\w\[\]]+\s*:?=\s|(def|for|if|return|import|class)\b.*[:(]")
 _REFERENCE = re.compile(r"\((1[89]|20)\d\d[a-z]?\)|\bdoi\b|\d+\s*[-–]\s*\d+\.")
-_LABEL = re.compile(r"\b(?=[0-9A-Z]*\d)[0-9A-Z]{2,}-\d+\b|\b(?:ref|mod|sku|item|kit|combo)\.? ?[0-9A-Z-]*\d", re.I)
+_LABEL = re.compile(r"\b(?=[0-9A-Z-]*\d)[0-9A-Z]{2,}(?:-[0-9A-Z]+)*-\d+\b")
 _END = re.compile(r"[.!?:;…»”\"')]\s*$")
 _SENTENCES = re.compile(r"(?<=[.!?])\s+")
-_HEADING = re.compile(r"^\s*#{1,6}\s")
+_HEADING = re.compile(r"\s*#{1,6}\s")
 _ENTRY = re.compile(r"\s*(\w[^:.!?,;]{0,60}):\s+\w")
 _STOP = re.compile(r"[.!?](?=\s|$)")
-_UNUSUAL = re.compile(r"[|•·»>~#=\[<$*]|https?:|www\.|\.{3}|(?<!\w)\w \w \w(?!\w)|\d-\d|\b[0-9A-Z]{2,}-\d| [-–—/+] ")
+#: Signs that are unusual in prose; single letters with spaces between them and codes are looked for apart.
+_SIGNS = (*"|•·»>~#=[<$*", "http:", "https:", "www.", "...", " - ", " – ", " — ", " / ", " + ")
+_DASHED = re.compile(r"\d-\d|\b[0-9A-Z]{2,}-\d")
+_APART = re.compile(r"(?<!\w)\w \w \w(?!\w)")
+
+
+def may_link(text: str) -> bool:
+    """Cheap test before the search for links."""
+    low = text.lower()
+    return any(c in low for c in ("](", "http:", "https:", "www.", "<a"))
+
+
+def usual_signs(text: str) -> bool:
+    """Nothing but the signs of plain prose."""
+    return not any(c in text for c in _SIGNS) and not ("-" in text and _DASHED.search(text)) and not _APART.search(text)
+
+
+def ties(words: list[str]) -> int:
+    """Words that are short enough to tie others together."""
+    return sum(map(str.isalpha, [w for w in words if len(w) <= TIE]))
+
+
+def is_structure(line: str) -> bool:
+    """Table rows, lines of contents, formulas, code marks and statements."""
+    s = line.strip()
+    if s[0] == "|" and s[-1] == "|" and len(s) > 1 or s[:2] == "$$" or s[-2:] == "$$" or s[:3] in ("```", "~~~"):
+        return True
+    return bool("..." in s and s[-1].isdigit() and _LEADER.search(s) or _STATEMENT.match(s))
+
+
+def framed_lines(text: str) -> set[str]:
+    """Lines without an end mark that say much the same as others of the page with a word or two changed.
+
+    The words of a line are counted once each, lines that are repeated as a whole once.
+    """
+    lines = {line.strip("# \t\r") for line in text.split("\n")}
+    split = {line: line.lower().split() for line in lines if 0 < len(line) < 120 and line[-1] not in ".!?:;,…"}
+    split = {line: words for line, words in split.items() if 2 < len(words) <= 12}
+    if len(split) < 6:
+        return set()
+    seen: Counter = Counter()
+    for words in split.values():
+        seen.update(set(words))
+    least = max(4, FRAME_LINES * len(split))
+    common = {w for w, k in seen.items() if k >= least}
+    return {line for line, words in split.items() if sum(w in common for w in words) >= FRAME * len(words)} if common else set()
 
 
 #: Kinds that are likeliest in prose: a page of nothing else is prose on the best path.
 SURE = frozenset(k for k, v in EMISSION.items() if v[0] >= max(v[1:]))
-TEXT, CODE, ENTRY = range(3)
+TEXT, CODE, ENTRY, FRAMED = range(4)
 
 
 def entry_term(line: str) -> str | None:
     """The term that a line of a glossary explains in a sentence, or null if it is no such line."""
     m = _ENTRY.match(line)
-    if not m or not _END.search(line) or _UNUSUAL.search(line):
+    if not m or not _END.search(line) or not usual_signs(line):
         return None
     words = _WORDS.findall(line.lower())
     if len(words) < 8 or 6 * (line.count(",") + line.count(";")) >= len(words):
         return None
-    return m.group(1).lower() if sum(map(FUNCTION.__contains__, words)) >= 0.15 * len(words) else None
+    return m.group(1).lower() if ties(words) >= 0.15 * len(words) else None
 
 
-def units(text: str) -> Iterator[tuple[str, int]]:
-    """(unit, TEXT, CODE or ENTRY) in order: lines, with very short ones joined and long ones cut.
+def units(text: str) -> Iterator[tuple[str, int, list[str]]]:
+    """(unit, state, words in lower case) in order: lines, with very short ones joined and long ones cut.
 
-    ENTRY marks lines that explain a term as in a glossary, one that no earlier line has explained.
+    CODE lies within code fences; ENTRY marks lines that explain a term as in a glossary, one that no
+    earlier line has explained; FRAMED ones repeat the frame of other lines, see :func:`framed_lines`.
     """
-    fence, held, terms = False, [], set()
+    linked, fence, held, terms, framed = may_link(text), False, [], set(), framed_lines(text)
+
+    def joined() -> tuple[str, int, list[str]]:
+        unit = " \n ".join(held)
+        alike = sum(x.strip("# \t\r") in framed for x in held) > len(held) / 2 if framed else False
+        return unit, FRAMED if alike else TEXT, _WORDS.findall(unit.lower())
+
     for line in text.split("\n"):
         if not line.strip():
             continue
         if line.lstrip().startswith(("```", "~~~")):
             fence = not fence
         state = CODE if fence else TEXT
-        if not fence and ":" in line and (term := entry_term(line)) and term not in terms:
+        if not fence and framed and line.strip("# \t\r") in framed:
+            state = FRAMED
+        elif not fence and ":" in line and (term := entry_term(line)) and term not in terms:
             terms.add(term)
             state = ENTRY
-        count = len(_WORDS.findall(line))
+        # A long line is cut anyway; its words are found in its parts.
+        words = _WORDS.findall(line.lower()) if len(line) < LONG_LINE else None
+        count = MOST_WORDS + 1 if words is None else len(words)
         middle = 3 < count <= MOST_WORDS  # such lines are neither joined nor cut, whatever they are
-        plain = not middle and not fence and not _LINK.search(line) and not _STRUCTURE.search(line) and not _HEADING.match(line)
+        link = not middle and linked and bool(_LINK.search(line))
+        plain = not middle and not fence and not link and not is_structure(line) and not _HEADING.match(line)
         if plain and count <= 3 and not _LABEL.search(line):
             held.append(line)
             if sum(len(x.split()) for x in held) >= LEAST_WORDS:
-                yield " \n ".join(held), TEXT
+                yield joined()
                 held = []
             continue
         if held:
-            yield " \n ".join(held), TEXT
+            yield joined()
             held = []
-        if count <= MOST_WORDS or not plain and not _LINK.search(line):
-            yield line, state
+        if count <= MOST_WORDS or not plain and not link:
+            yield line, state, _WORDS.findall(line.lower()) if words is None else words
             continue
         part: list[str] = []
         for s in _SENTENCES.split(line):
-            words = s.split()
-            for i in range(0, len(words), MOST_WORDS):
-                part += words[i:i + MOST_WORDS]
+            pieces = s.split()
+            for i in range(0, len(pieces), MOST_WORDS):
+                part += pieces[i:i + MOST_WORDS]
                 if len(part) >= LEAST_WORDS:
-                    yield " ".join(part), state
+                    unit = " ".join(part)
+                    yield unit, state, _WORDS.findall(unit.lower())
                     part = []
         if part:
-            yield " ".join(part), state
+            unit = " ".join(part)
+            yield unit, state, _WORDS.findall(unit.lower())
     if held:
-        yield " \n ".join(held), TEXT
-
+        yield joined()
 
-def kind(unit: str, state: int, common: Container[str] = (), words: list[str] | None = None) -> str:
-    """The observed kind of one unit; see EMISSION. ``common``: words that fill the whole page.
 
-    ``words``: those of the unit in lower case, where they are known already.
-    """
+def kind(unit: str, state: int, words: list[str], common: Container[str] = (), usual: bool = False) -> str:
+    """The observed kind of one unit; see EMISSION. ``common``: words that fill the whole page; ``usual``: no sign in it is unusual for prose."""
     if state == CODE:
         return "structure"
-    words = _WORDS.findall(unit.lower()) if words is None else words
     n = len(words)
     variety = len(set(words)) / max(1, n)
-    glue = sum(map(FUNCTION.__contains__, words)) / max(1, n)
-    content = [w for w in words if w not in FUNCTION] if common else []
+    glue = ties(words) / max(1, n)
+    content = [w for w in words if len(w) > TIE] if common else []
     # A glossary explains its terms in much the same words.
     echo = sum(w in common for w in content) / len(content) if len(content) >= 4 and state != ENTRY else 0.0
-    if n >= 8 and variety > 0.6 and glue >= 0.12 and echo < 0.6 and not _UNUSUAL.search(unit) and unit.count(",") + unit.count(";") < 3:
+    if state != FRAMED and n >= 8 and variety > 0.6 and glue >= 0.12 and echo < 0.6 and unit.count(",") + unit.count(";") < 3 and (usual or usual_signs(unit)):
         return "sentence"
-    if _STRUCTURE.search(unit):
+    if is_structure(unit):
         return "structure"
-    linked = sum(len(m.group()) for m in _LINK.finditer(unit))
+    linked = sum(len(m.group()) for m in _LINK.finditer(unit)) if may_link(unit) else 0
     if linked:
         rest = _LINK.sub(" ", unit)
         if linked >= 0.3 * len(unit):
             return "reference" if _REFERENCE.search(rest) and len(_WORDS.findall(rest)) >= 5 else "link"
         words = _WORDS.findall(rest.lower())
         n = len(words)
+    if state == FRAMED:
+        return "repeat"
     if _HEADING.match(unit):
-        return "heading"
+        return "repeat" if echo >= 0.7 else "heading"
     if len(_TAG.findall(unit)) >= 2:
         return "repeat"
     if _SPACED.search(unit):
@@ -152,7 +212,7 @@ def kind(unit: str, state: int, common: Container[str] = (), words: list[str] |
     if n >= 5 and (variety <= (0.5 if n >= 9 else 0.45) or echo >= 0.7):
         return "repeat"
     labels = len(_LABEL.findall(unit))
-    if labels and (labels >= 2 and n / labels <= 7 or n <= 8 and not _END.search(unit)):
+    if labels and (labels >= 2 and n / labels <= 8 or n <= 8 and not _END.search(unit)):
         return "label"
     separators = len(_SEPARATOR.findall(unit))
     if separators >= 2 and n / separators <= 7:
@@ -170,20 +230,21 @@ def kind(unit: str, state: int, common: Container[str] = (), words: list[str] |
     return "short" if n <= 8 or glue < 0.1 else "sentence"
 
 
-def common_words(parts: list[tuple[str, int]], words: list[list[str]] | None = None) -> set[str]:
-    """Content words that fill the page: those in at least 4 and in half of its different units.
+def common_words(parts: list[tuple[str, int, list[str]]]) -> set[str]:
+    """Long words that fill the page: those in at least 4 and in half of its different units.
 
-    A unit repeated word for word, as in a refrain, counts once. ``words``: as in :func:`kind`, of each part.
+    A unit repeated word for word, as in a refrain, counts once.
     """
-    words = [_WORDS.findall(u.lower()) for u, _ in parts] if words is None else words
-    distinct = {u.lower(): w for (u, state), w in zip(parts, words) if state != CODE}
+    if len(parts) < 4:
+        return set()
+    distinct = {u.lower(): w for u, state, w in parts if state != CODE}
     if len(distinct) < 4:
         return set()
     seen: Counter = Counter()
     for w in distinct.values():
         seen.update(set(w))
     least = max(4, len(distinct) / 2)
-    return {w for w, k in seen.items() if k >= least and w not in FUNCTION}
+    return {w for w, k in seen.items() if k >= least and len(w) > TIE}
 
 
 _LOG_E = {k: tuple(math.log(p) for p in v) for k, v in EMISSION.items()}
@@ -221,13 +282,13 @@ def word_counts(text: str | None) -> tuple[int, int, int, int]:
     if not text or not text.strip():
         return 0, 0, 0, 0
     parts = list(units(text))
-    words = [_WORDS.findall(u.lower()) for u, _ in parts]
-    common = common_words(parts, words)
-    kinds = [kind(*p, common, w) for p, w in zip(parts, words)]
-    if SURE.issuperset(kinds):
-        return sum(map(len, words)), 0, 0, 0
+    common = common_words(parts)
+    usual = usual_signs(text)
+    kinds = [kind(*p, common, usual) for p in parts]
     total = [0, 0, 0, 0]
-    for w, s in zip(words, best_states(kinds)):
+    # The best path of nothing but kinds that are likeliest in prose, where paths like to begin and to stay, is prose.
+    states = [0] * len(kinds) if SURE.issuperset(kinds) else best_states(kinds)
+    for (_, _, w), s in zip(parts, states):
         total[s] += len(w)
     return tuple(total)
 

@@ -7,10 +7,10 @@ from lastro.llm import neighbours as N
 SCHEMA = "trecho_id bigint, embedding_gemini array<float>"
 
 
-def brute(rows):
+def brute(rows, size=N.SIZE, k=N.K):
     good = {}
     for i, v in rows:
-        if i is None or v is None or len(v) != N.SIZE or any(x is None for x in v):
+        if i is None or v is None or len(v) != size or any(x is None for x in v):
             continue
         x = np.array(v, dtype=np.float32).astype(float)
         if np.isfinite(x).all() and x.any():
@@ -20,21 +20,21 @@ def brute(rows):
     if len(ids):
         m = np.stack([good[i] for i in ids])
         s = np.rint(m @ m.T * 1e6)
-        for k, i in enumerate(ids):
-            s[k, k] = -1e9
-            out[int(i)] = [int(j) for j in ids[np.lexsort((ids, -s[k]))[: N.K]] if j != i]
+        for n, i in enumerate(ids):
+            s[n, n] = -1e9
+            out[int(i)] = [int(j) for j in ids[np.lexsort((ids, -s[n]))[:k]] if j != i]
     return out
 
 
-def rows_of(seed, n, spread=0.6, centres=12):
+def rows_of(seed, n, spread=0.6, centres=12, size=N.SIZE):
     rng = np.random.default_rng(seed)
-    c = rng.normal(size=(centres, N.SIZE))
-    return [(int(i), (c[i % centres] + spread * rng.normal(size=N.SIZE)).astype(np.float32).tolist()) for i in range(n)]
+    c = rng.normal(size=(centres, size))
+    return [(int(i), (c[i % centres] + spread * rng.normal(size=size)).astype(np.float32).tolist()) for i in range(n)]
 
 
-def got(spark, rows):
+def got(spark, rows, **kw):
     df = spark.createDataFrame(rows, SCHEMA)
-    return {r.id: [p.id for p in r.perto] for r in N.nearest(df).collect()}
+    return {r.id: [p.id for p in r.perto] for r in N.nearest(df, **kw).collect()}
 
 
 def recall(a, b):
@@ -48,6 +48,33 @@ def test_recall_on_many_lists(spark, monkeypatch):
     assert recall(got(spark, rows), brute(rows)) >= 0.95
 
 
+def test_other_lengths_and_counts(spark):
+    rows = rows_of(9, 400, size=16)
+    assert got(spark, rows, size=16, k=3) == brute(rows, 16, 3)
+    assert got(spark, rows) == {}
+
+
+def test_few_long_lists(monkeypatch):
+    """With few lists for many rows, lists are cut again where they are searched."""
+    monkeypatch.setattr(N, "LONG", 500)
+    rng = np.random.default_rng(2)
+    x = N.unit(np.repeat(rng.normal(size=(40, 16)), 150, axis=0) + 0.5 * rng.normal(size=(6000, 16))).astype(np.float32)
+    best = np.argsort(-(x @ x.T), axis=1)[:, 1:6]
+    found = [set() for _ in x]
+    bar = np.full(len(x), -3, np.float32)
+    cos = {}
+    for q, r, s in N._search_list(np.arange(len(x)), np.arange(len(x)), x, 12, bar):
+        for a, b, c in zip(q, r, s):
+            cos.setdefault(int(a), []).append((-c, int(b)))
+    assert np.mean([len({b for _, b in sorted(cos[i])[:5]} & set(best[i])) / 5 for i in range(len(x))]) >= 0.9
+
+
+def test_the_sample_of_a_huge_table_is_not_empty(spark):
+    keys = spark.createDataFrame([(k,) for k in (0, 1 << 30, 1 << 39, 1 << 61, -1)], "k1 bigint")
+    assert [r.k1 for r in N.sampled(keys, 390_000_000_000).orderBy("k1").collect()] == [0, 1 << 30, 1 << 39]
+    assert N.sampled(keys, 10).count() == 5
+
+
 def test_copies_ties_and_unusable(spark):
     base = rows_of(5, 60)
     copies = [(1000 + i, base[0][1]) for i in range(40)]  # one vector under 41 ids

@@ -13,6 +13,10 @@ SPAM = {
     "anchors": "".join(f'<a href="http://loja.example/{i}">Oferta rara {i}</a>\n' for i in range(20)),
     "labels": "\n".join(f"kit {i}CN-{i} milhas" for i in range(10, 30)),
     "places": "\n".join(f"sinal vip em Cidade{i}" for i in range(30)),
+    "two terms": "\n".join(f"{'bônus' if i % 3 else 'milhas'} em {a}{b}" for i, (a, b) in enumerate((a, b) for a in ("Pi", "Zel", "Dru", "Mi", "Quer", "Len") for b in ("lora", "bana", "dusk", "nalra", "borra", "ville"))),
+    "long links": "\n".join(f"[{'oferta rara ' * 60}](http://loja.example/{'caminho/' * 300}{i}) <a href='{'x' * 2500}'>{'capital ' * 90}</a>" for i in range(8)),
+    "keyword headings": "\n".join(f"## comprar software barato cauda {w}" for w in "hoje agora aqui perto longe cedo tarde sempre nunca quase talvez ontem".split()),
+    "codes": " / ".join(f"lote {i}CN-{i} bônus" for i in range(10, 40)),
     "spaced": "s e g u r o   b a r a t o >> SINAL VIP >> " * 12,
     "woven": " • ".join(f"{a} cauda marginal {i}" for i, a in enumerate(["hoje", "barato", "vip", "grátis"] * 6)),
 }
@@ -71,7 +75,7 @@ def model_counts(text):
     """Words by state from the units and the model alone, without any shortcut for whole pages."""
     parts = list(P.units(text))
     common, total = P.common_words(parts), [0, 0, 0, 0]
-    for (u, _), s in zip(parts, P.best_states([P.kind(*p, common) for p in parts])):
+    for (u, _, _), s in zip(parts, P.best_states([P.kind(*p, common) for p in parts])):
         total[s] += len(P._WORDS.findall(u))
     return tuple(total)
 
