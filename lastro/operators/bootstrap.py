@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import math
 import random
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -21,13 +20,36 @@ from lastro.functions.prefix import ranked
 from lastro.functions.tails import kappa_1
 
 RESAMPLES, SEED, MOST = 500, 15, 50_000
+#: Values resampled at a time.
+SLICE = 1_000_000
+
+
+class Draws:
+    """The seeded draws from range(n) that ``random.Random(seed).randrange`` gives, in slices.
+
+    The generator's 32-bit outputs are taken in bulk; those of n or more after the shift are passed over.
+    """
+
+    def __init__(self, seed: int, n: int):
+        state = random.Random(seed).getstate()[1]
+        self.source = np.random.MT19937()
+        self.source.state = {"bit_generator": "MT19937", "state": {"key": np.array(state[:-1], dtype=np.uint32), "pos": state[-1]}}
+        self.n, self.shift, self.rest = n, 32 - n.bit_length(), np.empty(0, dtype=np.int32)
+
+    def take(self, count: int) -> np.ndarray:
+        parts, have = [self.rest], len(self.rest)
+        while have < count:
+            raw = self.source.random_raw(int((count - have) * (1 << self.n.bit_length()) / self.n) + 16) >> self.shift
+            parts.append(raw[raw < self.n].astype(np.int32))
+            have += len(parts[-1])
+        out = np.concatenate(parts)
+        self.rest = out[count:]
+        return out[:count]
 
 
-@lru_cache(maxsize=256)
 def draws(seed: int, n: int, count: int) -> np.ndarray:
     """``count`` seeded draws from range(n)."""
-    r = random.Random(seed)
-    return np.fromiter((r.randrange(n) for _ in range(count)), dtype=np.int32, count=count)
+    return Draws(seed, n).take(count)
 
 
 def asymmetry_of(samples: np.ndarray) -> np.ndarray:
@@ -79,7 +101,9 @@ def bootstrap_interval(df: DataFrame, key: str, order: list[str], statistic: str
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         v = group.sort_values(order + ["x"]).x.to_numpy(float)
-        values = STATISTICS[statistic](v[draws(seed, len(v), resamples * len(v))].reshape(resamples, len(v)))
+        drawn, step = Draws(seed, len(v)), max(1, SLICE // len(v))
+        slices = [min(step, resamples - i) for i in range(0, resamples, step)]
+        values = np.concatenate([STATISTICS[statistic](v[drawn.take(m * len(v))].reshape(m, len(v))) for m in slices])
         low, high = (None, None) if np.isnan(values).any() else interval(values)
         return pd.DataFrame({key: [group[key].iloc[0]], "n": [len(v)], "baixo": [low], "alto": [high]})
 

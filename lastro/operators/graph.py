@@ -19,24 +19,52 @@ def label_counts(nodes: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [df.agg(F.count_if(F.col("status") == "aprovado").alias("n")).select(F.lit(k).alias("rotulo"), "n") for k, df in nodes.items()])
 
 
+#: Fields of an equation and of a derivation that a reader gets, null where the table has none.
+EQUATION_FIELDS = ("rotulo", "status", "latex", "srepr", "forma", "momento_fechado", "fonte")
+EDGE_FIELDS = ("mae", "passo", "alvo", "substituicao", "verificado_por")
+
+
+def _fields(df: DataFrame, names: tuple[str, ...]) -> list:
+    return [F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in names]
+
+
+def _listed(rows: DataFrame, key: list[str], fields: list, name: str) -> DataFrame:
+    """(key..., name): the different field groups of each key as JSON objects in byte order."""
+    return rows.select(*key, F.to_json(F.struct(*fields)).alias("_j")).groupBy(*key).agg(F.array_sort(F.collect_set("_j")).alias(name))
+
+
+def equation_records(equations: DataFrame, used: DataFrame, edges: DataFrame, conditions: DataFrame) -> DataFrame:
+    """Every approved equation with its variables, parents and conditions, one row each.
+
+    corpus, nome, the EQUATION_FIELDS, and the lists usa (nome, simbolo, papel), deriva_de (EDGE_FIELDS) and
+    valida_sob (condicao, nome) of JSON objects in byte order; empty lists where there are none. Only
+    approved edges between approved equations show.
+    """
+    seen = approved(equations)
+    key = ["corpus", "equacao"]
+    live = approved(edges).join(seen.select("corpus", F.col("nome").alias("mae")), ["corpus", "mae"], "left_semi").withColumnRenamed("filha", "equacao")
+    lists = [_listed(used, key, ["nome", "simbolo", "papel"], "usa"), _listed(live, key, _fields(live, EDGE_FIELDS), "deriva_de"), _listed(conditions, key, ["condicao", "nome"], "valida_sob")]
+    out = seen.select("corpus", "nome", *_fields(seen, EQUATION_FIELDS), F.col("nome").alias("equacao"))
+    for part in lists:
+        out = out.join(part, key, "left")
+    empty = F.array().cast("array<string>")
+    return out.select("corpus", "nome", *EQUATION_FIELDS, *[F.coalesce(c, empty).alias(c) for c in ("usa", "deriva_de", "valida_sob")])
+
+
 def read_equation(equations: DataFrame, name: str, used: DataFrame, edges: DataFrame, conditions: DataFrame, corpus: str) -> DataFrame:
-    """One equation by exact name, else by label, with its variables, parents and conditions.
+    """One equation by exact name, else by label, as in :func:`equation_records`, with the bare lists variaveis, maes and condicoes.
 
     Not found and not approved are the same empty answer; edges and far ends are filtered too.
     """
     seen = approved(equations, corpus)
     label = F.col("rotulo") if "rotulo" in equations.columns else F.lit(None).cast("string")
-    hit = seen.withColumn("_o", F.when(F.col("nome") == name, 0).when(label == name, 1)).filter("_o is not null").orderBy("_o", "nome").limit(1).drop("_o")
-    names = hit.select("corpus", F.col("nome").alias("equacao"))
-    v = used.join(names, ["corpus", "equacao"], "left_semi").groupBy("corpus", "equacao").agg(F.array_sort(F.collect_set("nome")).alias("variaveis_"))
-    live = approved(edges, corpus).join(names.withColumnRenamed("equacao", "filha"), ["corpus", "filha"], "left_semi").join(seen.select("corpus", F.col("nome").alias("mae")), ["corpus", "mae"], "left_semi")
-    m = live.groupBy("corpus", F.col("filha").alias("equacao")).agg(F.array_sort(F.collect_set("mae")).alias("maes"))
-    c = conditions.join(names, ["corpus", "equacao"], "left_semi").groupBy("corpus", "equacao").agg(F.array_sort(F.collect_set("condicao")).alias("condicoes"))
-    out = hit.withColumn("equacao", F.col("nome"))
-    for part in (v, m, c):
-        out = out.join(part, ["corpus", "equacao"], "left")
-    empty = F.array().cast("array<string>")
-    return out.select("corpus", "nome", "latex", "srepr", *[F.coalesce(x, empty).alias(y) for x, y in (("variaveis_", "variaveis"), ("maes", "maes"), ("condicoes", "condicoes"))])
+    hit = seen.withColumn("_o", F.when(F.col("nome") == name, 0).when(label == name, 1)).filter("_o is not null").orderBy("_o", "nome").limit(1).select("corpus", "nome")
+    own = lambda df, c: df.join(hit.select("corpus", F.col("nome").alias(c)), ["corpus", c], "left_semi")
+    # Parents must be approved themselves, so all approved equations stay in reach; only the one is shown.
+    all_ = equation_records(seen, own(used, "equacao"), own(approved(edges, corpus), "filha"), own(conditions, "equacao"))
+    out = all_.join(hit, ["corpus", "nome"], "left_semi")
+    bare = lambda c, field: F.array_sort(F.array_distinct(F.transform(c, lambda j: F.get_json_object(j, f"$.{field}"))))
+    return out.select(*all_.columns, bare("usa", "nome").alias("variaveis"), bare("deriva_de", "mae").alias("maes"), bare("valida_sob", "condicao").alias("condicoes"))
 
 
 def read_concept(concepts: DataFrame, name: str, support: DataFrame, expresses: DataFrame, corpus: str) -> DataFrame:

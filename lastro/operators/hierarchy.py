@@ -95,16 +95,16 @@ def _pointers(links: DataFrame, count: int, with_path: bool) -> DataFrame:
     cur = links.select("node", F.col("parent").alias("exit"), "hops", "low", *["frag"] * with_path)
     rounds = max(1, math.ceil(math.log2(max(count, 2))) + 1)
     for _ in range(rounds):
+        cur = cur.drop("moved")
         far = cur.select(*[F.col(c).alias(f"{c}_") for c in cur.columns])
         step = cur.join(far, cur.exit == far.node_, "left")
         moved = [
             F.col("node"), F.coalesce("exit_", "exit").alias("exit"), (F.col("hops") + F.coalesce("hops_", F.lit(0))).alias("hops"),
             F.least("low", "low_").alias("low"),
         ] + [F.when(F.col("node_").isNull(), F.col("frag")).otherwise(F.concat("frag", "frag_")).alias("frag")] * with_path
-        last = cur.join(far, cur.exit == far.node_, "left_semi").limit(1).count() == 0
-        if last:
+        cur = durable(step.select(*moved, F.col("node_").isNotNull().alias("moved")))
+        if cur.filter("moved").isEmpty():
             break
-        cur = durable(step.select(*moved))
     # Pointers that still land on a linked node have run 2^rounds >= count links: they are on a cycle,
     # and the least name of the links from there on is the cycle's.
     ring = cur.select(F.col("node").alias("node_"), F.col("low").alias("ciclo"))
@@ -182,7 +182,7 @@ def _resolve(links: DataFrame, count: int, with_path: bool, parts: int | None) -
         F.concat(tag, F.col("filha")).alias("low"), *[F.array(F.concat(tag, F.col("filha"))).alias("frag")] * with_path,
     )
     # Chains mostly stay within a document, so a document's neighbouring numbers share a partition.
-    number = F.coalesce(F.regexp_extract("node", r"#(\d{1,9})$", 1).try_cast("bigint"), F.lit(0))
+    number = F.coalesce(F.regexp_extract("node", r"#\d*?(\d{1,9})$", 1).try_cast("bigint"), F.lit(0))
     place = [F.regexp_replace("node", r"#\d+$", ""), F.floor(number / 512)]
     out = _solve(links, parts or shuffle_partitions(links.sparkSession, count), count, with_path, place)
 

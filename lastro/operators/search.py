@@ -5,16 +5,21 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from lastro.session import durable
+
 K1, B = 1.2, 0.75
-TOPICS, DEFAULT_K, MOST_K, FUSION = 20, 5, 20, 60
+TOPICS, OVER, DEFAULT_K, MOST_K, FUSION = 20, 5, 5, 20, 60
 #: Query vectors that every task holds at once; more queries are searched block by block.
 QUERY_BLOCK = 20_000
+#: Scores that a task holds at once: rows are taken in slices of so many over the number of queries.
+PRODUCT = 4_000_000
 
 
 def clamp_k(k) -> tuple[int, str | None]:
@@ -33,7 +38,8 @@ def bm25(documents: DataFrame, key: str, query: str, text: str = "text", k1: flo
     """(key, score) of the documents with any query word: BM25 with ln(1 + (N - df + 0.5) / (df + 0.5)).
 
     One pass counts documents, lengths and document frequencies (one column per query word) into a
-    single row; the scores are then plain column arithmetic, so no word table is shuffled. Null texts are empty.
+    single row and writes the counts of the documents with any word; the scores are then plain column
+    arithmetic, so no word table is shuffled. Null texts are empty.
     """
     terms = sorted(set(_query_words(query)))
     if not terms:
@@ -42,17 +48,17 @@ def bm25(documents: DataFrame, key: str, query: str, text: str = "text", k1: flo
     # array_remove compares in generated code; a lambda per word would not.
     tf = [(F.size("_w") - F.size(F.array_remove("_w", t))).alias(f"f{i}") for i, t in enumerate(terms)]
     counted = tokens.select(key, "_t", F.size("_w").alias("dl"), *tf)
-    stats = counted.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"f{i}") > 0).alias(f"d{i}") for i in range(len(terms))])
-    total = stats.first()  # one row of counts
-    # The filter tests the text itself: a condition on the counts would be pushed below them and
-    # repeat the tokenisation for every term.
-    any_ = "|".join(rf"\Q{t}\E" for t in terms)
-    j = counted.filter(F.lower("_t").rlike(rf"(?<![\p{{L}}\p{{N}}])(?:{any_})(?![\p{{L}}\p{{N}}])"))
-    score = F.lit(0.0)
+    # The counts of all documents are observed while the rows of those with any word are written: one tokenisation.
+    seen = Observation()
+    watched = counted.observe(seen, F.count("*").alias("n_docs"), F.sum("dl").alias("dls"), *[F.count_if(F.col(f"f{i}") > 0).alias(f"d{i}") for i in range(len(terms))])
+    any_ = reduce(lambda a, b: a | b, [F.col(f"f{i}") > 0 for i in range(len(terms))])
+    j = durable(watched.filter(any_).drop("_t"))
+    total = seen.get  # one row of counts
+    score, mean = F.lit(0.0), total["dls"] / total["n_docs"] if total["dls"] else 1.0
     for i in range(len(terms)):
         f, d = F.col(f"f{i}"), total[f"d{i}"]
-        idf = math.log(1 + (total.n_docs - d + 0.5) / (d + 0.5))
-        score = score + idf * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("dl") / total.avgdl))
+        idf = math.log(1 + (total["n_docs"] - d + 0.5) / (d + 0.5))
+        score = score + idf * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("dl") / mean))
     return j.select(key, score.alias("score"))
 
 
@@ -89,9 +95,8 @@ def cosine_topk(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: i
                 ids = np.array(ids)
                 q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
                 best: tuple[np.ndarray, np.ndarray] | None = None
-                for b in batches:
-                    if not b.num_rows:
-                        continue
+                step = max(1, PRODUCT // max(1, len(ids)))
+                for b in (whole.slice(i, step) for whole in batches for i in range(0, whole.num_rows, step)):
                     x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
                     n = np.linalg.norm(x, axis=1)
                     good = np.isfinite(n) & (n > 0)
@@ -125,14 +130,26 @@ def fuse(routes: list[DataFrame], key: list[str], k: int, k0: int = FUSION) -> D
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "o"))).drop("o")
 
 
-def hybrid(vector_route: Callable[[], DataFrame], lexical_route: Callable[[], DataFrame], key: list[str], k: int) -> tuple[DataFrame, str, list[str]]:
-    """(results without text or score, mode, warnings): one failing route degrades, two are an error."""
+def topics_of(hits: DataFrame, key: list[str], most: int = TOPICS) -> DataFrame:
+    """(key..., rank): the first ``most`` different topics of ranked chunks; rows without a key are left out."""
+    known = hits.filter(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in key]))
+    best = known.groupBy(*key).agg(F.min("rank").alias("_r")).orderBy("_r", *key).limit(most)
+    return best.withColumn("rank", F.row_number().over(Window.orderBy("_r", *key))).drop("_r")
+
+
+def hybrid(vector_route: Callable[[], DataFrame], lexical_route: Callable[[], DataFrame], key: list[str], k: int, over: int = TOPICS * OVER) -> tuple[DataFrame, str, list[str]]:
+    """(results without text or score, mode, warnings): one failing route degrades, two are an error.
+
+    Routes give ranked chunks; the first ``over`` of each are fetched at once, so that a route that fails
+    while it runs degrades as well, and stand for their first TOPICS topics.
+    """
     lists, warnings, mode = [], [], []
     for name, route in (("vetorial", vector_route), ("lexical", lexical_route)):
         try:
             df = route()
-            df.schema
-            lists.append(df)
+            few = df.filter(F.col("rank") <= over).select(*key, "rank")
+            rows = few.collect()  # at most ``over`` rows
+            lists.append(topics_of(df.sparkSession.createDataFrame(rows, few.schema), key))
             mode.append(name)
         except Exception as e:  # the route is external: any failure degrades
             warnings.append(f"rota {name} falhou: {e}")

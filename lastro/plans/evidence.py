@@ -64,16 +64,33 @@ def cost_partial(spark, d):
     return Q.cost_total(rows, "custo_usd", ["l_orderkey"]).select("l_orderkey", F.round("custo", 2).alias("custo"), "parcial")
 
 
+def _wave(spark, d):
+    """Conversion reports: an order is a document, its lines are the items; each way to be refused occurs."""
+    k = F.col("o_orderkey")
+    item = F.struct(F.concat(F.lit("i"), F.col("l_linenumber").cast("string")).alias("item_id"), (F.col("l_linestatus") == "F").alias("approved"), (F.col("l_returnflag") == "N").alias("fallback"))
+    items = _lineitem(spark, d).groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    rows = _orders(spark, d).join(items, "o_orderkey", "left").withColumn("items", F.coalesce("items", F.expr("cast(array() as array<struct<item_id:string,approved:boolean,fallback:boolean>>)")))
+    marks = F.array_join(F.transform("items", lambda i: F.when(i["fallback"], i["item_id"]).otherwise("")), " ")
+    text = F.concat(F.lit("# "), F.col("o_orderpriority"), F.lit(" "), F.when(k % 11 > 0, marks).otherwise(""), F.when(k % 29 == 0, F.lit(Q.NOTE)).otherwise(""))
+    equations = F.struct((k % 3).alias("equacoes_detectadas"), F.when(k % 5 > 0, "katex").alias("validador"), F.when(k % 31 == 0, 1).otherwise(0).alias("latex_invalido_final"))
+    parse = F.struct(F.when(k % 23 == 0, 2).otherwise(0).alias("paginas_falhas"), F.when(k % 37 == 0, 1).otherwise(0).alias("paginas_sem_texto"))
+    report = F.struct("items", F.struct(F.when(k % 41 == 0, 0).otherwise(F.size("items")).alias("itens"), equations.alias("equacoes"), parse.alias("parse")).alias("summary"))
+    return rows.select(k.alias("stem"), F.when(k % 13 > 0, text).alias("md"), F.when(k % 17 > 0, "{}").alias("relatorio"), F.when((k % 17 > 0) & (k % 19 > 0), report).alias("r"))
+
+
+def document_gate(spark, d):
+    return Q.document_verdicts(_wave(spark, d)).select("stem", _joined("motivos").alias("motivos"), "apto")
+
+
 def silent_loss_flags(spark, d):
-    lost = ~F.col("approved") & ~F.col("fallback")
-    return _items(spark, d).groupBy("l_orderkey").agg(F.count("*").alias("itens"), F.count_if(lost).alias("perdas")).withColumn("apto", F.col("perdas") == 0)
+    v = Q.document_verdicts(_wave(spark, d))
+    return v.select("stem", F.array_contains("motivos", "perda silenciosa").alias("perda"))
 
 
 def full_outer_pair_check(spark, d):
-    a = _orders(spark, d).filter("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("stem"), F.lit(True).alias("md"))
-    b = _lineitem(spark, d).filter("l_quantity > 10").select(F.col("l_orderkey").alias("stem")).distinct().withColumn("relatorio", F.lit(True))
-    why = F.when(F.col("md").isNull(), "sem md").when(F.col("relatorio").isNull(), "sem relatório")
-    return a.join(b, "stem", "full_outer").select("stem", why.alias("motivo")).groupBy("motivo").agg(F.count("*").alias("n"), F.min("stem").alias("primeiro"))
+    """Documents without one half of their pair, counted."""
+    why = F.when(F.array_contains("motivos", "sem md"), "sem md").when(F.array_contains("motivos", "sem relatório"), "sem relatório")
+    return Q.document_verdicts(_wave(spark, d)).select("stem", why.alias("motivo")).groupBy("motivo").agg(F.count("*").alias("n"), F.min("stem").alias("primeiro"))
 
 
 def latest_by_key(spark, d):
@@ -163,7 +180,10 @@ def equation_forms(spark, d):
 
 
 def simulate_functions(spark, d):
-    return E.simulate(E.display_equations(_documents(spark, d), "doc_id"), ["doc_id", "ordem"], ["f", "g"])
+    """Formulas with a declared function, an undeclared one or none before them."""
+    head = F.element_at(F.array(F.lit("f(x) + "), F.lit("h(x) + "), F.lit("")), (F.pmod("candidate_id", F.lit(3)) + 1).cast("int"))
+    eq = _candidate(spark, d).select("candidate_id", F.concat(head, "latex").alias("latex")).distinct()
+    return E.simulate(eq, ["candidate_id"], ["f", "g"])
 
 
 # Proofs.
@@ -206,10 +226,11 @@ def proof_p4(spark, d):
 
 
 def two_routes(spark, d):
-    """Plain form of the two-route join: each declared pair with its own and its recorded verdicts."""
-    p2 = _proof(spark, d).filter("prova = 'P2'").dropDuplicates(["registro_id"]).select("registro_id", "corpus", "mae", "filha", "veredito")
-    r = P.recorded_proofs(_recorded(spark, d)).filter("prova = 'P2'").groupBy("corpus", "mae", "filha").agg(F.count("*").alias("provas"), F.min("veredito").alias("via"))
-    return p2.join(r, ["corpus", "mae", "filha"], "left").select("registro_id", F.coalesce("provas", F.lit(0)).alias("provas"), F.when(F.col("via").isNull(), "sem prova").when(F.col("via") == F.col("veredito"), "concordam").otherwise("divergem").alias("estado"))
+    """P4 of each derivation from its own verdicts and the recorded ones, judged by their form alone."""
+    p2 = _proof(spark, d).filter("prova = 'P2'").dropDuplicates(["registro_id"])
+    state = F.when(F.size("falhas") > 0, "invalida").when(F.col("repetida"), "repetida").otherwise("valida")
+    states = P.recorded_proofs(_recorded(spark, d)).withColumn("estado", state)
+    return P.p4_pairs(p2, states).select("corpus", "mae", "filha", "veredito", "detalhe")
 
 
 def ambiguous_pairs(spark, d):
@@ -279,9 +300,10 @@ def stale_nodes(spark, d):
 
 
 def wave_collisions(spark, d):
-    base = table(spark, d, "equacao_base").select("corpus", "nome", F.lit("base").alias("onda"))
-    c = _candidate(spark, d).select("corpus", "nome", "onda").distinct()
-    return G.collisions(base.unionByName(c).distinct(), c, ["corpus", "nome"], "onda").select("corpus", "nome", "onda", "dono").distinct()
+    """Names that the graph has under another corpus."""
+    c = _candidate(spark, d).filter("nome is not null").select("nome", "corpus").distinct()
+    base = table(spark, d, "equacao_base").select("nome", "corpus")
+    return G.collisions(base.unionByName(c.filter("corpus < 'm'")).distinct(), c, ["nome"], "corpus").select("nome", "corpus", "dono").distinct()
 
 
 def upsert_merge(spark, d):
@@ -304,6 +326,17 @@ def approved_parents(spark, d):
     return GR.parents_of(_current(spark, d), _edges(spark, d))
 
 
+def equation_records(spark, d):
+    """Approved equations with their variables, parents and conditions."""
+    c = _current(spark, d)
+    used = G.uses(c)
+    why = P.distinct_derivations(_derivation(spark, d)).groupBy("corpus", "mae", "filha").agg(F.min("passo").alias("passo"))
+    rows = GR.equation_records(c, used, _edges(spark, d).join(why, ["corpus", "mae", "filha"], "left"), G.valid_under(_validity(spark, d), used))
+    field = lambda j, name: F.coalesce(F.get_json_object(j, f"$.{name}"), F.lit(""))
+    text = lambda c, *names: F.array_join(F.array_sort(F.transform(c, lambda j: F.concat_ws(":", *[field(j, n) for n in names]))), ";")
+    return rows.select("corpus", "nome", "forma", "fonte.documento", text("usa", "nome", "simbolo", "papel").alias("usa"), text("deriva_de", "mae", "passo").alias("deriva_de"), text("valida_sob", "condicao", "nome").alias("valida_sob"))
+
+
 def topic_equations(spark, d):
     return GR.topic_equations(_trecho(spark, d).filter("documento is not null and topico is not null"), _current(spark, d))
 
@@ -341,14 +374,33 @@ def rrf_fusion(spark, d):
     return R.fuse([other, lexical], ["id"], 20).select("id", F.round("score", 9).alias("score"), "rank")
 
 
+def _chunk_routes(spark, d):
+    """The chunks (a delivery once) ranked by a query vector and by query words, the best 100 of each."""
+    t = _trecho(spark, d).dropDuplicates(["trecho_id"])
+    size = 64
+    asked = spark.createDataFrame([(-1, [float((i * 37) % 11 - 5) for i in range(size)])], "trecho_id bigint, embedding_gemini array<double>")
+    chunks = t.select("trecho_id", "documento", "topico")
+    near = R.cosine_topk(t.select("trecho_id", "embedding_gemini"), asked, "trecho_id", "embedding_gemini", R.TOPICS * R.OVER)
+    said = R.top(R.bm25(t, "trecho_id", QUERY, "texto").withColumn("score", F.round("score", 9)), "trecho_id", R.TOPICS * R.OVER)
+    return (lambda: chunks.join(near.select("trecho_id", "rank"), "trecho_id")), (lambda: chunks.join(said.select("trecho_id", "rank"), "trecho_id"))
+
+
+def hybrid_search(spark, d):
+    """Vector and word route together: the best topics with their approved equations."""
+    found, mode, _ = R.hybrid(*_chunk_routes(spark, d), ["documento", "topico"], R.TOPICS)
+    e = GR.approved(_current(spark, d)).select(F.col("fonte.documento").alias("documento"), F.col("fonte.topico").alias("topico"), F.col("nome").alias("equacao")).distinct()
+    named = found.join(e, ["documento", "topico"], "left").groupBy("documento", "topico", "rank").agg(F.array_join(F.array_sort(F.collect_set("equacao")), ",").alias("equacoes"))
+    return named.withColumn("modo", F.lit(mode))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        route_rollup, wave_totals, route_cube, token_map_sum, distinct_models, cost_partial, silent_loss_flags, full_outer_pair_check, latest_by_key, prev_hash_chain,
+        route_rollup, wave_totals, route_cube, token_map_sum, distinct_models, cost_partial, document_gate, silent_loss_flags, full_outer_pair_check, latest_by_key, prev_hash_chain,
         title_disambiguation, segment_markdown, segmentation_summary, length_alerts, chunk_violations, embedded_lengths, display_equations, equation_candidates, preparse_loss, parse_refusals, parse_equations, parse_candidates,
         equation_forms, simulate_functions, proof_p1, proof_p2, proof_p3, recorded_faults, proof_states, verdict_rule, proof_p4, two_routes, ambiguous_pairs, orphan_proofs, verdict_histogram,
         proof_identity, canonical_fonte, fingerprint_sha256, gate_equations, gate_edges, variable_status, variable_uses, valid_under, plan_counts, stale_nodes, wave_collisions, upsert_merge,
-        orphan_vars, approved_parents, topic_equations, node_label_counts, layer_status, rename_plan, bm25_topk, cosine_topk, rrf_fusion,
+        orphan_vars, approved_parents, equation_records, topic_equations, node_label_counts, layer_status, rename_plan, bm25_topk, cosine_topk, rrf_fusion, hybrid_search,
     )
 }
 
@@ -385,6 +437,20 @@ _BM = lambda q, alias: f"""{alias}_t as (select doc_id, regexp_extract_all(lower
 {alias}_d as (select q, count(*) filter (where f > 0) as d from {alias}_f group by 1),
 {alias}_r as (select doc_id, round(sum(ln(1 + (n - d + 0.5) / (d + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / a))), 9) as score from {alias}_f join {alias}_d using (q), {alias}_s where f > 0 group by 1)"""
 
+_FAULTS = f"""with u as (select distinct on (registro_id) * from recorded), k as (select *, count(*) over (partition by corpus, prova, mae, filha, equacao) as n from u)
+select registro_id, {_JOIN(["case when prova = 'P2' and coalesce(trim(mae), '') = '' then 'mae vazio' end", "case when prova = 'P2' and coalesce(trim(filha), '') = '' then 'filha vazio' end",
+    "case when prova in ('momento', 'equacao') and coalesce(trim(equacao), '') = '' then 'equacao vazio' end", "case when coalesce(prova not in ('P2', 'momento', 'equacao'), true) then 'prova desconhecida' end", "case when coalesce(via <> 'wolfram', true) then 'via desconhecida' end",
+    "case when coalesce(veredito not in ('verde', 'vermelho', 'indeterminado'), true) then 'veredito desconhecido' end", "case when coalesce(trim(codigo), '') = '' then 'codigo vazio' end", "case when coalesce(trim(saida), '') = '' then 'saida vazio' end",
+    "case when not coalesce(regexp_full_match(impressao, '[0-9a-f]{64}'), false) then 'impressao inválida' end"])} as falhas, n > 1 as repetida from k"""
+_WAVE = f"""it as (select l_orderkey as k, list(struct_pack(item_id := 'i' || l_linenumber, approved := l_linestatus = 'F', fallback := l_returnflag = 'N')) as items from lineitem group by 1),
+dw as (select o_orderkey as k, coalesce(items, []) as items, o_orderkey % 13 > 0 as md, o_orderkey % 17 > 0 as rel, o_orderkey % 17 > 0 and o_orderkey % 19 > 0 as r from orders left join it on it.k = o_orderkey),
+dg as (select k as stem, {_JOIN(["case when not md then 'sem md' end", "case when not rel then 'sem relatório' end", "case when rel and not r then 'relatório ilegível' end",
+    "case when r and k % 3 > 0 and k % 5 = 0 then 'validador não é katex' end", "case when r and k % 31 = 0 then 'latex inválido' end",
+    "case when r and len(list_filter(items, lambda i: not i.approved and not i.fallback)) > 0 then 'perda silenciosa' end", "case when r and k % 37 = 0 then 'página sem texto' end",
+    "case when r and (k % 11 = 0 or not md) and len(list_filter(items, lambda i: i.fallback)) > 0 then 'fallback sem marca' end",
+    "case when r and k % 23 = 0 and (k % 29 > 0 or not md) then 'página falha sem nota' end", "case when r and k % 41 = 0 and len(items) > 0 then 'contagem de itens' end"])} as motivos from dw)"""
+
+
 def _word(names: str) -> str:
     return f"\\\\({names})([^A-Za-z]|$)"
 
@@ -417,9 +483,9 @@ ORACLE = {
     "token_map_sum": "select sum(l_suppkey)::bigint as output, sum(l_partkey)::bigint as prompt, sum(l_partkey + l_suppkey)::bigint as total from lineitem",
     "distinct_models": "select distinct unnest(simbolos) as valor from candidate",
     "cost_partial": "select l_orderkey, round(sum(case when l_returnflag <> 'N' then l_extendedprice end), 2) as custo, bool_or(l_returnflag = 'N') and bool_or(l_returnflag <> 'N') as parcial from lineitem group by 1",
-    "silent_loss_flags": "select l_orderkey, count(*) as itens, count(*) filter (where l_linestatus <> 'F' and l_returnflag <> 'N') as perdas, count(*) filter (where l_linestatus <> 'F' and l_returnflag <> 'N') = 0 as apto from lineitem group by 1",
-    "full_outer_pair_check": """select case when a.k is null then 'sem md' when b.k is null then 'sem relatório' end as motivo, count(*) as n, min(coalesce(a.k, b.k)) as primeiro
-from (select o_orderkey as k from orders where o_orderstatus <> 'P') a full join (select distinct l_orderkey as k from lineitem where l_quantity > 10) b on a.k = b.k group by 1""",
+    "document_gate": f"with {_WAVE} select stem, motivos, motivos = '' as apto from dg",
+    "silent_loss_flags": f"with {_WAVE} select stem, contains(motivos, 'perda silenciosa') as perda from dg",
+    "full_outer_pair_check": f"with {_WAVE} select case when contains(motivos, 'sem md') then 'sem md' when contains(motivos, 'sem relatório') then 'sem relatório' end as motivo, count(*) as n, min(stem) as primeiro from dg group by 1",
     "latest_by_key": "select user_id, event_type, arg_max(value, event_id) as value from events group by 1, 2",
     "prev_hash_chain": """select user_id, event_id, anterior from (select user_id, event_id, sha256(event_type) as h, lag(sha256(event_type)) over (partition by user_id order by ts, event_id) as anterior from events) where anterior <> h""",
     "title_disambiguation": """with a as (select *, count(*) over (partition by documento, source) as n from documents where source is not null and documento is not null),
@@ -440,14 +506,15 @@ select candidate_id, motivo is null as lida, motivo from r""",
     "equation_forms": """select distinct candidate_id, case when srepr is null or trim(srepr) = '' then 'perda' when starts_with(srepr, 'Equality(') then 'algebrica' else 'funcional' end as forma,
 array_to_string(list_sort(list_distinct(regexp_extract_all(srepr, 'Symbol\\(''([^'']*)''\\)', 1))), ',') as simbolos, nullif(regexp_extract(srepr, '^Equality\\(Symbol\\(''([^'']*)''\\),', 1), '') as isolado from candidate""",
     "proof_p1": f"with {_CUR} select corpus, nome as equacao, case when coalesce(trim(srepr) <> '', false) then 'verde' else 'vermelho' end as veredito, case when coalesce(trim(srepr) <> '', false) then 'srepr presente' else concat_ws(': ', 'perda', coalesce(motivo, 'sem motivo'), latex) end as detalhe from cur",
-    "two_routes": """with r as (select corpus, mae, filha, count(*) as provas, min(veredito) as via from (select distinct on (registro_id) * from recorded) where prova = 'P2' group by 1, 2, 3)
-select registro_id, coalesce(provas, 0) as provas, case when via is null then 'sem prova' when via = veredito then 'concordam' else 'divergem' end as estado
-from (select distinct on (registro_id) * from proof where prova = 'P2') left join r using (corpus, mae, filha)""",
-    "recorded_faults": f"""with u as (select distinct on (registro_id) * from recorded), k as (select *, count(*) over (partition by corpus, prova, mae, filha, equacao) as n from u)
-select registro_id, {_JOIN(["case when prova = 'P2' and coalesce(trim(mae), '') = '' then 'mae vazio' end", "case when prova = 'P2' and coalesce(trim(filha), '') = '' then 'filha vazio' end",
-    "case when prova in ('momento', 'equacao') and coalesce(trim(equacao), '') = '' then 'equacao vazio' end", "case when coalesce(prova not in ('P2', 'momento', 'equacao'), true) then 'prova desconhecida' end", "case when coalesce(via <> 'wolfram', true) then 'via desconhecida' end",
-    "case when coalesce(veredito not in ('verde', 'vermelho', 'indeterminado'), true) then 'veredito desconhecido' end", "case when coalesce(trim(codigo), '') = '' then 'codigo vazio' end", "case when coalesce(trim(saida), '') = '' then 'saida vazio' end",
-    "case when not coalesce(regexp_full_match(impressao, '[0-9a-f]{64}'), false) then 'impressao inválida' end"])} as falhas, n > 1 as repetida from k""",
+    "two_routes": f"""with rf as ({_FAULTS}), st as (select r.corpus, r.mae, r.filha, r.veredito, case when falhas <> '' then 'invalida' when repetida then 'repetida' else 'valida' end as estado
+  from (select distinct on (registro_id) * from recorded where prova = 'P2') r join rf using (registro_id)),
+w as (select corpus, mae, filha, max(estado) as estado, max(case when estado = 'valida' then veredito end) as via from st group by 1, 2, 3),
+p as (select *, count(*) over (partition by corpus, mae, filha) as vezes from (select distinct on (registro_id) * from proof where prova = 'P2') where corpus is not null and mae is not null and filha is not null),
+j as (select p.corpus, p.mae, p.filha, p.veredito as v, case when vezes > 1 then 'derivação ambígua' when estado is null then 'sem prova registrada' when via is null then 'prova ' || estado when via <> p.veredito then 'vias divergem' else 'vias concordam' end as detalhe
+  from p left join w using (corpus, mae, filha))
+select corpus, mae, filha, case when detalhe = 'vias concordam' then v else 'vermelho' end as veredito, detalhe from j""",
+    "simulate_functions": "select distinct candidate_id, false as antes, true as depois from candidate where candidate_id % 3 = 0",
+    "recorded_faults": _FAULTS,
     "ambiguous_pairs": "select corpus, mae, filha, count(*) as vezes from (select distinct on (registro_id) * from derivation) group by 1, 2, 3 having count(*) > 1",
     "orphan_proofs": f"""with {_CUR} select distinct r.registro_id from recorded r where (prova = 'P2' and not exists (select 1 from derivation d where d.corpus = r.corpus and d.mae = r.mae and d.filha = r.filha))
 or (prova <> 'P2' and not exists (select 1 from cur where cur.corpus = r.corpus and cur.nome = r.equacao))""",
@@ -469,8 +536,8 @@ select 'equacao' as tipo, count(*) filter (where status2 = 'aprovado') as aprova
 union all select 'deriva_de', count(*) filter (where pendencias = ''), count(*) filter (where pendencias <> '') from ed
 union all select 'variavel', count(*) filter (where ok), count(*) filter (where not ok) from vs""",
     "stale_nodes": f"with {_CUR} select distinct c.corpus, c.nome from candidate c where c.nome is not null and onda >= '2026' and not exists (select 1 from cur where cur.corpus = c.corpus and cur.nome = c.nome)",
-    "wave_collisions": """with g as (select corpus, nome, 'base' as onda from equacao_base union select corpus, nome, onda from candidate)
-select distinct c.corpus, c.nome, c.onda, g.onda as dono from candidate c join g on c.corpus = g.corpus and c.nome = g.nome where c.onda is distinct from g.onda""",
+    "wave_collisions": """with c as (select distinct nome, corpus from candidate where nome is not null), g as (select nome, corpus from equacao_base union select nome, corpus from c where corpus < 'm')
+select distinct c.nome, c.corpus, g.corpus as dono from c join g on c.nome = g.nome where c.corpus is distinct from g.corpus""",
     "upsert_merge": f"""with {_CUR} select coalesce(b.corpus, cur.corpus) as corpus, coalesce(b.nome, cur.nome) as nome, coalesce(cur.latex, b.latex) as latex, coalesce(cur.srepr, b.srepr) as srepr, coalesce(b.forma, cur.forma) as forma
 from equacao_base b full join cur on b.corpus = cur.corpus and b.nome = cur.nome""",
     "orphan_vars": f"""with {_CUR}, al as (select * from (select *, row_number() over (partition by corpus, nome order by registrado_em desc, candidate_id desc) as _r from candidate where nome is not null) where _r = 1),
@@ -478,6 +545,16 @@ n as (select distinct corpus, v.nome as nome from (select corpus, unnest(variave
 select * from n where not exists (select 1 from u where u.corpus = n.corpus and u.nome = n.nome)""",
     "approved_parents": f"""with {_CUR}, ok as (select corpus, nome, latex from cur where status = 'aprovado'), e as (select corpus, mae, filha from proof where prova = 'P2' group by 1, 2, 3 having bool_and(veredito = 'verde'))
 select e.corpus, e.filha, e.mae, m.latex from e join ok f on f.corpus = e.corpus and f.nome = e.filha join ok m on m.corpus = e.corpus and m.nome = e.mae""",
+    "equation_records": f"""with {_CUR}, {_USES}, tk as (select distinct corpus, equacao, condicao, unnest(list_distinct(regexp_extract_all(condicao, '([A-Za-z_][A-Za-z0-9_]*)', 1))) as simbolo from validity where equacao is not null and condicao is not null),
+vu as (select distinct corpus, equacao, condicao, us.nome from tk join us using (corpus, equacao, simbolo)), ok as (select corpus, nome from cur where status = 'aprovado'),
+ps as (select corpus, mae, filha, min(passo) as passo from derivation group by 1, 2, 3),
+ed as (select e.corpus, e.mae, e.filha, coalesce(passo, '') as passo from (select corpus, mae, filha from proof where prova = 'P2' group by 1, 2, 3 having bool_and(veredito = 'verde')) e
+  join ok on ok.corpus = e.corpus and ok.nome = e.mae left join ps on ps.corpus = e.corpus and ps.mae = e.mae and ps.filha = e.filha)
+select c.corpus, c.nome, forma, fonte.documento as documento,
+ coalesce((select string_agg(t, ';' order by t) from (select us.nome || ':' || simbolo || ':' || papel as t from us where us.corpus = c.corpus and us.equacao = c.nome)), '') as usa,
+ coalesce((select string_agg(t, ';' order by t) from (select mae || ':' || passo as t from ed where ed.corpus = c.corpus and ed.filha = c.nome)), '') as deriva_de,
+ coalesce((select string_agg(t, ';' order by t) from (select condicao || ':' || vu.nome as t from vu where vu.corpus = c.corpus and vu.equacao = c.nome)), '') as valida_sob
+from cur c where status = 'aprovado'""",
     "topic_equations": f"""with {_CUR}, e as (select distinct corpus, fonte.documento as documento, fonte.topico as topico, nome as equacao from cur where status = 'aprovado')
 select t.corpus, t.documento, t.topico, equacao from (select distinct corpus, documento, topico from trecho where documento is not null and topico is not null) t left join e using (corpus, documento, topico)""",
     "node_label_counts": f"""with {_CUR} select 'equacao' as rotulo, count(*) filter (where status = 'aprovado') as n from cur
@@ -495,4 +572,15 @@ select consulta, vec_id, r as rank from (select *, row_number() over (partition
 l as (select doc_id as id, 0 as i, row_number() over (order by score desc, doc_id) as r from a_r union all select doc_id, 1, row_number() over (order by score desc, doc_id) from b_r),
 s as (select id, round(sum(1.0::double / (60 + r)), 12) as score, min((i, r)) as o from l where r <= 100 group by 1)
 select id, round(score, 9) as score, row_number() over (order by score desc, o) as rank from s order by score desc, o limit 20""",
+    "hybrid_search": f"""with {_CUR}, u as (select * from trecho qualify row_number() over (partition by trecho_id) = 1),
+v as (select trecho_id, embedding_gemini::double[64] as e from u where len(embedding_gemini) = 64 and len(list_filter(embedding_gemini, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding_gemini, lambda x: x <> 0)) > 0),
+va as (select trecho_id, row_number() over (order by round(array_cosine_similarity(e, {[float((i * 37) % 11 - 5) for i in range(64)]}::double[64]), 6) desc, trecho_id) as rank from v),
+{_BM(QUERY, 'a').replace('doc_id', 'trecho_id').replace("coalesce(text, '')", "coalesce(texto, '')").replace('from documents', 'from u')},
+vb as (select trecho_id, row_number() over (order by score desc, trecho_id) as rank from a_r),
+tp as (select rota, documento, topico, row_number() over (partition by rota order by min(rank), documento, topico) as r from (select 0 as rota, * from va union all select 1, * from vb) join u using (trecho_id)
+  where rank <= 100 and documento is not null and topico is not null group by 1, 2, 3),
+sc as (select documento, topico, round(sum(1.0::double / (60 + r)), 12) as score, min((rota, r)) as o from tp where r <= 20 group by 1, 2),
+best as (select documento, topico, row_number() over (order by score desc, o) as rank from sc order by rank limit 20),
+eq as (select distinct fonte.documento as documento, fonte.topico as topico, nome from cur where status = 'aprovado')
+select b.documento, b.topico, b.rank, coalesce(string_agg(nome, ',' order by nome), '') as equacoes, 'hibrido' as modo from best b left join eq using (documento, topico) group by 1, 2, 3""",
 }

@@ -15,6 +15,7 @@ from lastro.operators import bootstrap as B
 from lastro.operators import report as R
 from lastro.session import reused, table
 from lastro.sources import quotes as Q
+from lastro.sources import rates as RT
 
 KEY, ORDER = "user_id", ["ts", "event_id"]
 
@@ -112,18 +113,23 @@ def tail_summary(spark, d):
     return R.summary(rows, KEY, hot=hot).select(KEY, "n", "k", *[_r(F.col(c)).alias(c) for c in cols])
 
 
-def _point(spark, d):
-    s = R.summary(reused(returns(spark, d)), KEY).select(KEY, "kappa_1", "alfa", "h")
-    k, h = F.round("kappa_1", 9), F.round("h", 9)
-    return s.select(KEY, F.round("alfa", 9).alias("alfa"), k.alias("kappa_baixo"), k.alias("kappa_alto"), h.alias("h_baixo"), h.alias("h_alto"))
+def _intervals(spark, d):
+    """Measures with intervals of some width round them, and a safe share for each series."""
+    rows, hot = _both(spark, d)
+    s = R.summary(rows, KEY, hot=hot).select(KEY, *[F.round(c, 9).alias(c) for c in ("kappa_1", "alfa", "h")])
+    low, high = (lambda c, w: F.col(c) - w), (lambda c, w: F.col(c) + w)
+    return s.select(
+        KEY, "alfa", low("kappa_1", 0.05).alias("kappa_baixo"), high("kappa_1", 0.05).alias("kappa_alto"), low("h", 0.02).alias("h_baixo"), high("h", 0.02).alias("h_alto"),
+        (F.pmod(KEY, F.lit(20)) / 20).alias("fracao_segura"),
+    )
 
 
 def tail_verdict(spark, d):
-    return R.verdict(_point(spark, d)).select(KEY, "dominio", "classe")
+    return R.verdict(_intervals(spark, d)).select(KEY, "dominio", "classe")
 
 
 def heuristics_fired(spark, d):
-    return R.fired(_point(spark, d), KEY)
+    return R.fired(_intervals(spark, d), KEY)
 
 
 def rate_series_dedup(spark, d):
@@ -132,8 +138,8 @@ def rate_series_dedup(spark, d):
 
 
 def mean_rate(spark, d):
-    o = table(spark, d, "orders").select((F.col("o_totalprice") / 1e5).alias("x"), "o_orderpriority")
-    return o.groupBy("o_orderpriority").agg(F.count("*").alias("n"), _r(F.avg("x") / 100, 9).alias("taxa"))
+    o = table(spark, d, "orders").select((F.col("o_totalprice") / 1e5).alias("value"), "o_orderpriority")
+    return RT.mean_daily(o, ["o_orderpriority"]).withColumn("taxa", _r(F.col("taxa"), 9))
 
 
 def ten_year_windows(spark, d):
@@ -221,7 +227,7 @@ _H = "(quantile_cont(x, 0.9772498680518208) + quantile_cont(x, 0.022750131948179
 _SUM = f"""
 sm as (select user_id, count(*) as n, max(x * x) / sum(x * x) as r2, max(power(x, 4)) / sum(power(x, 4)) as r4, {_H} as h, avg(x) as temporal, avg(exp(x) - 1) as conjunto from r60 group by 1),
 hi as ({_hill('r60', '-')}), ka as ({_kappa('r60')}), su as (select sm.*, hi.k, hi.alfa, ka.kappa_1 from sm join hi using (user_id) join ka using (user_id))"""
-_DOMAIN = "case when alfa < 2 or kappa_1 > 0.15 then 'Extremistão' when kappa_1 <= 0.15 then 'Mediocristão' else 'fronteira' end"
+_INTERVALS = """iv as (select user_id, round(alfa, 9) as alfa, round(kappa_1, 9) - 0.05 as kappa_baixo, round(kappa_1, 9) + 0.05 as kappa_alto, round(h, 9) - 0.02 as h_baixo, round(h, 9) + 0.02 as h_alto from su)"""
 
 ORACLE = {
     "log_returns": _RET + " select user_id, event_id, round(x, 9) + 0.0 as x from ret",
@@ -245,12 +251,13 @@ select l_returnflag, round(ln(v), 6) + 0.0 as ln_x, round(ln((n - upto) / n), 6)
     "convexity_response": "select l_orderkey, l_linenumber, round(l_tax * l_tax, 6) + 0.0 as h, case when l_tax * l_tax > 1e-9 then 'antifragil' else 'robusto' end as classe from lineitem",
     "tail_summary": _BIG + "," + _SUM + """ select user_id, n, k, round(kappa_1, 6) + 0.0 as kappa_1, round(alfa, 6) + 0.0 as alfa, round(r2, 6) + 0.0 as r2, round(r4, 6) + 0.0 as r4,
 round(h, 6) + 0.0 as h, round(temporal, 6) + 0.0 as temporal, round(conjunto, 6) + 0.0 as conjunto from su""",
-    "tail_verdict": _BIG + "," + _SUM + f" select user_id, {_DOMAIN} as dominio, case when round(h, 9) > 0 then 'antifrágil' when round(h, 9) < 0 then 'frágil' else 'robusto' end as classe from su",
-    "heuristics_fired": _BIG + "," + _SUM + """, f as (select user_id, unnest([
- case when kappa_1 > 0.15 or alfa < 2 then 'variância inútil no Extremistão' end, case when alfa <= 1 then 'média sem sentido' end,
- case when kappa_1 <= 0.15 and alfa >= 2 then 'Mediocristão não é atestado de segurança' end, case when h < 0 then 'exposição côncava primeiro' end,
- case when h < 0 and (kappa_1 > 0.15 or alfa < 2) then 'o peru no Extremistão' end, case when h > 0 and (kappa_1 > 0.15 or alfa < 2) then 'convexidade que paga na cauda' end]) as heuristica
- from (select user_id, round(kappa_1, 9) as kappa_1, round(alfa, 9) as alfa, round(h, 9) as h from su)) select user_id, heuristica from f where heuristica is not null""",
+    "tail_verdict": _BIG + "," + _SUM + f""", {_INTERVALS} select user_id, case when alfa < 2 or kappa_baixo > 0.15 then 'Extremistão' when kappa_alto <= 0.15 then 'Mediocristão' else 'fronteira' end as dominio,
+case when h_baixo > 0 then 'antifrágil' when h_alto < 0 then 'frágil' else 'robusto' end as classe from iv""",
+    "heuristics_fired": _BIG + "," + _SUM + f""", {_INTERVALS}, f as (select user_id, unnest([
+ case when kappa_baixo > 0.15 or alfa < 2 then 'variância inútil no Extremistão' end, case when alfa <= 1 then 'média sem sentido' end,
+ case when kappa_alto <= 0.15 and alfa >= 2 then 'Mediocristão não é atestado de segurança' end, case when h_alto < 0 then 'exposição côncava primeiro' end,
+ case when h_alto < 0 and (kappa_baixo > 0.15 or alfa < 2) then 'o peru no Extremistão' end, case when h_baixo > 0 and (kappa_baixo > 0.15 or alfa < 2) then 'convexidade que paga na cauda' end,
+ case when user_id % 20 / 20 >= 0.85 then 'perda máxima delimitada por construção' end]) as heuristica from iv) select user_id, heuristica from f where heuristica is not null""",
     "rate_series_dedup": "select o_orderpriority, o_orderdate, arg_max(o_totalprice, o_orderkey) as o_totalprice from orders group by 1, 2",
     "mean_rate": "select o_orderpriority, count(*) as n, round(avg(o_totalprice / 1e5) / 100, 9) + 0.0 as taxa from orders group by 1",
     "ten_year_windows": """with recursive r(inicio, fim) as (values (date '2000-01-01', date '2025-06-30'), (date '2020-02-29', date '2041-03-01'), (date '2024-05-01', date '2024-04-01')),

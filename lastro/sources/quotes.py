@@ -7,7 +7,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WIDTH, TRADE = 245, "01"
@@ -44,31 +44,23 @@ def zip_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "linha string")
 
 
-def _money(c: Column, name: str) -> Column:
-    whole = F.trim(c).try_cast("bigint")
-    bad = F.raise_error(F.concat(F.lit(f"{name} invalido na linha: "), F.substring("linha", 1, 30)))
-    return F.when(whole.isNull(), bad.cast("double")).otherwise(whole / 100)
-
-
 def parse(raw: DataFrame, tickers: list[str] | None = None) -> DataFrame:
     """Trades of fixed-width lines: data, text fields, prices and volume.
 
-    Only trade records count; the ticker filter is exact and stands before the parsing. A trade line
-    under 245 characters, or with a bad date or number, is an error that shows the line's beginning.
+    Only trade records count. A trade line under 245 characters, or with a bad date or number, is an
+    error that shows the line's beginning, whatever its ticker; the exact ticker filter stands after.
     """
-    trade = raw.filter(F.substring("linha", 1, 2) == TRADE)
-    if tickers is not None:
-        trade = trade.filter(F.trim(F.substring("linha", 13, 12)).isin(tickers))
-    short = F.raise_error(F.concat(F.lit("linha curta: "), F.substring("linha", 1, 30)))
-    whole = F.when(F.length("linha") < WIDTH, short.cast("string")).otherwise(F.col("linha"))
-    rows = trade.select(whole.alias("linha"))
+    shown = F.substring("linha", 1, 30)
     day = F.try_to_timestamp(F.substring("linha", 3, 8), F.lit("yyyyMMdd")).cast("date")
-    bad = F.raise_error(F.concat(F.lit("data invalida na linha: "), F.substring("linha", 1, 30)))
-    return rows.select(
-        F.when(day.isNull(), bad.cast("date")).otherwise(day).alias("data"),
-        *[F.trim(F.substring("linha", a, n)).alias(name) for name, a, n in TEXTS],
-        *[_money(F.substring("linha", a, n), name).alias(name) for name, a, n in NUMBERS],
-    )
+    numbers = {name: F.trim(F.substring("linha", a, n)).try_cast("bigint") for name, a, n in NUMBERS}
+    fault = F.when(F.length("linha") < WIDTH, F.lit("linha curta: ")).when(day.isNull(), F.lit("data invalida na linha: "))
+    for name, whole in numbers.items():
+        fault = fault.when(whole.isNull(), F.lit(f"{name} invalido na linha: "))
+    # One test of the line as a filter, which no projection drops or repeats in every field.
+    sound = F.when(fault.isNull(), True).otherwise(F.raise_error(F.concat(fault, shown)).cast("boolean"))
+    trade = raw.filter(F.substring("linha", 1, 2) == TRADE).filter(sound)
+    out = trade.select(day.alias("data"), *[F.trim(F.substring("linha", a, n)).alias(name) for name, a, n in TEXTS], *[(v / 100).alias(name) for name, v in numbers.items()])
+    return out if tickers is None else out.filter(F.col("codneg").isin(tickers))
 
 
 def quotes(spark: SparkSession, path: str, tickers: list[str] | None = None) -> DataFrame:

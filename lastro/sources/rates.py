@@ -109,6 +109,6 @@ def cached(spark: SparkSession, folder: str, code: int, start: dt.date, end: dt.
     return spark.read.schema("date date, value double").parquet(path)
 
 
-def mean_daily(rates: DataFrame) -> DataFrame:
-    """(n, taxa): mean of percentages a day as a fraction."""
-    return rates.agg(F.count("value").alias("n"), (F.avg("value") / 100).alias("taxa"))
+def mean_daily(rates: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by..., n, taxa): mean of percentages a day as a fraction."""
+    return rates.groupBy(*(by or [])).agg(F.count("value").alias("n"), (F.avg("value") / 100).alias("taxa"))

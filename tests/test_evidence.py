@@ -359,6 +359,9 @@ def test_fusion_and_degradation(spark):
     assert mode == "lexical" and warn and out.columns == ["id", "rank"] and out.first().id == "B"
     with pytest.raises(RuntimeError):
         R.hybrid(broken, broken, ["id"], 5)
+    fails_running = lambda: ranks("A").withColumn("rank", F.when(F.col("rank") > 0, F.raise_error(F.lit("cai")).cast("int")))
+    out, mode, warn = R.hybrid(lambda: ranks("B"), fails_running, ["id"], 5)
+    assert mode == "vetorial" and "cai" in warn[0] and out.first().id == "B"
     assert R.clamp_k(99) == (20, "k reduzido a 20") and R.clamp_k("x") == (5, None) and R.clamp_k(1) == (1, None)
     assert R.bm25(spark.createDataFrame([(1, "a b"), (2, None)], "i int, text string"), "i", "").count() == 0
     first = GR.first_per_key(spark.createDataFrame([("a", 3), ("a", 1), ("b", 2)], "k string, rank int"), ["k"], ["rank"], 20)

@@ -198,3 +198,11 @@ def test_degenerate_resamples_make_no_interval(spark):
     for most in (100, 5):
         got = {r.serie: (r.n, r.baixo, r.alto) for r in B.bootstrap_interval(df, "serie", ["i"], "kappa_1", resamples=60, most=most).collect()}
         assert got == {"a": (12, None, None), "b": (12, None, None)}
+
+
+def test_draws_are_the_seeded_sequence():
+    for n in (1, 2, 3, 60, 64, 65, 1000, 50_000):
+        r = random.Random(15)
+        want = [r.randrange(n) for _ in range(700)]
+        d = B.Draws(15, n)
+        assert np.concatenate([d.take(k) for k in (1, 99, 0, 600)]).tolist() == want == B.draws(15, n, 700).tolist()

@@ -48,6 +48,8 @@ def test_quotes(spark, quote_file, tmp_path):
 def test_bad_trades(spark, bad, why):
     with pytest.raises(Exception, match=why):
         Q.parse(spark.createDataFrame([(bad,)], "linha string")).collect()
+    with pytest.raises(Exception, match=why):  # a broken line of another ticker is refused too, whatever is read
+        Q.parse(spark.createDataFrame([(bad,)], "linha string"), ["VALE3"]).select("codneg").collect()
 
 
 def test_rates(spark, tmp_path):
