@@ -11,14 +11,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Letters of other scripts that look like a Latin letter, as "Latin: look-alikes".
+from lastro.session import durable
+
+#: Letters of other scripts (Cyrillic, Greek, Cherokee, Armenian, Coptic, Lisu) drawn as a Latin letter, as "Latin: look-alikes".
 LOOKALIKES = {
-    "A": "АΑᎪ", "B": "ВΒᏴ", "C": "СᏟ", "D": "Ꭰ", "E": "ЕΕᎬ", "G": "Ꮐ", "H": "НΗᎻ", "I": "ІΙӀ", "J": "ЈᎫ", "K": "КΚᏦ", "L": "Ꮮ",
-    "M": "МΜᎷ", "N": "Ν", "O": "ОΟՕ", "P": "РΡᏢ", "Q": "Ԛ", "S": "ЅՏᏚ", "T": "ТΤᎢ", "U": "Ս", "V": "ѴᏙ", "W": "ԜᎳ", "X": "ХΧ",
-    "Y": "ҮΥ", "Z": "ΖᏃ", "a": "а", "c": "сϲ", "d": "ԁ", "e": "е", "g": "ɡ", "h": "һհ", "i": "і", "j": "јϳ", "l": "ӏ", "n": "ո",
-    "o": "оοօ", "p": "р", "q": "ԛզ", "s": "ѕ", "u": "ս", "v": "ѵν", "w": "ԝ", "x": "х", "y": "у",
+    "A": "АΑᎪⲀꓮ", "B": "ВΒᏴⲂꓐ", "C": "СᏟⲤꓚϹ", "D": "Ꭰꓓ", "E": "ЕΕᎬⲈꓰ", "F": "Ϝꓝ", "G": "Ꮐꓖ", "H": "НΗᎻⲎꓧ", "I": "ІΙӀⲒꓲ", "J": "ЈᎫꓙͿ", "K": "КΚᏦⲔꓗ", "L": "Ꮮꓡ",
+    "M": "МΜᎷⲘϺ", "N": "ΝⲚꓠ", "O": "ОΟՕⲞꓳ", "P": "РΡᏢⲢꓑ", "Q": "Ԛ", "R": "Ꭱꓣ", "S": "ЅՏᏚꓢ", "T": "ТΤᎢⲦꓔ", "U": "Սꓴ", "V": "ѴᏙꓦ", "W": "ԜᎳꓪ", "X": "ХΧⲬꓫ",
+    "Y": "ҮΥⲨꓬ", "Z": "ΖᏃⲌꓜ", "a": "а", "c": "сϲⲥ", "d": "ԁ", "e": "е", "g": "ɡ", "h": "һհ", "i": "і", "j": "јϳ", "l": "ӏ", "n": "ո",
+    "o": "оοօⲟ", "p": "рⲣ", "q": "ԛզ", "s": "ѕ", "u": "ս", "v": "ѵν", "w": "ԝ", "x": "х", "y": "у",
 }
+#: Letters that look like a Latin one only within a Latin word (of MIXED or more Latin letters); alone they are what they are.
+WITHIN = {"a": "αɑ", "i": "ιɩ", "k": "κк", "n": "η", "p": "ρ", "u": "υʋ", "w": "ωѡ", "y": "γү", "t": "τт", "m": "м", "b": "ь", "h": "н"}
+MIXED = 3
 _TO_LATIN = {c: latin for latin, others in LOOKALIKES.items() for c in others}
+_INNER = {c: latin for latin, others in WITHIN.items() for c in others}
 #: Hyphens, fillers that do not show, and letters whose compatibility form looks different.
 _HYPHENS = "\u2010\u2011\ufe63\uff0d"
 _UNSEEN = "\u034f\u115f\u1160\u17b4\u17b5\u180b\u180c\u180d\u180e\u180f\u3164\uffa0"
@@ -60,6 +66,9 @@ def _word(text: str):
         w = m.group()
         letters = [c for c in w if not U.combining(c)]
         odd = [c for c in letters if c in _TO_LATIN]
+        inner = [c for c in letters if c in _INNER]
+        if inner and len(letters) - len(odd) - len(inner) >= MIXED and all(_latin(c) for c in letters if c not in _TO_LATIN and c not in _INNER):
+            return "".join(_TO_LATIN.get(c, _INNER.get(c, c)) for c in w)
         if not odd:
             return w
         latin = any(_latin(c) and c not in _TO_LATIN for c in letters)
@@ -105,7 +114,7 @@ def canonical_names(trecho: DataFrame, fields: tuple[str, ...] = ("documento", "
 
 def with_canonical(trecho: DataFrame, fields: tuple[str, ...] = ("documento", "topico")) -> DataFrame:
     """trecho_id, corpus, parte and the fields in canonical form; a null field stays null."""
-    names = canonical_names(trecho, fields)
+    names = durable(canonical_names(trecho, fields))
     out = trecho.select("trecho_id", "corpus", "parte", *fields)
     for f in fields:
         own = names.filter(F.col("campo") == f).select(F.col("valor").alias(f), F.col("canonico").alias(f"{f}__c"))

@@ -34,6 +34,13 @@ def p3_names(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.with_canonical(table(spark, d, "trecho"))
 
 
+def p3_kept(spark: SparkSession, d: str) -> DataFrame:
+    """Every different value has one canonical one, and plain ASCII values are their own."""
+    names = lookalike.canonical_names(table(spark, d, "trecho"))
+    own = F.col("valor").rlike("^[ -~]*$") & (F.col("valor") == F.col("canonico"))
+    return names.groupBy("campo").agg(F.count("*").alias("valores"), F.count_distinct("valor").alias("diferentes"), F.count_if(own).alias("simples"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return leak.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_item")).select("doc_id", "item_id")
 
@@ -65,9 +72,11 @@ def p8_labels(spark: SparkSession, d: str) -> DataFrame:
     return pagespam.label_pages(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p1_restored, p2_found, p3_found, p3_names, p6_found, p7_mix, p7_shares, p7_rules, p8_found, p8_labels)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p1_restored, p2_found, p3_found, p3_names, p3_kept, p6_found, p7_mix, p7_shares, p7_rules, p8_found, p8_labels)}
 _OVER = "length(texto) + case when parte >= 2 and cabecalho is not null then length(cabecalho) + 1 else 0 end > 1600"
+_VALUES = " union all ".join(f"select '{c}' as campo, count(distinct {c}) as valores, count(distinct {c}) as diferentes, count(distinct {c}) filter (where regexp_full_match({c}, '[ -~]*')) as simples from trecho having count({c}) > 0" for c in ("documento", "topico"))
 ORACLE = {
+    "p3_kept": _VALUES,
     "p7_rules": "select lower(trim(source)) as source, max(max_repeats) as max_repeats, true as repete, true as perto, true as presente from mix_target where source is not null group by 1",
     "p1_restored": f"select distinct trecho_id, md5(texto) as md5, true as cabem, true as repetem from trecho where {_OVER}",
     "p1_found": """

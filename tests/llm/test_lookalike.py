@@ -7,8 +7,9 @@ from lastro.llm import lookalike as L
 CHANGED = {
     "série": "série", "Ｃauda": "Cauda", "cau​da": "cauda", "a b": "a b", "curva‐log": "curva-log", "curva‑log": "curva-log", "сauda": "cauda", "рас": "pac",
     "ﬁxa": "fixa", "µ": "μ", "Fraɡil": "Fragil", "so­ma": "soma", "Οpção": "Opção", "１２": "12", "10а4.md": "10a4.md", "a　b": "a b", "\U0001d400": "A", "о́p": "óp", "x️": "x",
+    "cαudα": "cauda", "prêmιo": "prêmio", "ⲤOⲢA": "COPA", "ꓚauda": "Cauda",
 }
-PLAIN = ["κ e σ", "τύχη", "Риск разорения", "x²", "κ₁", "½", "n → ∞ ≥ −", "“a” — ‘b’", "x̄", "p̂", "リスクの尾部", "ß Ø", "α", "ο", "", " ", "3º"]
+PLAIN = ["κ e σ", "τύχη", "Риск разорения", "x²", "κ₁", "½", "n → ∞ ≥ −", "“a” — ‘b’", "x̄", "p̂", "リスクの尾部", "ß Ø", "α", "ο", "", " ", "3º", "και", "αx", "μg", "к", "мы", "ριν", "kılık"]
 
 
 @pytest.mark.parametrize("text, plain", CHANGED.items())
