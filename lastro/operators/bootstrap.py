@@ -109,7 +109,8 @@ def bootstrap_interval(df: DataFrame, key: str, order: list[str], statistic: str
 
     exact = small.groupBy(key).applyInPandas(run, f"`{key}` {kind}, n bigint, baixo double, alto double")
     # Poisson(1) by inversion of a uniform; 12 covers all but 1e-10 of the mass.
-    u = F.rand(seed)
+    # The uniform is hashed from the row and the resample, whatever partition draws it.
+    u = F.xxhash64(F.lit(seed), key, *order, "x", "_r").bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)
     steps = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(12)])
     weight = sum((F.col("_u") > float(s)).cast("int") for s in steps)
     many = large.withColumn("_r", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("_u", u).withColumn("_w", weight).filter("_w > 0")
@@ -154,7 +155,7 @@ def kappa_resampled(df: DataFrame, key: str, order: list[str], x: str = "x", n0:
     sizes = large.groupBy(key).agg(F.count("*").alias("n"), middle.alias("_c"))
     both = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(i).alias("i")) for k in (n0, n) for i in range(k)])
     wanted = sizes.withColumn("_d", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("_e", F.explode(both))
-    wanted = wanted.select(key, "n", "_c", "_d", F.col("_e.k").alias("_k"), (F.floor(F.rand(seed) * F.col("n")) + 1).alias("_i"))
+    wanted = wanted.select(key, "n", "_c", "_d", F.col("_e.k").alias("_k"), (F.floor(F.xxhash64(F.lit(seed), key, "_d", "_e").bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53) * F.col("n")) + 1).alias("_i"))
     sums = wanted.join(ranks, [key, "_i"]).groupBy(key, "n", "_c", "_k", "_d").agg(F.sum("x").alias("s"))
     dev = F.abs(F.col("s") - F.col("_k") * F.col("_c"))
     m = sums.groupBy(key, "n", "_k").agg((F.percentile(dev, 0.5) if robust else F.avg(dev)).alias("m"))

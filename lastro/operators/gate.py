@@ -133,6 +133,28 @@ def valid_under(validity: DataFrame, used: DataFrame) -> DataFrame:
     return tokens.join(used.select("corpus", "equacao", "simbolo", "nome").distinct(), ["corpus", "equacao", "simbolo"]).select("corpus", "equacao", "condicao", "nome").distinct()
 
 
+def gate_conditions(validity: DataFrame, proofs: DataFrame, used: DataFrame, gated: DataFrame, accepted: DataFrame | None = None) -> DataFrame:
+    """(corpus, equacao, condicao, nome, status, pendencias): each condition at each variable that it names.
+
+    Approved when its P3 rows are there and pass and its equation is approved. A condition that names
+    no variable has no row; see :func:`unbound_conditions`.
+    """
+    key = ["corpus", "equacao", "condicao"]
+    per = judged(proofs, accepted).filter("prova = 'P3' and equacao is not null and condicao is not null").groupBy(*key).agg(F.count("*").alias("n"), F.count_if(~F.col("passa")).alias("f"))
+    ok = gated.filter("status = 'aprovado'").select("corpus", F.col("nome").alias("equacao"), F.lit(True).alias("ok"))
+    j = valid_under(validity, used).join(per, key, "left").join(ok, ["corpus", "equacao"], "left")
+    why = [F.when(F.coalesce("n", F.lit(0)) == 0, F.lit("sem P3")), F.when(F.coalesce("f", F.lit(0)) > 0, F.lit("prova não passa")), F.when(F.col("ok").isNull(), F.lit("equação não aprovada"))]
+    pending = F.array_compact(F.array(*why))
+    return j.select(*key, "nome", F.when(F.size(pending) == 0, "aprovado").otherwise("staging").alias("status"), pending.alias("pendencias"))
+
+
+def unbound_conditions(validity: DataFrame, used: DataFrame) -> DataFrame:
+    """(corpus, equacao, condicao) of the conditions that name no variable of their equation: a warning each."""
+    key = ["corpus", "equacao", "condicao"]
+    wanted = validity.filter("equacao is not null and condicao is not null").select(*key).distinct()
+    return wanted.join(valid_under(validity, used).select(*key), key, "left_anti")
+
+
 def supports(claims: DataFrame, concepts: DataFrame, gated: DataFrame) -> DataFrame:
     """(corpus, heuristica, alvo, tipo, status): what a heuristic supports; neither or both kinds is an error row."""
     c = concepts.select("corpus", F.col("nome").alias("alvo"), F.col("status").alias("cs"))
@@ -180,13 +202,29 @@ def upsert(graph: DataFrame, plan: DataFrame, key: list[str], keep: list[str] |
     return g.join(p, on, "full_outer").select(*merged).select(*graph.columns)
 
 
-def plan(equations: DataFrame, derivations: DataFrame, validity: DataFrame, proofs: DataFrame, accepted: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Every node and edge relation of a wave with its status and pending reasons."""
+def plan(
+    equations: DataFrame, derivations: DataFrame, validity: DataFrame, proofs: DataFrame, accepted: DataFrame | None = None,
+    concepts: DataFrame | None = None, heuristics: DataFrame | None = None, claims: DataFrame | None = None,
+) -> dict[str, DataFrame]:
+    """Every node and edge relation of a wave with its status and pending reasons.
+
+    ``concepts`` and ``heuristics`` (corpus, nome, ...) are approved as decided; ``claims`` (corpus,
+    heuristica, alvo) are tied to concepts or equations, see :func:`supports`.
+    """
     gated = gate_equations(equations, proofs, validity, accepted)
     used = uses(equations)
+    decided = {}
+    if concepts is not None:
+        decided["conceito"] = concepts.withColumn("status", F.lit("aprovado"))
+    if heuristics is not None:
+        decided["heuristica"] = heuristics.withColumn("status", F.lit("aprovado"))
+    if claims is not None:
+        known = decided.get("conceito", equations.limit(0).select("corpus", "nome", F.lit("aprovado").alias("status")))
+        decided["sustenta"] = supports(claims, known, gated)
     return {
         "equacao": gated, "deriva_de": gate_edges(derivations, proofs, gated, accepted), "usa": used, "variavel": variables(used, gated, equations),
-        "definida_por": used.filter("papel = 'definida'").select("corpus", "nome", "equacao"), "valida_sob": valid_under(validity, used),
+        "definida_por": used.filter("papel = 'definida'").select("corpus", "nome", "equacao"), "valida_sob": gate_conditions(validity, proofs, used, gated, accepted),
+        **decided,
     }
 
 

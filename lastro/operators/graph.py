@@ -43,7 +43,7 @@ def equation_records(equations: DataFrame, used: DataFrame, edges: DataFrame, co
     seen = approved(equations)
     key = ["corpus", "equacao"]
     live = approved(edges).join(seen.select("corpus", F.col("nome").alias("mae")), ["corpus", "mae"], "left_semi").withColumnRenamed("filha", "equacao")
-    lists = [_listed(used, key, ["nome", "simbolo", "papel"], "usa"), _listed(live, key, _fields(live, EDGE_FIELDS), "deriva_de"), _listed(conditions, key, ["condicao", "nome"], "valida_sob")]
+    lists = [_listed(used, key, _fields(used, ("nome", "simbolo", "papel")), "usa"), _listed(live, key, _fields(live, EDGE_FIELDS), "deriva_de"), _listed(conditions, key, _fields(conditions, ("condicao", "nome")), "valida_sob")]
     out = seen.select("corpus", "nome", *_fields(seen, EQUATION_FIELDS), F.col("nome").alias("equacao"))
     for part in lists:
         out = out.join(part, key, "left")

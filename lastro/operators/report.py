@@ -24,6 +24,11 @@ DIAGNOSTICS = {
 }
 
 
+#: What every report says of its prices and of its limits.
+WARNING = "- aviso: preços sem ajuste por proventos; um retorno grande pode ser um evento societário"
+CLOSING = "- fim: medidas descrevem a amostra e não preveem a próxima perda"
+
+
 def tag(status: Column) -> Column:
     """The provenance tag of an equation's status; unknown or null is external."""
     return F.when(status == "aprovado", TAGS[0]).when(status == "staging", TAGS[1]).otherwise(TAGS[2])
@@ -71,7 +76,8 @@ def report_lines(metrics: DataFrame, key: str, free_rate: float, tags: dict[str,
     """(key, linha, texto): the report of each series, every number with its provenance tag.
 
     Order by (key, linha). ``tags`` maps kappa, hill, max_soma, assimetria, temporal and conjunto to
-    tag columns; external by default.
+    tag columns; external by default. The dates of the sample (de, ate) and kappa(1, 30)
+    (``kappa_30``) show where the metrics have them.
     """
     t = {k: F.lit(TAGS[2]) for k in ("kappa", "hill", "max_soma", "assimetria", "temporal", "conjunto")} | (tags or {})
 
@@ -82,10 +88,13 @@ def report_lines(metrics: DataFrame, key: str, free_rate: float, tags: dict[str,
         return F.concat(F.lit(f"- {name} = "), number6(value), *([F.lit(", "), extra] if extra is not None else []), F.lit(" "), t[of])
 
     c = F.col
+    dates = [F.lit(", de "), c("de").cast("date").cast("string"), F.lit(" a "), c("ate").cast("date").cast("string")] if {"de", "ate"} <= set(metrics.columns) else []
     lines = [
         F.concat(F.lit("# Série "), c(key).cast("string")),
-        F.concat(F.lit("- amostra: "), c("n").cast("string"), F.lit(" retornos [externo]")),
+        F.concat(F.lit("- amostra: "), c("n").cast("string"), F.lit(" retornos"), *dates, F.lit(" [externo]")),
+        F.lit(WARNING),
         row("kappa_1", c("kappa_1"), "kappa", ci("kappa_baixo", "kappa_alto")),
+        *([row("kappa(1, 30)", c("kappa_30"), "kappa", F.lit("informativo"))] if "kappa_30" in metrics.columns else []),
         row("alfa de Hill", c("alfa"), "hill"),
         row("máximo/soma p=2", c("r2"), "max_soma"),
         row("máximo/soma p=4", c("r4"), "max_soma"),
@@ -95,6 +104,8 @@ def report_lines(metrics: DataFrame, key: str, free_rate: float, tags: dict[str,
         F.concat(F.lit(f"- taxa livre = {free_rate:.6f} [externo]")),
         row("excesso temporal", c("temporal") - free_rate, "temporal"),
         F.concat(F.lit("- domínio: "), c("dominio"), F.lit(" "), weakest(t["kappa"], t["hill"])),
+        F.concat(F.lit(f"- limiares: Extremistão se kappa_1 > {C.KAPPA_LIMIT} em todo o intervalo {TAGS[0]} ou alfa < {C.ALPHA_LIMIT:g} {TAGS[2]}")),
         F.concat(F.lit("- fragilidade: "), c("classe"), F.lit(" "), t["assimetria"]),
+        F.lit(CLOSING),
     ]
     return verdict(metrics).select(key, F.posexplode(F.array(*lines)).alias("linha", "texto"))

@@ -290,6 +290,15 @@ def valid_under(spark, d):
     return G.valid_under(_validity(spark, d), G.uses(_current(spark, d)))
 
 
+def gate_conditions(spark, d):
+    v = _validity(spark, d)
+    return G.gate_conditions(v, _proof(spark, d), G.uses(_current(spark, d)), _gated(spark, d)).withColumn("pendencias", _joined("pendencias"))
+
+
+def unbound_conditions(spark, d):
+    return G.unbound_conditions(_validity(spark, d), G.uses(_current(spark, d)))
+
+
 def plan_counts(spark, d):
     return G.plan_counts(G.plan(_current(spark, d), _derivation(spark, d), _validity(spark, d), _proof(spark, d)))
 
@@ -399,7 +408,7 @@ QUERIES = {
         route_rollup, wave_totals, route_cube, token_map_sum, distinct_models, cost_partial, document_gate, silent_loss_flags, full_outer_pair_check, latest_by_key, prev_hash_chain,
         title_disambiguation, segment_markdown, segmentation_summary, length_alerts, chunk_violations, embedded_lengths, display_equations, equation_candidates, preparse_loss, parse_refusals, parse_equations, parse_candidates,
         equation_forms, simulate_functions, proof_p1, proof_p2, proof_p3, recorded_faults, proof_states, verdict_rule, proof_p4, two_routes, ambiguous_pairs, orphan_proofs, verdict_histogram,
-        proof_identity, canonical_fonte, fingerprint_sha256, gate_equations, gate_edges, variable_status, variable_uses, valid_under, plan_counts, stale_nodes, wave_collisions, upsert_merge,
+        proof_identity, canonical_fonte, fingerprint_sha256, gate_equations, gate_edges, variable_status, variable_uses, valid_under, gate_conditions, unbound_conditions, plan_counts, stale_nodes, wave_collisions, upsert_merge,
         orphan_vars, approved_parents, equation_records, topic_equations, node_label_counts, layer_status, rename_plan, bm25_topk, cosine_topk, rrf_fusion, hybrid_search,
     )
 }
@@ -437,6 +446,8 @@ _BM = lambda q, alias: f"""{alias}_t as (select doc_id, regexp_extract_all(lower
 {alias}_d as (select q, count(*) filter (where f > 0) as d from {alias}_f group by 1),
 {alias}_r as (select doc_id, round(sum(ln(1 + (n - d + 0.5) / (d + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / a))), 9) as score from {alias}_f join {alias}_d using (q), {alias}_s where f > 0 group by 1)"""
 
+_TIED = """tk as (select distinct corpus, equacao, condicao, unnest(list_distinct(regexp_extract_all(condicao, '([A-Za-z_][A-Za-z0-9_]*)', 1))) as simbolo from validity where equacao is not null and condicao is not null),
+vu as (select distinct corpus, equacao, condicao, us.nome from tk join us using (corpus, equacao, simbolo))"""
 _FAULTS = f"""with u as (select distinct on (registro_id) * from recorded), k as (select *, count(*) over (partition by corpus, prova, mae, filha, equacao) as n from u)
 select registro_id, {_JOIN(["case when prova = 'P2' and coalesce(trim(mae), '') = '' then 'mae vazio' end", "case when prova = 'P2' and coalesce(trim(filha), '') = '' then 'filha vazio' end",
     "case when prova in ('momento', 'equacao') and coalesce(trim(equacao), '') = '' then 'equacao vazio' end", "case when coalesce(prova not in ('P2', 'momento', 'equacao'), true) then 'prova desconhecida' end", "case when coalesce(via <> 'wolfram', true) then 'via desconhecida' end",
@@ -531,10 +542,20 @@ k as (select *, coalesce(min(em) filter (where ok) over w, min(em) over w) as de
 select corpus, nome, min(simbolo) as simbolo, arg_min(f, em).d as documento, arg_min(f, em).t as topico, case when bool_or(ok) then 'aprovado' else 'staging' end as status from k where em >= de group by 1, 2""",
     "valid_under": f"""with {_CUR}, {_USES}, tk as (select distinct corpus, equacao, condicao, unnest(list_distinct(regexp_extract_all(condicao, '([A-Za-z_][A-Za-z0-9_]*)', 1))) as simbolo from validity where equacao is not null and condicao is not null)
 select distinct corpus, equacao, condicao, us.nome from tk join us using (corpus, equacao, simbolo)""",
-    "plan_counts": _EDGES + f""", {_USES}, vs as (select us.corpus, us.nome, coalesce(bool_or(status2 = 'aprovado'), false) as ok from us left join (select corpus, nome as equacao, status2 from gated) g using (corpus, equacao) group by 1, 2)
+    "gate_conditions": f"""with {_GATE}, {_USES}, {_TIED},
+p3 as (select corpus, equacao, condicao, count(*) as n, count(*) filter (where veredito <> 'verde') as f from proof where prova = 'P3' group by 1, 2, 3),
+c as (select vu.*, {_JOIN(["case when coalesce(n, 0) = 0 then 'sem P3' end", "case when coalesce(f, 0) > 0 then 'prova não passa' end", "case when g.nome is null then 'equação não aprovada' end"])} as pendencias
+  from vu left join p3 using (corpus, equacao, condicao) left join (select corpus, nome from gated where status2 = 'aprovado') g on g.corpus = vu.corpus and g.nome = vu.equacao)
+select corpus, equacao, condicao, nome, case when pendencias = '' then 'aprovado' else 'staging' end as status, pendencias from c""",
+    "unbound_conditions": f"""with {_CUR}, {_USES}, {_TIED} select distinct corpus, equacao, condicao from validity v where equacao is not null and condicao is not null
+and not exists (select 1 from vu where vu.corpus = v.corpus and vu.equacao = v.equacao and vu.condicao = v.condicao)""",
+    "plan_counts": _EDGES + f""", {_USES}, {_TIED}, vs as (select us.corpus, us.nome, coalesce(bool_or(status2 = 'aprovado'), false) as ok from us left join (select corpus, nome as equacao, status2 from gated) g using (corpus, equacao) group by 1, 2)
 select 'equacao' as tipo, count(*) filter (where status2 = 'aprovado') as aprovados, count(*) filter (where status2 = 'staging') as staging from gated
 union all select 'deriva_de', count(*) filter (where pendencias = ''), count(*) filter (where pendencias <> '') from ed
-union all select 'variavel', count(*) filter (where ok), count(*) filter (where not ok) from vs""",
+union all select 'variavel', count(*) filter (where ok), count(*) filter (where not ok) from vs
+union all select 'valida_sob', count(*) filter (where ok), count(*) filter (where not ok) from (select vu.corpus, coalesce(n, 0) > 0 and coalesce(f, 0) = 0 and g.nome is not null as ok from vu
+  left join (select corpus, equacao, condicao, count(*) as n, count(*) filter (where veredito <> 'verde') as f from proof where prova = 'P3' group by 1, 2, 3) using (corpus, equacao, condicao)
+  left join (select corpus, nome from gated where status2 = 'aprovado') g on g.corpus = vu.corpus and g.nome = vu.equacao)""",
     "stale_nodes": f"with {_CUR} select distinct c.corpus, c.nome from candidate c where c.nome is not null and onda >= '2026' and not exists (select 1 from cur where cur.corpus = c.corpus and cur.nome = c.nome)",
     "wave_collisions": """with c as (select distinct nome, corpus from candidate where nome is not null), g as (select nome, corpus from equacao_base union select nome, corpus from c where corpus < 'm')
 select distinct c.nome, c.corpus, g.corpus as dono from c join g on c.nome = g.nome where c.corpus is distinct from g.corpus""",

@@ -13,7 +13,7 @@ from lastro.functions import tails as T
 from lastro.functions.prefix import ASK, hot_keys
 from lastro.operators import bootstrap as B
 from lastro.operators import report as R
-from lastro.session import reused, table
+from lastro.session import table
 from lastro.sources import quotes as Q
 from lastro.sources import rates as RT
 
@@ -183,9 +183,13 @@ def kappa_mc(spark, d):
 
 
 def asset_report(spark, d):
-    rows = reused(returns(spark, d))
-    metrics = R.summary(rows, KEY).join(R.intervals(rows, KEY, ORDER), KEY)
-    return R.report_lines(metrics, KEY, 0.000408)
+    """Every line of every series' report; the free rate is the mean of a daily series of percentages."""
+    rows, hot = _both(spark, d)
+    big = rows.groupBy(KEY).agg(F.count("*").alias("_n"), F.min("ts").alias("de"), F.max("ts").alias("ate")).filter("_n >= 60").drop("_n")
+    kept = rows.join(big.select(KEY), KEY, "left_semi")
+    metrics = R.summary(rows, KEY, hot=hot).join(R.intervals(kept, KEY, ORDER), KEY).join(B.kappa_resampled(kept, KEY, ORDER).select(KEY, F.col("kappa").alias("kappa_30")), KEY).join(big, KEY)
+    rates = table(spark, d, "orders").select((F.col("o_totalprice") / 1e7).alias("value"))
+    return R.report_lines(metrics, KEY, RT.mean_daily(rates).first().taxa or 0.0)  # one row
 
 
 QUERIES = {

@@ -6,7 +6,6 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 #: What the session needs for the semantics of this package; sizes are left to the cluster.
@@ -52,11 +51,6 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def reused(df: DataFrame) -> DataFrame:
-    """Keep a frame that one plan reads twice; lost blocks are computed again from their lineage."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
-
-
 def ship(spark: SparkSession) -> None:
     """Give the executors this package, once per context, for the functions that run in Python there."""
     sc = spark.sparkContext

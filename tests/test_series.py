@@ -183,7 +183,8 @@ def test_report(spark):
     df = sample(spark, {"a": [rng.gauss(0, 0.02) for _ in range(80)], "short": [0.1, 0.2]})
     metrics = R.summary(df, "serie").join(R.intervals(df, "serie", ["i"]), "serie")
     lines = [r.texto for r in R.report_lines(metrics, "serie", 0.0004).orderBy("serie", "linha").collect()]
-    assert len(lines) == 13 and lines[0] == "# Série a" and all("[externo]" in x for x in lines[1:])
+    assert len(lines) == 16 and lines[0] == "# Série a" and lines[2] == R.WARNING and lines[-1] == R.CLOSING
+    assert all("[externo]" in x for x in lines[1:-1] if x != R.WARNING) and any("limiares" in x for x in lines)
     assert {r.heuristica for r in R.fired(spark.createDataFrame([("a", 0.5, 0.9)], "serie string, alfa double, fracao_segura double"), "serie").collect()} == {"variância inútil no Extremistão", "média sem sentido", "perda máxima delimitada por construção"}
 
 
