@@ -30,7 +30,7 @@ BUCKET_ROWS, CHUNK_SLOTS = 4096, 65_536
 MAX_SOURCES = 10_000
 GOLDEN = (math.sqrt(5) - 1) / 2
 #: The library's merge loop is quadratic in the length of a run; longer runs are merged with a heap.
-_RUN = regex.compile(r"\S{2048}|\s{2048}")
+RUN = 2048
 _PIECE = regex.compile(PATTERN)
 
 
@@ -66,10 +66,17 @@ def merged_length(piece: bytes, ranks: dict[bytes, int]) -> int:
     return count
 
 
+def _long_runs(text: str) -> bool:
+    """May there be a run of RUN or more characters, of words or of spaces?"""
+    words = text.split()
+    longest = max(map(len, words), default=0)
+    return longest >= RUN or len(text) - sum(map(len, words)) - len(words) >= RUN - 1
+
+
 def count_tokens(text: str, enc: tiktoken.Encoding) -> int:
     """Tokens of the whole text, whatever the length of its runs."""
-    if len(text) < 2048 or not _RUN.search(text):
-        return len(enc.encode_to_numpy(text, disallowed_special=()))
+    if len(text) < RUN or not _long_runs(text):
+        return len(enc.encode_ordinary(text))
     whole = text.encode("utf-8", "replace").decode("utf-8")
     return sum(merged_length(m.group().encode(), enc._mergeable_ranks) for m in _PIECE.finditer(whole))
 
