@@ -114,6 +114,17 @@ def segment_markdown(spark, d):
     return SG.segment(rows, "acervo", "onda", 2, 1600)
 
 
+def segment_restored(spark, d):
+    """Documents put together again from their parts, white space between topics left out."""
+    parts = segment_markdown(spark, d).select("documento", F.struct("ordem", "parte", F.concat("junta", "texto").alias("t")).alias("p"))
+    whole = parts.groupBy("documento").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["t"]), "").alias("t"))
+    return whole.select("documento", F.md5(F.regexp_replace("t", BLANKS, "").cast("binary")).alias("md5"))
+
+
+#: White space and separators, written alike for both engines.
+BLANKS = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]+"
+
+
 def segmentation_summary(spark, d):
     return SG.segmentation_summary(_trecho(spark, d).dropDuplicates(["trecho_id"]))
 
@@ -217,6 +228,23 @@ def verdict_rule(spark, d):
     return r.select("registro_id", P.verdict_fault_udf("veredito", "saida", "prova").isNull().alias("coerente"))
 
 
+#: Outputs of the second route with what the rule says of them: all zeros, computed and not zero, empty list, a zero among branches.
+OUTPUTS = (
+    ("0", "e"), ("{0, 0}", "ez"), ("{ 0 }", "ez"), ("0.", ""), ("0``15.2", ""), ("-0.*^-12", ""), ("x - 1", "o"), ("{0, x}", "oz"), ("{x, y}", "o"), ("{}", "v"), ("Integrate[f, x]", ""), ("$Aborted", ""),
+    ("a + $TimedOut", ""), ("Failure[x]", ""), ("ConditionalExpression[x, p > 0]", "o"), ("ConditionalExpression[0, p > 0]", ""), ("ConditionalExpression[{0, y}, p > 0]", "o"),
+    ("{ConditionalExpression[x, p > 0], 0.}", "oz"), ("Sin[{1, 2}]", "o"), ("2.5", "o"), ("{Limit[f, x], Sum[g, y]}", ""), ("Limited[x]", "o"), ("Infinity", ""),
+)
+_VERDICTS, _KINDS = ("verde", "vermelho", "indeterminado"), ("P2", "momento", "equacao")
+
+
+def verdict_cases(spark, d):
+    """The verdict rule on every recorded output with one of the OUTPUTS after it."""
+    pick = lambda xs, n: F.element_at(F.array(*map(F.lit, xs)), (F.pmod(F.floor(F.col("registro_id") / n), F.lit(len(xs))) + 1).cast("int"))
+    r = _recorded(spark, d).select("registro_id", "saida").distinct()
+    r = r.select("registro_id", F.concat("saida", F.lit("\nOut[99]= "), pick([x for x, _ in OUTPUTS], 1)).alias("s"), pick(_VERDICTS, len(OUTPUTS)).alias("veredito"), pick(_KINDS, 3 * len(OUTPUTS)).alias("prova"))
+    return r.select("registro_id", "prova", "veredito", P.verdict_fault_udf("veredito", "s", "prova").isNull().alias("coerente"))
+
+
 def proof_p4(spark, d):
     s = _states(spark, d)
     p2 = _proof(spark, d).filter("prova = 'P2'").dropDuplicates(["registro_id"])
@@ -406,8 +434,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         route_rollup, wave_totals, route_cube, token_map_sum, distinct_models, cost_partial, document_gate, silent_loss_flags, full_outer_pair_check, latest_by_key, prev_hash_chain,
-        title_disambiguation, segment_markdown, segmentation_summary, length_alerts, chunk_violations, embedded_lengths, display_equations, equation_candidates, preparse_loss, parse_refusals, parse_equations, parse_candidates,
-        equation_forms, simulate_functions, proof_p1, proof_p2, proof_p3, recorded_faults, proof_states, verdict_rule, proof_p4, two_routes, ambiguous_pairs, orphan_proofs, verdict_histogram,
+        title_disambiguation, segment_markdown, segment_restored, segmentation_summary, length_alerts, chunk_violations, embedded_lengths, display_equations, equation_candidates, preparse_loss, parse_refusals, parse_equations, parse_candidates,
+        equation_forms, simulate_functions, proof_p1, proof_p2, proof_p3, recorded_faults, proof_states, verdict_rule, verdict_cases, proof_p4, two_routes, ambiguous_pairs, orphan_proofs, verdict_histogram,
         proof_identity, canonical_fonte, fingerprint_sha256, gate_equations, gate_edges, variable_status, variable_uses, valid_under, gate_conditions, unbound_conditions, plan_counts, stale_nodes, wave_collisions, upsert_merge,
         orphan_vars, approved_parents, equation_records, topic_equations, node_label_counts, layer_status, rename_plan, bm25_topk, cosine_topk, rrf_fusion, hybrid_search,
     )
@@ -453,6 +481,17 @@ select registro_id, {_JOIN(["case when prova = 'P2' and coalesce(trim(mae), '')
     "case when prova in ('momento', 'equacao') and coalesce(trim(equacao), '') = '' then 'equacao vazio' end", "case when coalesce(prova not in ('P2', 'momento', 'equacao'), true) then 'prova desconhecida' end", "case when coalesce(via <> 'wolfram', true) then 'via desconhecida' end",
     "case when coalesce(veredito not in ('verde', 'vermelho', 'indeterminado'), true) then 'veredito desconhecido' end", "case when coalesce(trim(codigo), '') = '' then 'codigo vazio' end", "case when coalesce(trim(saida), '') = '' then 'saida vazio' end",
     "case when not coalesce(regexp_full_match(impressao, '[0-9a-f]{64}'), false) then 'impressao inválida' end"])} as falhas, n > 1 as repetida from k"""
+_JSON = lambda c: f"coalesce(to_json({c})::varchar, 'null')"
+_MAP = lambda c: f"'{{{{' || array_to_string(list_transform(list_sort(map_entries(coalesce({c}, map()))), lambda e: to_json(e.key) || ': ' || {_JSON('e.value')}), ', ') || '}}}}'".replace("{{", "{").replace("}}", "}")
+_OUT = "trim(list_extract(regexp_extract_all(saida, 'Out\\[\\d+\\]=([^\\n]*)', 1), -1))"
+_STATES = f"""{_CUR}, rf as ({_FAULTS}), dv as (select corpus, mae, filha, any_value(alvo) as alvo, any_value(substituicao) as s from (select distinct on (registro_id) * from derivation) group by 1, 2, 3 having count(*) = 1),
+ex as (select d.corpus, 'P2' as prova, d.mae, d.filha, null as equacao, sha256('{{"filha_srepr": ' || {_JSON('f.srepr')} || ', "mae_srepr": ' || {_JSON('m.srepr')} || ', "simbolo": ' || {_JSON('alvo')} || ', "substituicao": ' || {_MAP('s')} || '}}') as esperada
+  from dv d join cur m on m.corpus = d.corpus and m.nome = d.mae join cur f on f.corpus = d.corpus and f.nome = d.filha
+ union all select corpus, 'momento', null, null, nome, sha256('{{"equacao_srepr": ' || {_JSON('srepr')} || ', "momento_fechado": ' || {_MAP('momento_fechado')} || '}}') from cur where cardinality(momento_fechado) > 0
+ union all select corpus, 'equacao', null, null, nome, sha256('{{"latex": ' || {_JSON('latex')} || ', "srepr": ' || {_JSON('srepr')} || '}}') from cur),
+er as (select *, case when veredito = 'verde' and not regexp_full_match({_OUT}, '0|\\{{\\s*0(\\s*,\\s*0)*\\s*\\}}') then 'verde sem zero exato: ' || {_OUT} end as erro from (select distinct on (registro_id) * from recorded)),
+ps as (select er.*, esperada, case when esperada is null then 'orfa' when falhas <> '' or erro is not null then 'invalida' when repetida then 'repetida' when impressao <> esperada then 'desatualizada' else 'valida' end as estado
+ from er join rf using (registro_id) left join ex on ex.corpus is not distinct from er.corpus and ex.prova is not distinct from er.prova and ex.mae is not distinct from er.mae and ex.filha is not distinct from er.filha and ex.equacao is not distinct from er.equacao)"""
 _WAVE = f"""it as (select l_orderkey as k, list(struct_pack(item_id := 'i' || l_linenumber, approved := l_linestatus = 'F', fallback := l_returnflag = 'N')) as items from lineitem group by 1),
 dw as (select o_orderkey as k, coalesce(items, []) as items, o_orderkey % 13 > 0 as md, o_orderkey % 17 > 0 as rel, o_orderkey % 17 > 0 and o_orderkey % 19 > 0 as r from orders left join it on it.k = o_orderkey),
 dg as (select k as stem, {_JOIN(["case when not md then 'sem md' end", "case when not rel then 'sem relatório' end", "case when rel and not r then 'relatório ilegível' end",
@@ -502,6 +541,26 @@ ORACLE = {
     "title_disambiguation": """with a as (select *, count(*) over (partition by documento, source) as n from documents where source is not null and documento is not null),
 b as (select *, case when n > 1 and lang is not null then source || ' — ' || lang else source end as t from a), c as (select *, count(*) over (partition by documento, t) as m, row_number() over (partition by documento, t order by doc_id) as i from b)
 select doc_id, case when m > 1 then t || ' (' || i || ')' else t end as topico from c""",
+    "segment_restored": f"""select 'doc-' || doc_id as documento, md5(regexp_replace(text, '{BLANKS}', '', 'g')) as md5 from documents where regexp_replace(text, '{BLANKS}', '', 'g') <> ''""",
+    "verdict_rule": """select distinct registro_id, not (veredito = 'verde' and not regexp_full_match(trim(list_extract(regexp_extract_all(saida, 'Out\\[\\d+\\]=([^\\n]*)', 1), -1)), '0|\\{\\s*0(\\s*,\\s*0)*\\s*\\}')) as coerente from recorded""",
+    "proof_states": f"with {_STATES} select registro_id, estado, erro from ps",
+    "proof_p4": f"""with {_STATES}, w as (select corpus, prova, mae, filha, equacao, max(estado) as e, max(case when estado = 'valida' then veredito end) as via from ps where prova <> 'equacao' or estado <> 'orfa' group by 1, 2, 3, 4, 5),
+p as (select *, count(*) over (partition by corpus, mae, filha) as vezes from (select distinct on (registro_id) * from proof where prova = 'P2') where corpus is not null and mae is not null and filha is not null),
+a as (select p.corpus, p.mae, p.filha, p.veredito as v, case when vezes > 1 then 'derivação ambígua' when e is null then 'sem prova registrada' when via is null then 'prova ' || e when via <> p.veredito then 'vias divergem' else 'vias concordam' end as detalhe
+  from p left join w on w.prova = 'P2' and w.corpus = p.corpus and w.mae = p.mae and w.filha = p.filha),
+q as (select cur.corpus, cur.nome, coalesce(cardinality(momento_fechado), 0) > 0 as d, e, via from cur left join w on w.prova = 'momento' and w.corpus = cur.corpus and w.equacao = cur.nome where {_MOMENT})
+select corpus, mae, filha, null as equacao, 'P4' as prova, case when detalhe = 'vias concordam' then v else 'vermelho' end as veredito, detalhe from a
+union all select corpus, null, null, nome, 'P4', case when not d then 'indeterminado' else coalesce(via, 'vermelho') end, case when not d then 'momento não declarado' when e is null then 'sem prova registrada' when via is null then 'prova ' || e else 'momento provado' end from q
+union all select corpus, null, null, equacao, 'P4', coalesce(via, 'vermelho'), 'prova ' || e from w where prova = 'equacao'""",
+    "verdict_cases": f"""with o as (select unnest([{', '.join(f"{{'n': {i}, 'f': '{f}'}}" for i, (_, f) in enumerate(OUTPUTS))}], recursive := true)),
+r as (select distinct registro_id, {list(_VERDICTS)}[(registro_id // {len(OUTPUTS)}) % 3 + 1] as veredito, {list(_KINDS)}[(registro_id // {3 * len(OUTPUTS)}) % 3 + 1] as prova, registro_id % {len(OUTPUTS)} as n from recorded)
+select registro_id, prova, veredito, case veredito when 'verde' then contains(f, 'e') when 'vermelho' then true
+  else not ((contains(f, 'o') or contains(f, 'v')) and not (prova = 'P2' and (contains(f, 'v') or contains(f, 'z')))) end as coerente from r join o using (n)""",
+    "proof_p3": f"""with {_CUR}, v as (select distinct corpus, equacao, condicao from validity where equacao is not null),
+n as (select v.*, cur.nome is not null as ha, simbolos, regexp_full_match(condicao, '(not )?[A-Za-z_]+ (<|>|<=|>=|==|!=) [0-9.]+( (and|or) (not )?[A-Za-z_]+ (<|>|<=|>=|==|!=) [0-9.]+)*') as lida,
+  list_sort(list_filter(list_distinct(regexp_extract_all(condicao, '[A-Za-z_]+')), lambda x: x not in ('and', 'or', 'not') and not list_contains(coalesce(simbolos, []), x))) as fora from v left join cur on cur.corpus = v.corpus and cur.nome = v.equacao),
+t as (select corpus, equacao, condicao, case when not ha then 'equação desconhecida' when not coalesce(lida, false) then 'não é condição' when len(fora) > 0 then 'símbolo fora da equação: ' || array_to_string(fora, ', ') else 'condição lida' end as detalhe from n)
+select *, case when detalhe = 'condição lida' then 'verde' else 'vermelho' end as veredito from t""",
     "segmentation_summary": "select documento, count(*) as trechos, sum(length(texto))::bigint as caracteres, max(length(texto)) as maior from (select distinct on (trecho_id) * from trecho) group by 1",
     "length_alerts": "select distinct trecho_id, case when length(texto) > 8000 then 'teto' when length(texto) > 1600 then 'longo' end as alerta from trecho where texto is not null",
     "chunk_violations": f"""with u as (select distinct on (trecho_id) * from trecho), k as (select *, count(*) over (partition by corpus, documento, topico, parte) as n from u),
