@@ -11,6 +11,7 @@ from lastro.operators import gate as G
 from lastro.operators import graph as GR
 from lastro.operators import proofs as P
 from lastro.operators import quality as Q
+from lastro.operators import report as RP
 from lastro.operators import search as R
 from lastro.operators import segment as SG
 from lastro.session import table
@@ -391,6 +392,58 @@ def rename_plan(spark, d):
     return GR.rename_plan(_trecho(spark, d), "documento")
 
 
+def text_functions(spark, d):
+    """Small text functions over all documents."""
+    n = F.col("doc_id")
+    pages = X.page_range(F.concat((n % 7).cast("string"), F.lit("-"), (n % 5).cast("string")))
+    marked = F.concat(F.lit("a <i> "), F.coalesce("lang", F.lit("?")), F.lit(" </i> b"), F.when(n % 3 == 0, "<i>").otherwise(""))
+    return _documents(spark, d).select(
+        "doc_id", X.escape_query(F.col("documento")).alias("consulta"), X.valid_name(F.col("documento")).alias("valido"), X.page_label(pages).alias("paginas"), X.page_code(pages).alias("codigo"),
+        X.between_markers(marked, "<i>", "</i>").alias("dentro"), X.cell(F.concat("documento", F.lit(" |\n "), "lang")).alias("celula"), X.alert_length(F.col("n_chars")).alias("alerta"),
+    )
+
+
+def provenance(spark, d):
+    """The weakest provenance tag of each derivation's two equations; unknown ones are external."""
+    side = lambda p: _current(spark, d).select("corpus", F.col("nome").alias(p), F.col("status").alias(f"s_{p}"))
+    rows = P.distinct_derivations(_derivation(spark, d)).join(side("mae"), ["corpus", "mae"], "left").join(side("filha"), ["corpus", "filha"], "left")
+    return rows.select("registro_id", RP.weakest(RP.tag(F.col("s_mae")), RP.tag(F.col("s_filha"))).alias("etiqueta"))
+
+
+def first_topics(spark, d):
+    t = _trecho(spark, d).filter("documento is not null and topico is not null and ordem is not null")
+    return GR.first_per_key(t, ["documento", "topico"], ["ordem", "trecho_id"], 20)
+
+
+def _accepted(spark, d):
+    """Acceptances of half of the undetermined proofs, and one of a proof that does not exist."""
+    some = P.identity(_proof(spark, d)).filter("veredito = 'indeterminado' and registro_id % 2 = 0 and corpus is not null").select("corpus", "identidade")
+    return some.unionByName(spark.createDataFrame([("incerto", "{}")], "corpus string, identidade string")).distinct()
+
+
+def gate_accepted(spark, d):
+    gated = G.gate_equations(_current(spark, d), _proof(spark, d), _validity(spark, d), _accepted(spark, d))
+    return gated.select("corpus", "nome", "status", _joined("pendencias").alias("pendencias"))
+
+
+def unused_acceptances(spark, d):
+    return G.unused_acceptances(_proof(spark, d), _accepted(spark, d))
+
+
+def supports(spark, d):
+    """Heuristics that claim an equation, a concept, both or neither: one for each equation."""
+    c = _current(spark, d)
+    concepts = c.filter("ordem % 4 = 0").select("corpus", "nome", F.lit("aprovado").alias("status"))
+    alone = c.filter("ordem % 4 = 1").select("corpus", F.concat(F.lit("k-"), "nome").alias("nome"), F.lit("aprovado").alias("status"))
+    head = F.when(F.col("ordem") % 4 == 1, "k-").when(F.col("ordem") % 4 == 2, "x-").otherwise("")
+    claims = c.filter("ordem is not null").select("corpus", F.concat(F.lit("h-"), "nome").alias("heuristica"), F.concat(head, "nome").alias("alvo"))
+    return G.supports(claims, concepts.unionByName(alone), _gated(spark, d))
+
+
+def parse_counts(spark, d):
+    return E.parse_counts(_formed(spark, d).withColumn("forma", F.pmod("candidate_id", F.lit(len(FORMS)))), ["forma"])
+
+
 # Retrieval.
 QUERY = "cauda risco tail perda sorteio"
 
@@ -437,7 +490,7 @@ QUERIES = {
         title_disambiguation, segment_markdown, segment_restored, segmentation_summary, length_alerts, chunk_violations, embedded_lengths, display_equations, equation_candidates, preparse_loss, parse_refusals, parse_equations, parse_candidates,
         equation_forms, simulate_functions, proof_p1, proof_p2, proof_p3, recorded_faults, proof_states, verdict_rule, verdict_cases, proof_p4, two_routes, ambiguous_pairs, orphan_proofs, verdict_histogram,
         proof_identity, canonical_fonte, fingerprint_sha256, gate_equations, gate_edges, variable_status, variable_uses, valid_under, gate_conditions, unbound_conditions, plan_counts, stale_nodes, wave_collisions, upsert_merge,
-        orphan_vars, approved_parents, equation_records, topic_equations, node_label_counts, layer_status, rename_plan, bm25_topk, cosine_topk, rrf_fusion, hybrid_search,
+        orphan_vars, approved_parents, equation_records, topic_equations, node_label_counts, layer_status, rename_plan, bm25_topk, cosine_topk, rrf_fusion, hybrid_search, text_functions, provenance, first_topics, gate_accepted, unused_acceptances, supports, parse_counts,
     )
 }
 
@@ -474,6 +527,9 @@ _BM = lambda q, alias: f"""{alias}_t as (select doc_id, regexp_extract_all(lower
 {alias}_d as (select q, count(*) filter (where f > 0) as d from {alias}_f group by 1),
 {alias}_r as (select doc_id, round(sum(ln(1 + (n - d + 0.5) / (d + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / a))), 9) as score from {alias}_f join {alias}_d using (q), {alias}_s where f > 0 group by 1)"""
 
+_IDENTITY = """'{' || concat_ws(', ', '"condicao": ' || to_json(condicao), '"equacao": ' || to_json(equacao), '"filha": ' || to_json(filha), '"mae": ' || to_json(mae), '"prova": ' || to_json(prova), '"prova_wolfram": ' || to_json(prova_wolfram)) || '}'"""
+_ACC = f"""pi as (select *, {_IDENTITY} as identidade from proof), ac as (select distinct corpus, identidade from pi where veredito = 'indeterminado' and registro_id % 2 = 0 and corpus is not null),
+pa as (select pi.*, veredito = 'indeterminado' and ac.corpus is not null as aceita from pi left join ac on ac.corpus = pi.corpus and ac.identidade = pi.identidade)"""
 _TIED = """tk as (select distinct corpus, equacao, condicao, unnest(list_distinct(regexp_extract_all(condicao, '([A-Za-z_][A-Za-z0-9_]*)', 1))) as simbolo from validity where equacao is not null and condicao is not null),
 vu as (select distinct corpus, equacao, condicao, us.nome from tk join us using (corpus, equacao, simbolo))"""
 _FAULTS = f"""with u as (select distinct on (registro_id) * from recorded), k as (select *, count(*) over (partition by corpus, prova, mae, filha, equacao) as n from u)
@@ -652,6 +708,21 @@ select consulta, vec_id, r as rank from (select *, row_number() over (partition
 l as (select doc_id as id, 0 as i, row_number() over (order by score desc, doc_id) as r from a_r union all select doc_id, 1, row_number() over (order by score desc, doc_id) from b_r),
 s as (select id, round(sum(1.0::double / (60 + r)), 12) as score, min((i, r)) as o from l where r <= 100 group by 1)
 select id, round(score, 9) as score, row_number() over (order by score desc, o) as rank from s order by score desc, o limit 20""",
+    "text_functions": """select doc_id, regexp_replace(documento, '([+\\-&|!(){}\\[\\]^"~*?:\\\\/])', '\\\\\\1', 'g') as consulta, regexp_full_match(documento, '[A-Za-z0-9][A-Za-z0-9._-]*') and not contains(documento, '..') as valido,
+case when a >= 1 and a = b then 'página ' || a when a >= 1 and a < b then 'páginas ' || a || '-' || b end as paginas, case when a >= 1 and a <= b then 'p' || a || '-' || b end as codigo,
+case when doc_id % 3 > 0 then ' ' || coalesce(lang, '?') || ' ' end as dentro, replace(regexp_replace(documento || ' |\n ' || lang, '\\s*\\n\\s*', ' ', 'g'), '|', '\\|') as celula, floor(n_chars * 1.8)::bigint as alerta
+from (select *, doc_id % 7 as a, doc_id % 5 as b from documents)""",
+    "provenance": f"""with {_CUR}, t as (select corpus, nome, case status when 'aprovado' then 1 when 'staging' then 2 else 3 end as r from cur)
+select registro_id, ['[corpus]', '[staging]', '[externo]'][greatest(coalesce(m.r, 3), coalesce(f.r, 3))] as etiqueta from (select distinct on (registro_id) * from derivation) d
+left join t m on m.corpus = d.corpus and m.nome = d.mae left join t f on f.corpus = d.corpus and f.nome = d.filha""",
+    "first_topics": """select documento, topico, row_number() over (order by o) as rank from (select documento, topico, min((ordem, trecho_id)) as o from trecho where documento is not null and topico is not null and ordem is not null group by 1, 2) order by rank limit 20""",
+    "gate_accepted": f"with {_ACC}, {_GATE.replace("count(*) filter (where veredito <> 'verde') as falhas from proof where", "count(*) filter (where veredito <> 'verde' and not aceita) as falhas from pa where")} select corpus, nome, status2 as status, pendencias from gated",
+    "unused_acceptances": "select 'incerto' as corpus, '{}' as identidade",
+    "supports": f"""with {_GATE}, e as (select corpus, nome, ordem, status2, ordem % 4 as k from gated where ordem is not null)
+select corpus, 'h-' || nome as heuristica, case k when 1 then 'k-' when 2 then 'x-' else '' end || nome as alvo, case k when 0 then 'ambiguo' when 1 then 'conceito' when 2 then 'desconhecido' else 'equacao' end as tipo,
+case k when 0 then 'aprovado' when 1 then 'aprovado' when 3 then status2 end as status from e""",
+    "parse_counts": f"""with p as ({_PREPARSE.replace(' as motivo', ' as m, f')}), r as (select candidate_id % {len(FORMS)} as forma, m is null and not starts_with(f, '\\sum') and not starts_with(f, '\\bigcup') as lida from p)
+select forma, count(*) as equacoes, count(*) filter (where lida) as lidas from r group by 1""",
     "hybrid_search": f"""with {_CUR}, u as (select * from trecho qualify row_number() over (partition by trecho_id) = 1),
 v as (select trecho_id, embedding_gemini::double[64] as e from u where len(embedding_gemini) = 64 and len(list_filter(embedding_gemini, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding_gemini, lambda x: x <> 0)) > 0),
 va as (select trecho_id, row_number() over (order by round(array_cosine_similarity(e, {[float((i * 37) % 11 - 5) for i in range(64)]}::double[64]), 6) desc, trecho_id) as rank from v),
