@@ -40,7 +40,14 @@ def _items(spark, d):
 
 
 def route_rollup(spark, d):
-    return Q.route_rollup(_items(spark, d), failed_pages=F.lit(0))
+    """Items of all readable reports by route, with the failed pages of the conversion."""
+    wave = _wave(spark, d)
+    failed = wave.agg(F.coalesce(F.sum("r.summary.parse.paginas_falhas"), F.lit(0)).alias("n")).first().n  # one row
+    return Q.route_rollup(Q.item_rows(wave), failed_pages=F.lit(failed))
+
+
+def equation_totals(spark, d):
+    return Q.equation_totals(_wave(spark, d))
 
 
 def wave_totals(spark, d):
@@ -68,12 +75,13 @@ def cost_partial(spark, d):
 def _wave(spark, d):
     """Conversion reports: an order is a document, its lines are the items; each way to be refused occurs."""
     k = F.col("o_orderkey")
-    item = F.struct(F.concat(F.lit("i"), F.col("l_linenumber").cast("string")).alias("item_id"), (F.col("l_linestatus") == "F").alias("approved"), (F.col("l_returnflag") == "N").alias("fallback"))
+    item = F.struct(F.concat(F.lit("i"), F.col("l_linenumber").cast("string")).alias("item_id"), (F.col("l_linestatus") == "F").alias("approved"), (F.col("l_returnflag") == "N").alias("fallback"), F.col("l_returnflag").alias("route"))
     items = _lineitem(spark, d).groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    rows = _orders(spark, d).join(items, "o_orderkey", "left").withColumn("items", F.coalesce("items", F.expr("cast(array() as array<struct<item_id:string,approved:boolean,fallback:boolean>>)")))
+    rows = _orders(spark, d).join(items, "o_orderkey", "left").withColumn("items", F.coalesce("items", F.expr("cast(array() as array<struct<item_id:string,approved:boolean,fallback:boolean,route:string>>)")))
     marks = F.array_join(F.transform("items", lambda i: F.when(i["fallback"], i["item_id"]).otherwise("")), " ")
     text = F.concat(F.lit("# "), F.col("o_orderpriority"), F.lit(" "), F.when(k % 11 > 0, marks).otherwise(""), F.when(k % 29 == 0, F.lit(Q.NOTE)).otherwise(""))
-    equations = F.struct((k % 3).alias("equacoes_detectadas"), F.when(k % 5 > 0, "katex").alias("validador"), F.when(k % 31 == 0, 1).otherwise(0).alias("latex_invalido_final"))
+    others = [(k % (i + 2)).alias(c) for i, c in enumerate(Q.EQUATION_COUNTERS) if c not in ("equacoes_detectadas", "latex_invalido_final")]
+    equations = F.struct(*others, (k % 3).alias("equacoes_detectadas"), F.when(k % 5 > 0, "katex").alias("validador"), F.when(k % 31 == 0, 1).otherwise(0).alias("latex_invalido_final"))
     parse = F.struct(F.when(k % 23 == 0, 2).otherwise(0).alias("paginas_falhas"), F.when(k % 37 == 0, 1).otherwise(0).alias("paginas_sem_texto"))
     report = F.struct("items", F.struct(F.when(k % 41 == 0, 0).otherwise(F.size("items")).alias("itens"), equations.alias("equacoes"), parse.alias("parse")).alias("summary"))
     return rows.select(k.alias("stem"), F.when(k % 13 > 0, text).alias("md"), F.when(k % 17 > 0, "{}").alias("relatorio"), F.when((k % 17 > 0) & (k % 19 > 0), report).alias("r"))
@@ -486,7 +494,7 @@ def hybrid_search(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        route_rollup, wave_totals, route_cube, token_map_sum, distinct_models, cost_partial, document_gate, silent_loss_flags, full_outer_pair_check, latest_by_key, prev_hash_chain,
+        route_rollup, equation_totals, wave_totals, route_cube, token_map_sum, distinct_models, cost_partial, document_gate, silent_loss_flags, full_outer_pair_check, latest_by_key, prev_hash_chain,
         title_disambiguation, segment_markdown, segment_restored, segmentation_summary, length_alerts, chunk_violations, embedded_lengths, display_equations, equation_candidates, preparse_loss, parse_refusals, parse_equations, parse_candidates,
         equation_forms, simulate_functions, proof_p1, proof_p2, proof_p3, recorded_faults, proof_states, verdict_rule, verdict_cases, proof_p4, two_routes, ambiguous_pairs, orphan_proofs, verdict_histogram,
         proof_identity, canonical_fonte, fingerprint_sha256, gate_equations, gate_edges, variable_status, variable_uses, valid_under, gate_conditions, unbound_conditions, plan_counts, stale_nodes, wave_collisions, upsert_merge,
@@ -583,7 +591,11 @@ _PREPARSE = f"""select candidate_id, case{_lost(_word('Pr'), '\\Pr')}{_lost('\\\
 from (select distinct candidate_id, {_PAIRS(0)} || latex || {_PAIRS(1)} as f from candidate)"""
 
 ORACLE = {
-    "route_rollup": "select l_returnflag as rota, count(*) as itens, count(*) filter (where l_returnflag = 'N') as fallbacks, count(*) filter (where l_linestatus <> 'F') as nao_aprovados from lineitem group by 1 union all select 'parse', 0, 0, 0",
+    "route_rollup": """with d as (select o_orderkey as k from orders where o_orderkey % 17 > 0 and o_orderkey % 19 > 0) select l_returnflag as rota, count(*) as itens, count(*) filter (where l_returnflag = 'N') as fallbacks, count(*) filter (where l_linestatus <> 'F') as nao_aprovados
+from lineitem join d on k = l_orderkey group by 1 union all select 'parse', 0, (select count(*) * 2 from d where k % 23 = 0), 0""",
+    "equation_totals": "select " + ", ".join(
+        f"sum({'o_orderkey % 3' if c == 'equacoes_detectadas' else '(o_orderkey % 31 = 0)::int' if c == 'latex_invalido_final' else f'o_orderkey % {i + 2}'})::bigint as {c}" for i, c in enumerate(Q.EQUATION_COUNTERS)
+    ) + ", count(*) filter (where o_orderkey % 3 > 0) as documentos_com, count(*) filter (where o_orderkey % 3 > 0 and o_orderkey % 5 > 0) as documentos_katex from orders where o_orderkey % 17 > 0 and o_orderkey % 19 > 0",
     "wave_totals": "select count(distinct l_orderkey) as documentos, count(*) as itens, count(*) filter (where l_linestatus = 'F') as aprovados, count(*) filter (where l_returnflag = 'N') as fallbacks from lineitem",
     "route_cube": "select l_returnflag as rota, count(*) as itens, count(*) filter (where l_linestatus = 'F') as aprovados from lineitem group by rollup (l_returnflag)",
     "token_map_sum": "select sum(l_suppkey)::bigint as output, sum(l_partkey)::bigint as prompt, sum(l_partkey + l_suppkey)::bigint as total from lineitem",
