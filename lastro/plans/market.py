@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
+import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +16,8 @@ from lastro.functions import tails as T
 from lastro.functions.prefix import ASK, hot_keys
 from lastro.operators import bootstrap as B
 from lastro.operators import report as R
-from lastro.session import table
+from lastro.session import ensure_checkpoint_dir, table
+from lastro.sources import jsonl as J
 from lastro.sources import quotes as Q
 from lastro.sources import rates as RT
 
@@ -147,8 +151,8 @@ def ten_year_windows(spark, d):
     return S.year_windows(spark.createDataFrame(rows, "inicio date, fim date"))
 
 
-def fixed_width_parse(spark, d):
-    """Renders every line item as a 245-character trade and parses it again."""
+def _trade_lines(spark, d):
+    """Every line item as a 245-character trade."""
     li = table(spark, d, "lineitem")
 
     def digits(c, n):
@@ -160,8 +164,57 @@ def fixed_width_parse(spark, d):
         F.lit("01"), F.date_format("l_shipdate", "yyyyMMdd"), F.lit("02"), name, F.lit("010"), F.rpad(F.lit("NOME"), 12, " "), F.rpad(F.lit("ON"), 10, " "),
         F.rpad(F.lit(""), 7, " "), price, price, price, price, price, F.rpad(F.lit(""), 49, " "), digits(F.col("l_quantity") * F.col("l_extendedprice"), 18), F.rpad(F.lit(""), 57, " "),
     )
-    trades = Q.parse(li.select(line.alias("linha")))
-    return trades.groupBy("codneg").agg(F.count("*").alias("n"), F.min("data").alias("de"), F.max("data").alias("ate"), _r(F.sum("preult"), 2).alias("preult"), _r(F.sum(F.col("voltot")), 0).alias("voltot"))
+    return li.select(line.alias("linha"))
+
+
+def _trades(rows):
+    return rows.groupBy("codneg").agg(F.count("*").alias("n"), F.min("data").alias("de"), F.max("data").alias("ate"), _r(F.sum("preult"), 2).alias("preult"), _r(F.sum(F.col("voltot")), 0).alias("voltot"))
+
+
+def fixed_width_parse(spark, d):
+    """Renders every line item as a trade and parses it again."""
+    return _trades(Q.parse(_trade_lines(spark, d)))
+
+
+def _scratch(spark, name):
+    """A new folder beside the checkpoints, which the cluster shares."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def quotes_source(spark, d):
+    """The same trades through a text file, with lines of another kind between them, and a few tickers."""
+    path = _scratch(spark, "quotes")
+    other = table(spark, d, "orders").select(F.rpad(F.concat(F.lit("99"), F.col("o_orderkey").cast("string")), 245, " ").alias("linha"))
+    _trade_lines(spark, d).unionByName(other).write.text(path)
+    return _trades(Q.quotes(spark, path, [f"T{i}" for i in range(0, 1000, 7)]))
+
+
+def jsonl_roundtrip(spark, d):
+    """Orders appended to a JSON-lines folder in two deliveries, of which the second may hold nothing known, and read back."""
+    path = _scratch(spark, "orders")
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    for part in (o.filter("o_orderkey % 2 = 0"), o.filter("o_orderkey % 2 = 1")):
+        J.append(part, path, ["o_orderkey"])
+    J.write_once(o, f"{path}-once")
+    J.write_once(o.repartition(3), f"{path}-once")  # the same content in another order changes nothing
+    back = J.read(spark, path, o.schema.simpleString()[7:-1].replace(":", " "))
+    once = J.read(spark, f"{path}-once", o.schema.simpleString()[7:-1].replace(":", " "))
+    return back.join(once.select("o_orderkey", F.col("o_totalprice").alias("uma_vez")), "o_orderkey", "left").select("o_orderkey", "o_orderstatus", "o_totalprice", "uma_vez")
+
+
+def _answer(url):
+    """A rate service: the first days of the months asked for."""
+    start, end = (dt.datetime.strptime(x, "%d/%m/%Y").date() for x in re.findall(r"data(?:Inicial|Final)=([0-9/]+)", url))
+    days = [dt.date(y, m, 1) for y in range(start.year, end.year + 1) for m in range(1, 13)]
+    return json.dumps([{"data": f"{x:%d/%m/%Y}", "valor": f"{x.month / 100:.2f}"} for x in days if start <= x <= end])
+
+
+def rate_source(spark, d):
+    """A daily rate read window by window, and its mean."""
+    spark.dataSource.register(RT.rate_source(_answer, "http://taxas.example"))
+    rows = spark.read.format("taxas").option("code", 11).option("inicio", "2000-01-01").option("fim", "2025-06-30").load()
+    return RT.mean_daily(rows.withColumn("ano", F.year("date")), ["ano"]).withColumn("taxa", _r(F.col("taxa"), 9))
 
 
 def bootstrap_ci_h(spark, d):
@@ -197,7 +250,7 @@ QUERIES = {
     for f in (
         log_returns, max_to_sum_final_p2, max_to_sum_final_p4, max_to_sum_curve, hill_left, hill_right, kappa_1_exact, survival_loglog, survival_discounts, empirical_asymmetry,
         growth_time_ensemble, barbell_table, kelly_table, convexity_response, tail_summary, tail_verdict, heuristics_fired, rate_series_dedup, mean_rate,
-        ten_year_windows, fixed_width_parse, bootstrap_ci_h, bootstrap_ci_kappa_1, kappa_mc, asset_report,
+        ten_year_windows, fixed_width_parse, quotes_source, jsonl_roundtrip, rate_source, bootstrap_ci_h, bootstrap_ci_kappa_1, kappa_mc, asset_report,
     )
 }
 
@@ -269,4 +322,8 @@ w as (select inicio, fim, inicio as de, least((inicio + interval 10 year)::date
  union all select inicio, fim, ate + 1, least((ate + 1 + interval 10 year)::date - 1, fim) from w where ate < fim) select inicio, fim, de::date as de, ate::date as ate from w""",
     "fixed_width_parse": """select 'T' || (l_partkey % 1000) as codneg, count(*) as n, min(l_shipdate)::date as de, max(l_shipdate)::date as ate,
 round(sum(round(l_extendedprice * 100) / 100), 2) + 0.0 as preult, round(sum(round(l_quantity * l_extendedprice * 100) / 100), 0) + 0.0 as voltot from lineitem group by 1""",
+    "quotes_source": """select 'T' || (l_partkey % 1000) as codneg, count(*) as n, min(l_shipdate)::date as de, max(l_shipdate)::date as ate,
+round(sum(round(l_extendedprice * 100) / 100), 2) + 0.0 as preult, round(sum(round(l_quantity * l_extendedprice * 100) / 100), 0) + 0.0 as voltot from lineitem where (l_partkey % 1000) % 7 = 0 group by 1""",
+    "jsonl_roundtrip": "select o_orderkey, o_orderstatus, o_totalprice, o_totalprice as uma_vez from orders",
+    "rate_source": "select year(x) as ano, count(*) as n, round(avg(month(x) / 100.0) / 100, 9) + 0.0 as taxa from (select unnest(generate_series(date '2000-01-01', date '2025-06-01', interval 1 month)) as x) group by 1",
 }
