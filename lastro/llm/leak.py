@@ -338,7 +338,7 @@ def item_blocks(segments: DataFrame, block_words: int, least: int = WORDS) -> Da
     count = F.greatest(F.lit(1), F.ceil((F.size("words") - half) / step).cast("int") + 1)
     cut = segments.withColumn("k", F.explode(F.sequence(F.lit(0), count - 1)))
     part = lambda c: F.slice(c, F.col("k") * step + 1, F.lit(half))
-    cut = cut.select("item_id", "part", "k", part("words").alias("words"), F.array_join(part("said"), " ").alias("said")).withColumn("um", F.lit(1))
+    cut = cut.select("item_id", "part", "k", part("words").alias("words"), part("said").alias("said")).withColumn("um", F.lit(1))
     upto = running(cut.select("um", "item_id", "part", "k", F.size("words").alias("n")), ["um"], ["item_id", "part", "k"], {"ate": F.col("n").cast("bigint")})
     return cut.join(upto.select("item_id", "part", "k", F.floor((F.col("ate") - F.col("n")) / half).alias("bloco")), ["item_id", "part", "k"])
 
@@ -355,12 +355,14 @@ def find_leaks(documents: DataFrame, items: DataFrame, least: int = WORDS, edits
     """
     spark = documents.sparkSession
     size = least // (edits + 1)
-    segments = durable(item_blocks(item_segments(items), block_words, least))
+    segments = durable(item_segments(items).withColumn("bloco", F.lit(0).cast("bigint")))
+    if (segments.agg(F.sum(F.size("words"))).first()[0] or 0) > block_words:
+        segments = durable(item_blocks(segments.drop("bloco"), block_words, least))
     blocks = [r.bloco for r in segments.select("bloco").distinct().orderBy("bloco").collect()]
     held = []
     for b in blocks:  # the rows of one block are at most block_words words
         rows = segments.filter(F.col("bloco") == b).select("item_id", "words", "said").collect()
-        held.append(spark.sparkContext.broadcast(build_patterns([(r.item_id, np.array(r.words, dtype=np.int64).view(np.uint64), r.said) for r in rows], size)))
+        held.append(spark.sparkContext.broadcast(build_patterns([(r.item_id, np.array(r.words, dtype=np.int64).view(np.uint64), " ".join(r.said)) for r in rows], size)))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
