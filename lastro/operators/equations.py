@@ -7,6 +7,7 @@ import os
 import select
 import subprocess
 import sys
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,6 +17,8 @@ from pyspark.sql import types as T
 from lastro.operators import latex as L
 
 BUDGET = 10.0
+#: Bytes sent to the parser before its answers are read; less than a pipe holds.
+PIPE = 32_000
 MOMENT = r"Function\('(?:E|Var)'\)"
 
 
@@ -43,23 +46,52 @@ class Limited:
     """
 
     def __init__(self, budget: float = BUDGET):
-        self.budget, self.child = budget, None
+        self.budget, self.child, self.read = budget, None, b""
 
     def __call__(self, latex: str, functions: frozenset[str] = frozenset()) -> tuple[bool, str]:
+        return next(self.many([(latex, functions)]))
+
+    def many(self, jobs: list[tuple[str, frozenset[str]]]) -> Iterator[tuple[bool, str]]:
+        """The answers to (formula, functions) jobs in order; jobs are sent in stretches that fit a pipe."""
+        at = 0
+        while at < len(jobs):
+            sent, size = [], 0
+            for latex, functions in jobs[at:]:
+                line = json.dumps([latex, sorted(functions)]).encode() + b"\n"
+                if sent and size + len(line) > PIPE:
+                    break
+                sent.append(line)
+                size += len(line)
+            self._start()
+            self.child.stdin.write(b"".join(sent))
+            self.child.stdin.flush()
+            for _ in sent:
+                answer = self._answer()
+                at += 1
+                yield answer
+                if self.child is None:  # killed: what was sent after this formula is sent again
+                    break
+
+    def _start(self) -> None:
         if self.child is None:
             paths = os.pathsep.join(x for x in sys.path if x)
             self.child = subprocess.Popen([sys.executable, "-c", "from lastro.operators.latex import serve; serve()"], stdin=subprocess.PIPE, stdout=subprocess.PIPE, env=os.environ | {"PYTHONPATH": paths})
             self.child.stdout.readline()
-        self.child.stdin.write(json.dumps([latex, sorted(functions)]).encode() + b"\n")
-        self.child.stdin.flush()
-        if select.select([self.child.stdout], [], [], max(0.0, self.budget))[0]:
-            line = self.child.stdout.readline()
-            if line:
-                return tuple(json.loads(line))
-            self.close()
-            return False, "erro:processo_perdido"
-        self.close()
-        return False, "nao_suportado:tempo_esgotado"
+            self.read = b""
+
+    def _answer(self) -> tuple[bool, str]:
+        pipe = self.child.stdout.fileno()
+        while b"\n" not in self.read:
+            if not select.select([pipe], [], [], max(0.0, self.budget))[0]:
+                self.close()
+                return False, "nao_suportado:tempo_esgotado"
+            more = os.read(pipe, 1 << 16)
+            if not more:
+                self.close()
+                return False, "erro:processo_perdido"
+            self.read += more
+        line, _, self.read = self.read.partition(b"\n")
+        return tuple(json.loads(line))
 
     def close(self) -> None:
         if self.child is not None:
@@ -70,12 +102,11 @@ class Limited:
 
 @F.pandas_udf(T.StructType([T.StructField("srepr", T.StringType()), T.StructField("motivo", T.StringType())]))
 def parse_udf(latex: pd.Series, functions: pd.Series) -> pd.DataFrame:
-    parser, out = Limited(), []
-    for x, f in zip(latex, functions):
-        if not isinstance(x, str):
-            out.append((None, None))
-            continue
-        ok, text = parser(x, frozenset(v for v in f if v) if f is not None else frozenset())
+    parser = Limited()
+    answers = parser.many([(x, frozenset(v for v in f if v) if f is not None else frozenset()) for x, f in zip(latex, functions) if isinstance(x, str)])
+    out = []
+    for x in latex:
+        ok, text = next(answers) if isinstance(x, str) else (False, None)
         out.append((text, None) if ok else (None, text))
     parser.close()
     return pd.DataFrame(out, columns=["srepr", "motivo"])

@@ -76,7 +76,7 @@ def _wave(spark, d):
     """Conversion reports: an order is a document, its lines are the items; each way to be refused occurs."""
     k = F.col("o_orderkey")
     item = F.struct(F.concat(F.lit("i"), F.col("l_linenumber").cast("string")).alias("item_id"), (F.col("l_linestatus") == "F").alias("approved"), (F.col("l_returnflag") == "N").alias("fallback"), F.col("l_returnflag").alias("route"))
-    items = _lineitem(spark, d).groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    items = _lineitem(spark, d).groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(item).alias("items"))
     rows = _orders(spark, d).join(items, "o_orderkey", "left").withColumn("items", F.coalesce("items", F.expr("cast(array() as array<struct<item_id:string,approved:boolean,fallback:boolean,route:string>>)")))
     marks = F.array_join(F.transform("items", lambda i: F.when(i["fallback"], i["item_id"]).otherwise("")), " ")
     text = F.concat(F.lit("# "), F.col("o_orderpriority"), F.lit(" "), F.when(k % 11 > 0, marks).otherwise(""), F.when(k % 29 == 0, F.lit(Q.NOTE)).otherwise(""))

@@ -164,7 +164,8 @@ def _trade_lines(spark, d):
         F.lit("01"), F.date_format("l_shipdate", "yyyyMMdd"), F.lit("02"), name, F.lit("010"), F.rpad(F.lit("NOME"), 12, " "), F.rpad(F.lit("ON"), 10, " "),
         F.rpad(F.lit(""), 7, " "), price, price, price, price, price, F.rpad(F.lit(""), 49, " "), digits(F.col("l_quantity") * F.col("l_extendedprice"), 18), F.rpad(F.lit(""), 57, " "),
     )
-    return li.select(line.alias("linha"))
+    # A generated column, so that the line is rendered once and not again in every field that is cut from it.
+    return li.select(F.explode(F.array(line)).alias("linha"))
 
 
 def _trades(rows):
