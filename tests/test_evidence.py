@@ -363,7 +363,9 @@ def test_fusion_and_degradation(spark):
     out, mode, warn = R.hybrid(lambda: ranks("B"), fails_running, ["id"], 5)
     assert mode == "vetorial" and "cai" in warn[0] and out.first().id == "B"
     assert R.clamp_k(99) == (20, "k reduzido a 20") and R.clamp_k("x") == (5, None) and R.clamp_k(1) == (1, None)
-    assert R.bm25(spark.createDataFrame([(1, "a b"), (2, None)], "i int, text string"), "i", "").count() == 0
+    two = spark.createDataFrame([(1, "a b"), (2, None)], "i int, text string")
+    assert [R.bm25(*x).count() for x in ((two, "i", ""), (two, "i", "z"), (two.limit(0), "i", "a"), (two.filter("i > 9"), "i", "a"))] == [0, 0, 0, 0]
+    assert [r.i for r in R.bm25(two, "i", "a").collect()] == [1]
     first = GR.first_per_key(spark.createDataFrame([("a", 3), ("a", 1), ("b", 2)], "k string, rank int"), ["k"], ["rank"], 20)
     assert [r.k for r in first.orderBy("rank").collect()] == ["a", "b"]
 
