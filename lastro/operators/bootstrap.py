@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from lastro.functions.convexity import empirical_asymmetry, normal_cdf
 from lastro.functions.prefix import ranked
 from lastro.functions.tails import kappa_1
+from lastro.session import shuffle_partitions
 
 RESAMPLES, SEED, MOST = 500, 15, 50_000
 #: Values resampled at a time.
@@ -54,9 +55,12 @@ def draws(seed: int, n: int, count: int) -> np.ndarray:
 
 def asymmetry_of(samples: np.ndarray) -> np.ndarray:
     """Empirical asymmetry of each row."""
-    s = np.sort(samples, axis=1)
-    q = np.quantile(s, [normal_cdf(2.0), normal_cdf(-2.0), 0.5], axis=1)
-    return (q[0] + q[1]) / 2 - q[2]
+    n = samples.shape[1]
+    places = [p * (n - 1) for p in (normal_cdf(2.0), normal_cdf(-2.0), 0.5)]
+    below = [int(x) for x in places]
+    s = np.partition(samples, sorted({j for i in below for j in (i, min(i + 1, n - 1))}), axis=1)
+    up, down, middle = (s[:, i] + (s[:, min(i + 1, n - 1)] - s[:, i]) * (x - i) for i, x in zip(below, places))
+    return (up + down) / 2 - middle
 
 
 def kappa_1_of(samples: np.ndarray) -> np.ndarray:
@@ -87,7 +91,9 @@ def _split(df: DataFrame, key: str, order: list[str], x: str, most: int) -> tupl
     good = df.filter(F.col(key).isNotNull() & F.col(x).isNotNull() & ~F.isnan(F.col(x))).select(key, *order, F.col(x).alias("x"))
     size = good.groupBy(key).agg(F.count("*").alias("_n"))
     sized = good.join(size, key)
-    return sized.filter(F.col("_n") <= most), sized.filter(F.col("_n") > most)
+    # Little data, much work: a fixed number of partitions, which are not put together for their size.
+    small = sized.filter(F.col("_n") <= most).withColumn("_h", F.xxhash64(key)).repartition(shuffle_partitions(df.sparkSession), "_h")
+    return small, sized.filter(F.col("_n") > most)
 
 
 def bootstrap_interval(df: DataFrame, key: str, order: list[str], statistic: str, x: str = "x", resamples: int = RESAMPLES, seed: int = SEED, most: int = MOST) -> DataFrame:
@@ -107,7 +113,9 @@ def bootstrap_interval(df: DataFrame, key: str, order: list[str], statistic: str
         low, high = (None, None) if np.isnan(values).any() else interval(values)
         return pd.DataFrame({key: [group[key].iloc[0]], "n": [len(v)], "baixo": [low], "alto": [high]})
 
-    exact = small.groupBy(key).applyInPandas(run, f"`{key}` {kind}, n bigint, baixo double, alto double")
+    exact = small.groupBy("_h", key).applyInPandas(run, f"`{key}` {kind}, n bigint, baixo double, alto double")
+    if large.isEmpty():
+        return exact
     # Poisson(1) by inversion of a uniform; 12 covers all but 1e-10 of the mass.
     # The uniform is hashed from the row and the resample, whatever partition draws it.
     u = F.xxhash64(F.lit(seed), key, *order, "x", "_r").bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)
@@ -149,7 +157,9 @@ def kappa_resampled(df: DataFrame, key: str, order: list[str], x: str = "x", n0:
         ok = m[0] > 0 and m[1] > 0 and m[0] != m[1]
         return pd.DataFrame({key: [group[key].iloc[0]], "n": [len(v)], "kappa": [2 - scale / math.log(m[1] / m[0]) if ok else None]})
 
-    exact = small.groupBy(key).applyInPandas(run, f"`{key}` {kind}, n bigint, kappa double")
+    exact = small.groupBy("_h", key).applyInPandas(run, f"`{key}` {kind}, n bigint, kappa double")
+    if large.isEmpty():
+        return exact
     ranks = ranked(large, [key], ["x"], "_i").select(key, "_i", "x")
     middle = F.percentile_approx("x", 0.5, 1_000_000) if robust else F.avg("x")
     sizes = large.groupBy(key).agg(F.count("*").alias("n"), middle.alias("_c"))
