@@ -169,7 +169,7 @@ def _trade_lines(spark, d):
 
 
 def _trades(rows):
-    return rows.groupBy("codneg").agg(F.count("*").alias("n"), F.min("data").alias("de"), F.max("data").alias("ate"), _r(F.sum("preult"), 2).alias("preult"), _r(F.sum(F.col("voltot")), 0).alias("voltot"))
+    return rows.groupBy("codneg").agg(F.count("*").alias("n"), F.min("data").alias("de"), F.max("data").alias("ate"), *[F.sum(F.round(F.col(c) * 100).cast("bigint")).alias(c) for c in ("preult", "voltot")])
 
 
 def fixed_width_parse(spark, d):
@@ -322,9 +322,9 @@ case when h_baixo > 0 then 'antifrágil' when h_alto < 0 then 'frágil' else 'ro
 w as (select inicio, fim, inicio as de, least((inicio + interval 10 year)::date - 1, fim) as ate from r where inicio <= fim
  union all select inicio, fim, ate + 1, least((ate + 1 + interval 10 year)::date - 1, fim) from w where ate < fim) select inicio, fim, de::date as de, ate::date as ate from w""",
     "fixed_width_parse": """select 'T' || (l_partkey % 1000) as codneg, count(*) as n, min(l_shipdate)::date as de, max(l_shipdate)::date as ate,
-round(sum(round(l_extendedprice * 100) / 100), 2) + 0.0 as preult, round(sum(round(l_quantity * l_extendedprice * 100) / 100), 0) + 0.0 as voltot from lineitem group by 1""",
+sum(round(l_extendedprice * 100)::bigint)::bigint as preult, sum(round(l_quantity * l_extendedprice * 100)::bigint)::bigint as voltot from lineitem group by 1""",
     "quotes_source": """select 'T' || (l_partkey % 1000) as codneg, count(*) as n, min(l_shipdate)::date as de, max(l_shipdate)::date as ate,
-round(sum(round(l_extendedprice * 100) / 100), 2) + 0.0 as preult, round(sum(round(l_quantity * l_extendedprice * 100) / 100), 0) + 0.0 as voltot from lineitem where (l_partkey % 1000) % 7 = 0 group by 1""",
+sum(round(l_extendedprice * 100)::bigint)::bigint as preult, sum(round(l_quantity * l_extendedprice * 100)::bigint)::bigint as voltot from lineitem where (l_partkey % 1000) % 7 = 0 group by 1""",
     "jsonl_roundtrip": "select o_orderkey, o_orderstatus, o_totalprice, o_totalprice as uma_vez from orders",
     "rate_source": "select year(x) as ano, count(*) as n, round(avg(month(x) / 100.0) / 100, 9) + 0.0 as taxa from (select unnest(generate_series(date '2000-01-01', date '2025-06-01', interval 1 month)) as x) group by 1",
 }
